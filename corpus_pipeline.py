@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import decontam, neardup, packing
+from helixframe.llm import decontam, neardup, packing, pii, toxicity
 from helixframe.llm._common import materialise, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_one(docs)
 
@@ -16,11 +20,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def sanitise_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitise(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", sanitise_pii), ("best_fit_packing", best_fit_packing)]
 
 #: Learned scores and tokenisation have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

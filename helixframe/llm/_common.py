@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +40,40 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def block_pairs(members: DataFrame, bucket: list[str], weight: Column, block: int) -> tuple[DataFrame, list[str]]:
+    """Deals the members (bucket, cid, ...) of each bucket to blocks of about ``block`` weight, and those to pairs of blocks.
+
+    Adds block, lo and hi; bucket + lo + hi is a task's group, and of two members in different blocks, or in the same
+    where lo = hi, each pair meets in exactly one group.
+    """
+    order = Window.partitionBy(*bucket).orderBy("cid")
+    dealt = members.withColumn("block", F.floor(F.sum(weight).over(order) / block).cast("int"))
+    last = dealt.groupBy(*bucket).agg(F.max("block").alias("last"))
+    dealt = dealt.join(last, bucket).withColumn("other", F.explode(F.expr("sequence(0, last)")))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "last")
+    return dealt, [*bucket, "lo", "hi"]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) of every node of the edges (a, b): smallest id reachable, by alternating large and small stars."""
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    e = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    was = mark(e)
+    while was[0]:
+        both = e.union(e.select("b", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
+        e = materialise(small)
+        now = mark(e)
+        if now == was:
+            break
+        was = now
+    roots = e.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return roots.union(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
