@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import decontam, embeddings, neardup, packing, pii, quality, sharding, toxicity
+from helixframe.llm import decontam, embeddings, lattice, license, neardup, packing, pii, quality, sharding, toxicity
 from helixframe.llm._common import table
 from helixframe.llm._labels import remainder
 
@@ -29,10 +29,18 @@ def op4_automaton_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op5_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_best_fit_packing,
         op3_factorisation_quality,
         op4_automaton_toxicity,
+        op5_lattice_scores,
         op6_setsketch_near_dedup,
+        op7_license_signatures,
         op8_hypergeometric_sharding,
         op9_rotation_code_near_vectors,
         op10_disclosure_pii,
