@@ -8,9 +8,9 @@ jointly by maximum likelihood from how many registers are larger, smaller and eq
 plausible (5 standard errors below the threshold) is verified on the full sets.
 
 Equal sets form one class before any pair is made. In a bucket, classes are first held against its smallest class only;
-the links found give components, and then only pairs of a bucket that still lie in different components are tried, each
-pair in its first common band. So no bucket emits all its pairs, and yet every pair of a bucket is either verified or
-already known to be connected. With 32 bands of 4 registers a pair of similarity 0.75 is missed with probability 5e-6.
+the links found give components, and then only pairs of a bucket that still lie in different components are tried, in
+blocks, each pair in its first common band. So no bucket emits all its pairs, and yet every pair of a bucket is either
+verified or already known to be connected. With 32 bands of 4 registers a pair of similarity 0.75 is missed with probability 5e-6.
 
 A text with 1 to k-1 words is one shingle; a null, empty or wordless text has an empty set and is linked with nothing:
 its own doc_id is its component. Repeated rows give repeated results. Other columns are ignored.
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from helixframe.llm._common import materialise
+from helixframe.llm._common import block_pairs, components, materialise
 from helixframe.llm._text import SPACED, mix, shingle_sets, slices, words
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -132,27 +132,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, chunk: i
     return sent.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node of the edges (a, b): smallest id reachable, by alternating large and small stars."""
+def _apart(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 400_000) -> DataFrame:
+    """Links (a, b) that join components: of (band, key, cid, root, n, bands), all pairs of a bucket with different roots.
+
+    A bucket is cut into blocks of about ``block`` shingles and a task holds two blocks. It takes a pair only in its first
+    common band, drops what the registers rule out, and verifies the rest on the full sets from the likeliest down,
+    unless links found before have joined the two already: so it gives fewer links than it holds members.
+    """
+    error = 5 * np.sqrt(percent / 100 * (1 - percent / 100))
+    dealt, group = block_pairs(members, ["band", "key"], F.col("n") + 200, block)
+    sent = dealt.join(texts, "cid").select(*group, "block", "cid", "root", "n", "bands", "text").repartition(*group).sortWithinPartitions(*group, "cid")
+
+    def solve(rows: pa.Table) -> list[tuple[int, int]]:
+        band, lo, hi = (rows.column(c)[0].as_py() for c in (0, 2, 3))
+        cid, n, block = rows.column("cid").to_pylist(), rows.column("n").to_numpy().astype(float), rows.column("block").to_numpy()
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
+        regs = np.ascontiguousarray(bands).view(np.uint16)
+        names, root = np.unique(rows.column("root").to_numpy(), return_inverse=True)
+        if len(names) < 2:
+            return []
+        pairs = []
+        for i in range(len(cid) - 1):
+            j = np.arange(i + 1, len(cid))
+            j = j[(root[j] != root[i]) & ((block[j] != block[i]) | (lo == hi)) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            j = j[np.argmax(bands[j] == bands[i], axis=1) == band]
+            if len(j):
+                like = estimate(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), n[i]), n[j])
+                ok = like >= percent / 100 - error / np.sqrt(regs.shape[1])
+                pairs += zip((-like[ok]).tolist(), [i] * int(ok.sum()), j[ok].tolist(), strict=True)
+        sets = [x for _, _, buf, o in slices(rows.column("text")) for x in shingle_sets(words(buf, o, SPACED), k)] if pairs else []
+        above, found = list(range(len(names))), []
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for _, i, j in sorted(pairs):
+            x, y = top(root[i]), top(root[j])
+            if x != y:
+                both = int((sets[i][np.minimum(np.searchsorted(sets[i], sets[j]), len(sets[i]) - 1)] == sets[j]).sum())
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    above[x] = y
+                    found.append((cid[i], cid[j]))
+        return found
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, key = [], None
+        say = lambda f: pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.int64()), pa.array([x[1] for x in f], pa.int64())], ["a", "b"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if key is not None and key != tuple(keys[a]):
+                    yield say(solve(pa.Table.from_batches(parts)))
+                    parts = []
+                key = tuple(keys[a])
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield say(solve(pa.Table.from_batches(parts)))
 
-    e = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    was = mark(e)
-    while was[0]:
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
-        e = materialise(small)
-        now = mark(e)
-        if now == was:
-            break
-        was = now
-    roots = e.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots.union(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -179,12 +221,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
     # what a star left apart: pairs of a bucket in different components, each in its first common band
     at = members.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("band", "key", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = at.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "key")
-    apart = materialise(at.join(mixed, ["band", "key"]).join(slim, "cid"))
-    one = lambda name: apart.select("band", "key", F.col("cid").alias(name), F.col("root").alias(f"root{name}"), F.col("n").alias(f"n{name}"), F.col("bands").alias(f"r{name}"))
-    first = F.expr("array_position(zip_with(ra, rb, (x, y) -> x = y), true) = band + 1")
-    cross = one("a").join(one("b"), ["band", "key"]).where(F.expr("roota < rootb") & sized & first)
-    more = _verified(materialise(_plausible(cross, threshold)), texts, k, percent)
-    new = materialise(more)
+    apart = at.join(mixed, ["band", "key"]).join(slim, "cid")
+    new = materialise(_apart(apart, texts, k, percent))
     if not new.isEmpty():
         roots = components(links.union(new))
 
