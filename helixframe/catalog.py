@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from helixframe.plans import iterative, relational
+
+QUERIES = relational.QUERIES | iterative.QUERIES
+ORACLE_SQL = dict(relational.ORACLE_SQL)

@@ -48,7 +48,8 @@ def enrichment_scores(stats: DataFrame, sets: DataFrame, power: float = 1.0, lea
     weight = F.pow(F.abs("stat"), F.lit(float(power)))
     hit = hit.withColumn("x", weight).withColumn("nr", F.sum("x").over(Window.partitionBy("set_id")))
     hit = hit.withColumn("x", F.when(F.col("nr") == 0, 1 / F.col("size")).otherwise(F.try_divide("x", "nr")))
-    hit = hit.withColumn("i", F.row_number().over(w)).withColumn("cum", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # with zero statistics the sum starts a step lower
+    hit = hit.withColumn("i", F.row_number().over(w)).withColumn("cum", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.when(F.col("nr") == 0, F.col("x")).otherwise(0.0))
     miss = F.try_divide(F.col("pos") - F.col("i"), F.lit(n) - F.col("size"))
     hit = hit.withColumn("top", F.col("cum") - F.coalesce(miss, F.lit(0.0))).withColumn("bottom", F.col("top") - F.col("x"))
     hi, lo = F.max("top"), F.min("bottom")

@@ -40,17 +40,19 @@ def knn(query: DataFrame, k: int, metric: str = "cosine", reference: DataFrame |
     q, r = query.select("id", "vec"), reference.select("id", "vec")
     if method == "exhaustive":
         nq, nr = max(1, -(-q.count() // block)), max(1, -(-r.count() // block))
-        q = q.withColumn("qb", F.expr(f"pmod(xxhash64(id), {nq})")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).cast("long"))
-        r = r.withColumn("rb", F.expr(f"pmod(xxhash64(id, 1), {nr})")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
+        q = q.withColumn("qb", F.expr(f"pmod(xxhash64(id), {nq})")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)).cast("array<bigint>")))
+        r = r.withColumn("rb", F.expr(f"pmod(xxhash64(id, 1), {nr})")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
     else:
         q, r = _buckets(q, r, seed)
     kind = query.schema["id"].dataType.simpleString()
+    # the two sides may share their lineage: own names keep them apart
+    r = r.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.col("qb").alias("rqb"), F.col("rb").alias("rrb"))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=["id", "nbr", "dist"])
-        a, b = np.array(left["vec"].tolist(), float), np.array(right["vec"].tolist(), float)
-        ids, names = left["id"].to_numpy(), right["id"].to_numpy()
+        a, b = np.array(left["vec"].tolist(), float), np.array(right["rvec"].tolist(), float)
+        ids, names = left["id"].to_numpy(), right["rid"].to_numpy()
         out = []
         for i in range(0, len(a), 1024):
             d = _distances(a[i : i + 1024], b, metric)
@@ -64,8 +66,7 @@ def knn(query: DataFrame, k: int, metric: str = "cosine", reference: DataFrame |
             out.append(pd.DataFrame({"id": ids[i : i + 1024][row], "nbr": names[col], "dist": d[row, col]}))
         return pd.concat(out)
 
-    keys = ["qb", "rb"]
-    found = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(near, f"id {kind}, nbr {kind}, dist double")
+    found = q.groupBy("qb", "rb").cogroup(r.groupBy("rqb", "rrb")).applyInPandas(near, f"id {kind}, nbr {kind}, dist double")
     if method != "exhaustive":
         found = found.dropDuplicates(["id", "nbr"])
     w = Window.partitionBy("id").orderBy(F.round("dist", 12), "nbr")
@@ -151,17 +152,18 @@ def silhouette(points: DataFrame, batches: DataFrame, metric: str = "euclidean",
     """id, silhouette by batch. Distances are summed per point and batch within pairs of blocks; no pair is a row."""
     x = points.select("id", "vec").join(batches, "id")
     blocks = max(1, -(-x.count() // block))
-    left = x.select("id", "vec", "batch").withColumn("a", F.expr(f"pmod(xxhash64(id), {blocks})")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    right = x.select("id", "vec", "batch").withColumn("b", F.expr(f"pmod(xxhash64(id), {blocks})")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    left = x.select("id", "vec", "batch").withColumn("a", F.expr(f"pmod(xxhash64(id), {blocks})")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    right = x.select("id", "vec", "batch").withColumn("b", F.expr(f"pmod(xxhash64(id), {blocks})")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    right = right.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.col("batch").alias("rbatch"), F.col("a").alias("ra"), F.col("b").alias("rb"))
     ik, bk = (x.schema[c].dataType.simpleString() for c in ("id", "batch"))
 
     def sums(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        d = _distances(np.array(p["vec"].tolist(), float), np.array(q["vec"].tolist(), float), metric)
-        d[p["id"].to_numpy()[:, None] == q["id"].to_numpy()[None]] = 0
-        parts = [pd.DataFrame({"id": p["id"], "own": p["batch"], "other": name, "s": d[:, at].sum(1)}) for name, at in q.reset_index(drop=True).groupby("batch").indices.items()]
+        d = _distances(np.array(p["vec"].tolist(), float), np.array(q["rvec"].tolist(), float), metric)
+        d[p["id"].to_numpy()[:, None] == q["rid"].to_numpy()[None]] = 0
+        parts = [pd.DataFrame({"id": p["id"], "own": p["batch"], "other": name, "s": d[:, at].sum(1)}) for name, at in q.reset_index(drop=True).groupby("rbatch").indices.items()]
         return pd.concat(parts)
 
-    s = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(lambda p, q: sums(p, q) if len(p) and len(q) else pd.DataFrame(columns=["id", "own", "other", "s"]), f"id {ik}, own {bk}, other {bk}, s double")
+    s = left.groupBy("a", "b").cogroup(right.groupBy("ra", "rb")).applyInPandas(lambda p, q: sums(p, q) if len(p) and len(q) else pd.DataFrame(columns=["id", "own", "other", "s"]), f"id {ik}, own {bk}, other {bk}, s double")
     size = batches.groupBy(F.col("batch").alias("other")).agg(F.count("*").alias("n"))
     s = s.groupBy("id", "own", "other").agg(F.sum("s").alias("s")).join(F.broadcast(size), "other")
     same = F.col("own") == F.col("other")

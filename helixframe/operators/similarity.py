@@ -102,23 +102,27 @@ def gower(m: DataFrame, categorical: DataFrame) -> DataFrame:
 
 
 def topological_overlap(affinity: DataFrame, signed: bool = False, version: str = "v1") -> DataFrame:
-    """Of a full symmetric affinity (row, col, value), off the diagonal."""
+    """Of a full symmetric affinity (row, col, value), for row < col; the diagonal of the affinity counts as connectivity.
+
+    signed takes absolute values in the connectivity and the denominator.
+    """
     version = version.lower()
     if version not in ("v1", "v2"):
         raise ValueError("unknown version")
     off = affinity.where("row != col")
-    weigh = F.col("value") if signed else F.abs("value")
-    degree = off.groupBy("row").agg(F.sum(weigh).alias("k"))
+    weigh = F.abs("value") if signed else F.col("value")
+    degree = affinity.groupBy("row").agg(F.sum(weigh).alias("k"))
     left, right = off.select("row", F.col("col").alias("u"), F.col("value").alias("x")), off.select(F.col("row").alias("u"), "col", F.col("value").alias("y"))
-    shared = left.join(right, "u").where("row < col").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("l"), F.count("*").alias("n"))
+    shared = left.join(right, "u").where("row < col").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("l"))
     every = off.where("row < col").join(shared, ["row", "col"], "full_outer").na.fill(0.0, ["value", "l"])
     ki, kj = degree.select("row", F.col("k").alias("ki")), degree.select(F.col("row").alias("col"), F.col("k").alias("kj"))
     a, ll, least = F.col("value"), F.col("l"), F.least("ki", "kj")
+    size = F.abs(a) if signed else a
     if version == "v1":
-        top, below = ll + a, least + 1 - (a if signed else F.abs(a))
+        value = F.try_divide(ll + a, least + 1 - size)
     else:
-        top, below = 0.5 * (a + F.try_divide(ll, least)), F.lit(1.0)
-    return every.join(ki, "row").join(kj, "col").select("row", "col", F.try_divide(top, below).alias("value"))
+        value = 0.5 * (a + F.try_divide(ll, least + size))
+    return every.join(ki, "row").join(kj, "col").select("row", "col", value.alias("value"))
 
 
 def set_similarity(a: DataFrame, b: DataFrame, overlap: bool = False) -> DataFrame:
