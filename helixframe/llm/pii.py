@@ -4,8 +4,8 @@ Everything here is DataFrame expressions. The pattern kinds are found leftmost a
 expression each (``\\G``, possessive skips), so a text is read once in linear time and without recursion, however long.
 Failing matches are dropped without a retry.
 
-Information-theoretic sanitisation then looks at the words around each protected value e. Over all documents (equal
-texts count once) n(e), n(t) and n(e, t) are the documents that hold the value, the term, and the term near the value.
+Information-theoretic sanitisation then looks at the words around each protected value e. Over all documents n(e), n(t)
+and n(e, t) are those that hold the value, the term, and the term near the value (equal texts count once near values).
 ``log2(N n(e,t) / (n(e) n(t)))`` bits are what t says about e; as a share of the information content ``log2(N / n(e))`` it
 is t's disclosure. A term seen near e in ``support`` documents at least, whose disclosure exceeds ``threshold``, is a span
 of kind ``term`` at each place near e; sanitising replaces it by a general label, as it does with the values themselves.
@@ -97,32 +97,25 @@ def _context_terms(found: DataFrame) -> DataFrame:
     return out.select("doc_id", "th", "value", F.lower("t.v").alias("term"), "t.start", "t.end")
 
 
-def _disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, threshold: float, support: int, broadcast_rows: int) -> DataFrame:
+def _disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, threshold: float, support: int) -> DataFrame:
     """value, term of those whose disclosure exceeds the threshold."""
     n = docs.count()
     held = found.where(F.size("found") > 0).select("th", F.explode("found").alias("s")).select("th", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("value"))
     values = held.distinct().groupBy("value").agg(F.count("*").alias("ne"))
     pairs = materialise(near.select("value", "term", "th").distinct().groupBy("value", "term").agg(F.count("*").alias("net")).where(F.col("net") >= support))
-    terms = materialise(pairs.select("term").distinct())
-    few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^0-9a-z\\x{80}-\\x{10FFFF}]+"))).alias("term"))
-    if few:
-        used = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("nt"))
-    else:
-        used = words.groupBy("term").agg(F.count("*").alias("nt")).join(terms, "term")
+    # counted per term before the join: each task sends a row a term, and the join gives a row a candidate
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^0-9a-z\\x{80}-\\x{10FFFF}]+"))).alias("term")).where(F.length("term") >= 4)
+    used = words.groupBy("term").agg(F.count("*").alias("nt")).join(pairs.select("term").distinct(), "term")
     bits = F.log2(F.lit(float(n)) * F.col("net") / (F.col("ne") * F.greatest("nt", "net")))
     share = bits / F.greatest(F.log2(F.lit(float(max(n, 1))) / F.col("ne")), F.lit(1e-9))
     return pairs.join(values, "value").join(used, "term").where(share >= threshold).select("value", "term")
 
 
-def spans(docs: DataFrame, threshold: float = 0.8, support: int = 2, near: int = 40, broadcast_rows: int = 200_000) -> DataFrame:
-    """Per document (doc_id, text): doc_id, th, found: sorted (kind number, start, end); kind 4 is a disclosing term.
-
-    Terms are counted by a broadcast join while there are at most broadcast_rows of them, else by a shuffled one.
-    """
+def spans(docs: DataFrame, threshold: float = 0.8, support: int = 2, near: int = 40) -> DataFrame:
+    """Per document (doc_id, text): doc_id, th, found: sorted (kind number, start, end); kind 4 is a disclosing term."""
     found = materialise(pattern_spans(docs.select("doc_id", "text"), near))
     near_terms = materialise(_context_terms(found))
-    told = _disclosing(docs, found, near_terms, threshold, support, broadcast_rows)
+    told = _disclosing(docs, found, near_terms, threshold, support)
     more = near_terms.join(told, ["value", "term"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")).alias("more"))
     base = F.expr("transform(found, s -> struct(s.kind as kind, s.start as start, s.end as end))")
     f, m = found.alias("f"), more.alias("m")
