@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def remainder(modulus: int) -> Column:
-    """crc32(doc_id as text) mod modulus."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+    """crc32(doc_id as text) mod modulus; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, may_train: Column, rows: int) -> DataFrame:

@@ -13,7 +13,7 @@ blocks, each pair in its first common band. So no bucket emits all its pairs, an
 verified or already known to be connected. With 32 bands of 4 registers a pair of similarity 0.75 is missed with probability 5e-6.
 
 A text with 1 to k-1 words is one shingle; a null, empty or wordless text has an empty set and is linked with nothing:
-its own doc_id is its component. Repeated rows give repeated results. Other columns are ignored.
+its own doc_id is its component. So is a row without a doc_id (component null, kept). Repeated rows give repeated results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,32 +149,25 @@ def _apart(members: DataFrame, texts: DataFrame, k: int, percent: int, block: in
         bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
         regs = np.ascontiguousarray(bands).view(np.uint16)
         names, root = np.unique(rows.column("root").to_numpy(), return_inverse=True)
-        if len(names) < 2:
-            return []
-        pairs = []
-        for i in range(len(cid) - 1):
+        found: list[tuple[int, int]] = []
+        sets = None
+        for i in range(len(cid) - 1 if len(names) > 1 else 0):
             j = np.arange(i + 1, len(cid))
             j = j[(root[j] != root[i]) & ((block[j] != block[i]) | (lo == hi)) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             j = j[np.argmax(bands[j] == bands[i], axis=1) == band]
-            if len(j):
-                like = estimate(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), n[i]), n[j])
-                ok = like >= percent / 100 - error / np.sqrt(regs.shape[1])
-                pairs += zip((-like[ok]).tolist(), [i] * int(ok.sum()), j[ok].tolist(), strict=True)
-        sets = [x for _, _, buf, o in slices(rows.column("text")) for x in shingle_sets(words(buf, o, SPACED), k)] if pairs else []
-        above, found = list(range(len(names))), []
-
-        def top(x: int) -> int:
-            while above[x] != x:
-                above[x] = x = above[above[x]]
-            return x
-
-        for _, i, j in sorted(pairs):
-            x, y = top(root[i]), top(root[j])
-            if x != y:
-                both = int((sets[i][np.minimum(np.searchsorted(sets[i], sets[j]), len(sets[i]) - 1)] == sets[j]).sum())
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    above[x] = y
-                    found.append((cid[i], cid[j]))
+            if not len(j):
+                continue
+            like = estimate(np.broadcast_to(regs[i], (len(j), regs.shape[1])), regs[j], np.full(len(j), n[i]), n[j])
+            ok = like >= percent / 100 - error / np.sqrt(regs.shape[1])
+            for other in j[ok][np.argsort(-like[ok], kind="stable")].tolist():
+                if root[other] == root[i]:  # joined by a pair before
+                    continue
+                if sets is None:
+                    sets = [x for _, _, buf, o in slices(rows.column("text")) for x in shingle_sets(words(buf, o, SPACED), k)]
+                both = int((sets[i][np.minimum(np.searchsorted(sets[i], sets[other]), len(sets[i]) - 1)] == sets[other]).sum())
+                if 100 * both >= percent * (len(sets[i]) + len(sets[other]) - both):
+                    root[root == root[other]] = root[i]
+                    found.append((cid[i], cid[other]))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +194,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
     """Per document (doc_id, text): n_shingles, component_id, kept, and th, the hash of the text."""
     threshold = percent / 100
     sk = materialise(sketches(docs, k, bands, rows))
-    classes = sk.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bands").alias("bands"))
+    classes = sk.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bands").alias("bands"))
     classes = materialise(classes.select("s1", "s2", "n", "rep.doc_id", "rep.th", "bands", F.monotonically_increasing_id().alias("cid")))
     banded = classes.select("cid", F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("cid").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
@@ -230,7 +223,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = of.join(least, "root").select("s1", "s2", "n", "component_id")
     out = sk.select("doc_id", "th", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "th")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "th")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
