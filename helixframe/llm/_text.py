@@ -32,7 +32,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers[which]
     if len(have) < n:
-        base = np.full(max(n, 1 << 21), _P if which == "up" else _P_INV, np.uint64)
+        base = np.full(max(n, (1 << 20) + 2), _P if which == "up" else _P_INV, np.uint64)
         base[0] = 1
         _powers[which] = have = np.multiply.accumulate(base)
     return have[:n]
@@ -148,3 +148,11 @@ def text_words(texts: list[str | None], kind: np.ndarray) -> Words:
     """words() of Python strings."""
     raw = [(t or "").encode() for t in texts]
     return words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), kind)
+
+
+def gather(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings low[start:end]."""
+    size = end - start
+    to = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(start - to[:-1], size) + np.arange(to[-1])
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(low[at]))]).cast(pa.string())

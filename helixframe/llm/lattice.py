@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.llm._common import materialise
 from helixframe.llm._labels import remainder
-from helixframe.llm._text import SPACED, Words, mix, slices, words
+from helixframe.llm._text import SPACED, Words, gather, mix, slices, words
 
 _MARK = "▁".encode()
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -173,14 +173,6 @@ def _runs(x: np.ndarray) -> tuple[list, list, list]:
     return x[first].tolist(), first.tolist(), [*cut.tolist(), len(x)]
 
 
-def _gather(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The strings low[start:end]."""
-    size = end - start
-    to = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(start - to[:-1], size) + np.arange(to[-1])
-    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(low[at]))]).cast(pa.string())
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of a batch with their occurrences in training documents."""
     for batch in batches:
@@ -191,7 +183,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
             hashes.append(h)
             counts.append(np.bincount(inverse, train[a:b][w.text()], len(h)).astype(np.int64))
-            texts.append(_gather(w.low, w.start[first], w.end[first]))
+            texts.append(gather(w.low, w.start[first], w.end[first]))
         if hashes:
             h, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
             c = np.bincount(inverse, np.concatenate(counts), len(h)).astype(np.int64)

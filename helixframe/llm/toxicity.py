@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from helixframe.llm._common import materialise
 from helixframe.llm._labels import remainder, training_rows
-from helixframe.llm._text import ALNUM, Words, hash_bytes, slices, words
+from helixframe.llm._text import ALNUM, Words, gather, hash_bytes, mix, slices, words
 
 #: Common insults, reporting words and words that address someone, in four languages.
 INSULTS = "idiot moron stupid loser trash scum clown pathetic worthless disgusting imbecile dumbass bastard asshole bitch dummkopf arschloch abschaum versager connard salope imbécile ordure abruti estúpido imbécil basura pendejo cabrón gilipollas".split()
@@ -195,21 +195,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for a, _, buf, offsets in slices(batch.column(0), 1 << 22):
+            for a, _, buf, offsets in slices(batch.column(0)):
                 w = words(buf, offsets, ALNUM)
                 owner = w.text()
-                once = np.unique(np.stack([w.hash, owner.astype(np.uint64)], 1), axis=0) if len(owner) else np.zeros((0, 2), np.uint64)
-                _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-                place = dict(zip(w.hash[first].tolist(), first.tolist(), strict=True))
-                h, inv = np.unique(once[:, 0], return_inverse=True)
-                doc = a + once[:, 1].astype(np.int64)
-                sums = [np.bincount(inv, (label[doc] == y) & (fold[doc] == f), len(h)).astype(np.int64) for y in (1, 0) for f in (0, 1)]
-                keep = (sums[0] + sums[1]) > 0
-                some = [w.word(place[x]).decode() for x in h[keep].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array(s[keep]) for s in sums)], ["w", "p0", "p1", "n0", "n1"])
-                keep = ~keep
-                some = [w.word(place[x]).decode() for x in h[keep].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array(s[keep]) for s in sums)], ["w", "p0", "p1", "n0", "n1"])
+                # a word of a text once
+                _, first = np.unique(mix(w.hash + owner.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), return_index=True)
+                _, place, inv = np.unique(w.hash[first], return_index=True, return_inverse=True)
+                doc = a + owner[first]
+                sums = [np.bincount(inv, (label[doc] == y) & (fold[doc] == f), len(place)).astype(np.int64) for y in (1, 0) for f in (0, 1)]
+                said = gather(w.low, w.start[first[place]], w.end[first[place]])
+                yield pa.RecordBatch.from_arrays([said, *(pa.array(s) for s in sums)], ["w", "p0", "p1", "n0", "n1"])
 
     counts = []
     if total(1) and total(0):
