@@ -14,6 +14,7 @@ Without labels of both classes the fixed lexicon is used with default weights. O
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,14 +157,20 @@ class Lexicon:
 
 
 def _learned(counts: list, pos: int, neg: int, fold: int | None, least: int, odds: float, most: int) -> dict[str, float]:
-    """Terms by smoothed log-odds; fold: without what that half of the sample shows."""
-    found = {}
+    """Terms by smoothed log-odds, weighed down where chance among many words may explain them.
+
+    ``proof`` is -log10 of the chance that so many of a word's documents are toxic; six and more count in full.
+    fold: without what that half of the sample shows.
+    """
+    found, rate = {}, pos / max(pos + neg, 1)
     for r in counts:
         p, n = (r.p0 + r.p1, r.n0 + r.n1) if fold is None else (r.p1, r.n1) if fold == 0 else (r.p0, r.n0)
-        if p >= least:
+        if p >= least and n <= p:
             lo = float(np.log((p + 0.5) / (pos + 1)) - np.log((n + 0.5) / (neg + 1)))
-            if lo >= odds and n <= p:
-                found[r.w] = (p * lo, min(lo, 8.0))
+            ways = math.lgamma(p + n + 1) - math.lgamma(p + 1) - math.lgamma(n + 1)
+            proof = -(ways + p * math.log(max(rate, 1e-9)) + n * math.log(max(1 - rate, 1e-9))) / math.log(10)
+            if lo >= odds:
+                found[r.w] = (p * lo, min(lo, 8.0) * min(max((proof - 1) / 5, 0.05), 1.0))
     best = dict(sorted(found.items(), key=lambda x: -x[1][0])[:most])
     return {t: 3.0 for t in INSULTS} | {t: v[1] for t, v in best.items()}
 
