@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +19,16 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package wherever the driver was started: by path, and beyond one machine as a zip."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+        if not sc.master.startswith("local"):
+            to = os.path.join(tempfile.mkdtemp(), "helixframe")
+            sc.addPyFile(shutil.make_archive(to, "zip", root, "helixframe"))
+    return spark
