@@ -26,11 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+def materialise(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: its lineage ends there and a lost executor costs nothing.
+
+    arrow_rows: rows of an Arrow batch while it is written, for wide rows; what the session has otherwise.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, was = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(key)
+    try:
+        if arrow_rows:
+            spark.conf.set(key, str(min(arrow_rows, int(was))) if int(was) > 0 else str(arrow_rows))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

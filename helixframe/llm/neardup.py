@@ -28,6 +28,8 @@ from helixframe.llm._common import block_pairs, components, materialise
 from helixframe.llm._text import SPACED, mix, shingle_sets, slices, words
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
+#: Rows of an Arrow batch that holds texts and registers: its buffers lie outside the heap.
+ARROW_ROWS = 1000
 
 
 def _seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +195,7 @@ def _apart(members: DataFrame, texts: DataFrame, k: int, percent: int, block: in
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
     """Per document (doc_id, text): n_shingles, component_id, kept, and th, the hash of the text."""
     threshold = percent / 100
-    sk = materialise(sketches(docs, k, bands, rows))
+    sk = materialise(sketches(docs, k, bands, rows), ARROW_ROWS)
     classes = sk.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bands").alias("bands"))
     classes = materialise(classes.select("s1", "s2", "n", "rep.doc_id", "rep.th", "bands", F.monotonically_increasing_id().alias("cid")))
     banded = classes.select("cid", F.posexplode("bands").alias("band", "key"))
@@ -208,14 +210,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
     lone = members.select("cid").distinct().join(classes.select("cid", "doc_id", "th"), "cid")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     texts = materialise(keyed.join(lone, ["doc_id", "th"]).groupBy("cid").agg(F.first("text").alias("text")) if _repeats(sk) else keyed.join(lone, ["doc_id", "th"]).select("cid", "text"))
-    links = materialise(_verified(materialise(_plausible(stars, threshold)), texts, k, percent))
+    links = materialise(_verified(materialise(_plausible(stars, threshold), ARROW_ROWS), texts, k, percent), ARROW_ROWS)
     roots = components(links)
 
     # what a star left apart: pairs of a bucket in different components, each in its first common band
     at = members.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("band", "key", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = at.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "key")
     apart = at.join(mixed, ["band", "key"]).join(slim, "cid")
-    new = materialise(_apart(apart, texts, k, percent))
+    new = materialise(_apart(apart, texts, k, percent), ARROW_ROWS)
     if not new.isEmpty():
         roots = components(links.union(new))
 
