@@ -31,6 +31,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "w").union(edges.select("dst", "src", "w"))
 
 
+def neighbours_of(edges: DataFrame, node: int) -> DataFrame:
+    """id, w of a node's out-edges."""
+    return edges.where(F.col("src") == node).select(F.col("dst").alias("id"), "w")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.sum("w").alias("strength"))
 

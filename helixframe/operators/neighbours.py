@@ -148,8 +148,10 @@ def lisi(nn: DataFrame, batches: DataFrame) -> DataFrame:
     return seen.withColumn("p", p).groupBy("id").agg((1 / F.sum(F.col("p") * F.col("p"))).alias("lisi"))
 
 
-def silhouette(points: DataFrame, batches: DataFrame, metric: str = "euclidean", block: int = 2048) -> DataFrame:
-    """id, silhouette by batch. Distances are summed per point and batch within pairs of blocks; no pair is a row."""
+def silhouette(points: DataFrame, batches: DataFrame, metric: str = "euclidean", block: int = 2048, subsample: int | None = None, seed: int = 42) -> DataFrame:
+    """id, silhouette by batch, of a seeded subsample if asked for. Distances are summed per point and batch within pairs of blocks; no pair is a row."""
+    if subsample is not None:
+        batches = batches.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(subsample)
     x = points.select("id", "vec").join(batches, "id")
     blocks = max(1, -(-x.count() // block))
     left = x.select("id", "vec", "batch").withColumn("a", F.expr(f"pmod(xxhash64(id), {blocks})")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))

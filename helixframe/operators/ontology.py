@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.functions.columns import with_fdr
 from helixframe.functions.special import hypergeom_col
+from helixframe.operators.enrichment import gsea
 from helixframe.plans.checkpoint import cut
 
 
@@ -126,5 +127,24 @@ def elimination(term_genes: DataFrame, closure: DataFrame, term_levels: DataFram
     return out if fdr is None else out.where(F.col("fdr") <= fdr)
 
 
+def elimination_gsea(stats: DataFrame, term_genes: DataFrame, closure: DataFrame, term_levels: DataFrame, permutations: int = 1000, least: int = 5, most: int = 500, threshold: float = 0.05, seed: int = 42) -> DataFrame:
+    """term, level, size, es, nes, p, fdr: running-sum tests from the deepest level up, with the same elimination.
+
+    The random sets of one seed serve all levels, so sizes are compared with the same nulls throughout.
+    """
+    genes = cut(term_genes.select("term", "gene").distinct().join(stats.select("gene"), "gene", "left_semi"))
+    out = None
+    for level in [r.level for r in term_levels.select("level").distinct().orderBy(F.desc("level")).collect()]:
+        now = genes.join(term_levels.where(F.col("level") == level).select("term"), "term")
+        res = gsea(stats, now.select(F.col("term").alias("set_id"), "gene"), permutations, least=least, most=most, seed=seed)
+        res = cut(res.select(F.col("set_id").alias("term"), F.lit(level).alias("level"), "size", "es", "nes", "p"))
+        out = res if out is None else out.unionByName(res)
+        strong = res.where(F.col("p") <= threshold).select("term")
+        if not strong.isEmpty():
+            gone = now.join(strong, "term").join(closure.where("term != ancestor"), "term").select(F.col("ancestor").alias("term"), "gene").distinct()
+            genes = cut(genes.join(gone, ["term", "gene"], "left_anti"))
+    return with_fdr(out, "p")
+
+
 def term_sizes(term_genes: DataFrame) -> DataFrame:
     return term_genes.select("term", F.count("*").over(Window.partitionBy("term")).alias("size")).distinct()

@@ -22,6 +22,7 @@ from helixframe.operators import neighbours as N
 from helixframe.operators import ontology as O
 from helixframe.operators import regulation as R
 from helixframe.operators import similarity as S
+from helixframe.operators import stats as Z
 from helixframe.plans.checkpoint import cut
 from helixframe.sources import formats, store
 
@@ -68,6 +69,11 @@ def selected_genes(spark, d):
     return C.select_variable(C.variable_genes(T.counts(spark, d), T.cells(spark, d).count()))
 
 
+@register
+def critical_value(spark, d):
+    return Z.critical_value(T.gene_stats(spark, d), "stat", 5000, 0.05)
+
+
 @register
 def z_pvalues(spark, d):
     return T.gene_stats(spark, d).select("gene", (F.col("stat") * 10).alias("z")).withColumn("p", z_pvalue_col(F.col("z")))
@@ -99,6 +105,12 @@ def sparse_singular_values(spark, d):
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "component int, value double")
 
 
+@register
+def cell_components(spark, d):
+    norm, n = _norm(spark, d), T.cells(spark, d).count()
+    return D.cell_components(norm.join(C.select_variable(C.variable_genes(T.counts(spark, d), n)), "gene", "left_semi"), n, 10)
+
+
 @register
 def independent_components(spark, d):
     return D.stabilised_ica(_points(spark, d), 5, 4)
@@ -232,6 +244,13 @@ def ontology_elimination(spark, d):
     return O.elimination(tg, O.ancestors(e), O.levels(e), target)
 
 
+@register
+def ontology_elimination_gsea(spark, d):
+    e, tg = T.ontology_edges(spark, d), T.term_genes(spark, d)
+    stats = T.load(spark, d, "customer").select(F.col("c_custkey").alias("gene"), (F.col("c_acctbal") - 4500.0).alias("stat"))
+    return O.elimination_gsea(stats, tg, O.ancestors(e), O.levels(e), 100)
+
+
 @register
 def ontology_levels(spark, d):
     return O.levels(T.ontology_edges(spark, d))

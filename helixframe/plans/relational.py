@@ -19,6 +19,7 @@ from helixframe.operators import matrix as M
 from helixframe.operators import neighbours as N
 from helixframe.operators import ontology as O
 from helixframe.operators import similarity as S
+from helixframe.operators import stats as Z
 from helixframe.plans.checkpoint import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -351,9 +352,9 @@ def sub_matrix(spark, d):
 # ---- similarity and information --------------------------------------------------------------------------------------
 
 
-@register("SELECT x.col AS col_a, y.col AS col_b, round(covar_samp(x.value, y.value), 0) AS value FROM m x JOIN m y ON x.row = y.row AND x.col <= y.col GROUP BY 1, 2", "m")
+@register("SELECT x.col AS col_a, y.col AS col_b, round(covar_samp(x.value, y.value), 2) AS value FROM m x JOIN m y ON x.row = y.row AND x.col <= y.col GROUP BY 1, 2", "m")
 def column_covariance(spark, d):
-    return S.covariance(T.matrix(spark, d)).withColumn("value", F.round("value", 0))
+    return S.covariance(T.matrix(spark, d)).withColumn("value", F.round("value", 2))
 
 
 @register("SELECT col_a, col_b, round(corr(a, b), 6) AS value FROM mp GROUP BY 1, 2", "mp")
@@ -506,21 +507,13 @@ def bh_fdr(spark, d):
 @register("SELECT c_custkey AS id, abs(c_acctbal - md) > 1.5 * mad AS outlier FROM customer, (SELECT median(c_acctbal) AS md FROM customer) a, (SELECT median(abs(c_acctbal - (SELECT median(c_acctbal) FROM customer))) AS mad FROM customer) b")
 def mad_outliers(spark, d):
     x = T.load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
-    x = x.crossJoin(F.broadcast(x.agg(F.median("x").alias("md"))))
-    mad = x.agg(F.median(F.abs(F.col("x") - F.col("md"))).alias("mad"))
-    return x.crossJoin(F.broadcast(mad)).select("id", (F.abs(F.col("x") - F.col("md")) > 1.5 * F.col("mad")).alias("outlier"))
+    return Z.mad_outliers(x, "x", 1.5).select("id", "outlier")
 
 
 @register("SELECT gene, round(g * ((n - 3) / (n - 2.25)) * sqrt((n - 2) / n), 6) AS effect, round(sqrt(n / (na * nb) + g * g / (2 * n)), 6) AS se FROM (SELECT gene, na, nb, na + nb AS n, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS g FROM (SELECT l_partkey AS gene, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS DOUBLE) AS na, CAST(count(*) FILTER (WHERE l_returnflag <> 'N') AS DOUBLE) AS nb, avg(l_quantity) FILTER (WHERE l_returnflag = 'N') AS ma, avg(l_quantity) FILTER (WHERE l_returnflag <> 'N') AS mb, var_samp(l_quantity) FILTER (WHERE l_returnflag = 'N') AS va, var_samp(l_quantity) FILTER (WHERE l_returnflag <> 'N') AS vb FROM lineitem GROUP BY 1) x WHERE na > 2 AND nb > 2) z")
 def hedges_effect(spark, d):
-    new = F.col("l_returnflag") == "N"
-    x = T.load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("gene")).agg(
-        *[f(F.when(c, F.col("l_quantity"))).alias(n + s) for s, c in (("a", new), ("b", ~new)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
-    x = x.where("na > 2 AND nb > 2").withColumn("n", (F.col("na") + F.col("nb")).cast("double"))
-    g = (F.col("ma") - F.col("mb")) / F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("n") - 2))
-    x = x.withColumn("g", g)
-    n = F.col("n")
-    return r6(x.select("gene", (F.col("g") * ((n - 3) / (n - 2.25)) * F.sqrt((n - 2) / n)).alias("effect"), F.sqrt(n / (F.col("na") * F.col("nb")) + F.col("g") * F.col("g") / (2 * n)).alias("se")), "effect", "se")
+    x = T.load(spark, d, "lineitem").select(F.col("l_partkey").alias("gene"), "l_quantity", (F.col("l_returnflag") == "N").alias("new"))
+    return r6(Z.hedges_g(x, "l_quantity", "new", ["gene"]), "effect", "se")
 
 
 @register("SELECT p_brand AS brand, round(regr_intercept(p_retailprice, p_partkey), 4) AS intercept, round(regr_slope(p_retailprice, p_partkey), 6) AS slope FROM part GROUP BY 1")
@@ -535,6 +528,20 @@ def rbf_kernels(spark, d):
     return nn.select("id", "nbr", *[F.round(K.rbf(F.col("dist"), F.lit(2.0), k), 9).alias(k) for k in K.RBF])
 
 
+@register("SELECT epsilon, id, round(sum(exp(-pow(epsilon * dist, 2))), 6) AS total FROM (SELECT epsilon, unnest([id, nbr]) AS id, dist FROM dists, (SELECT unnest([0.5, 1.0, 2.0]) AS epsilon) e WHERE dists.id < nbr) z GROUP BY 1, 2", "dists")
+def rbf_widths(spark, d):
+    p = T.embedding(spark, d).select("id", K.unit(F.col("vec")).alias("vec"))
+    q = p.select(F.col("id").alias("dst"), F.col("vec").alias("w"))
+    pairs = p.join(q, p.id < q.dst).select(F.col("id").alias("src"), "dst", (1 - K.dot(F.col("vec"), F.col("w"))).alias("dist"))
+    return r6(Z.rbf_scan(pairs, (0.5, 1.0, 2.0)), "total")
+
+
+@register("SELECT cell, median, mad FROM (SELECT label AS cell, median(c_acctbal) AS median FROM cells JOIN customer ON c_custkey = cell GROUP BY 1) x JOIN (SELECT label AS cell, median(abs(c_acctbal - m)) AS mad FROM (SELECT label, c_acctbal, median(c_acctbal) OVER (PARTITION BY label) AS m FROM cells JOIN customer ON c_custkey = cell) y GROUP BY 1) z USING (cell)", "cells")
+def grouped_median_mad(spark, d):
+    x = T.load(spark, d, "customer").select(F.col("c_mktsegment").alias("cell"), F.col("c_acctbal").alias("x"))
+    return Z.median_mad(x, "x", ["cell"])
+
+
 @register("SELECT set_id, CAST(size AS BIGINT) AS size, round(p, 9) AS p FROM (SELECT set_id, any_value(m) AS size, CASE WHEN any_value(q) = 0 THEN 1 ELSE sum(exp(lgamma(m + 1.0) - lgamma(x + 1.0) - lgamma(m - x + 1.0) + lgamma(n - m + 1.0) - lgamma(k - x + 1.0) - lgamma(n - m - k + x + 1.0) - lgamma(n + 1.0) + lgamma(k + 1.0) + lgamma(n - k + 1.0))) END AS p FROM (SELECT set_id, m, n, k, q, unnest(range(q + 1, least(k, m) + 1)) AS x FROM (SELECT set_id, count(*) AS m, count(*) FILTER (WHERE gene IN (SELECT p_partkey FROM part WHERE p_size <= 7)) AS q, any_value(n) AS n, any_value(k) AS k FROM sets, (SELECT count(*) AS n, count(*) FILTER (WHERE p_size <= 7) AS k FROM part) p GROUP BY 1) a) b GROUP BY 1) c", "sets")
 def hypergeometric_tail(spark, d):
     s = T.load(spark, d, "part").select(F.col("p_brand").alias("set_id"), (F.col("p_size") <= 7).cast("long").alias("hit"))

@@ -19,6 +19,7 @@ from helixframe.operators import neighbours as N
 from helixframe.operators import ontology as O
 from helixframe.operators import regulation as R
 from helixframe.operators import similarity as S
+from helixframe.operators import stats as Z
 from helixframe.operators.loess import Loess
 from helixframe.sources import formats, store
 from helixframe.streaming import ingest
@@ -58,6 +59,35 @@ def test_special_functions():
     assert abs(X.hypergeom_sf(1, 5, 5, 5) - (1 - (1 + 25) / 252)) < 1e-12
 
 
+def test_outliers(spark):
+    df = spark.createDataFrame(list(enumerate([1.0, 2.0, 3.0, 4.0, 100.0])), "id int, x double")
+    about = Z.median_mad(df, "x").first()
+    assert (about["median"], about.mad) == (3.0, 1.0)
+    flags = {r.x: r.outlier for r in Z.mad_outliers(df, "x", 3).collect()}
+    assert flags == {1.0: False, 2.0: False, 3.0: False, 4.0: False, 100.0: True}
+    assert not any(r.outlier for r in Z.mad_outliers(df, "x", 3, "below").collect())
+    with pytest.raises(ValueError):
+        Z.mad_outliers(df, "x", 3, "sideways")
+
+
+def test_critical_value_and_split(spark):
+    df = spark.range(1000).select(F.col("id").alias("x"))
+    assert 900 < Z.critical_value(df, "x", 2000, 0.05).first().critical < 990
+    a, b = Z.random_split(df, "x", 300)
+    assert (a.count(), b.count()) == (300, 700) and a.join(b, "x").count() == 0
+
+
+def test_cell_components(spark):
+    rng = np.random.default_rng(9)
+    x = rng.poisson(0.6, (40, 8)).astype(float)
+    rows = [(i, j, float(x[i, j])) for i in range(40) for j in range(8) if x[i, j]]
+    got = D.cell_components(spark.createDataFrame(rows, "cell long, gene long, norm double"), 40, 3).collect()
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    for r in got:
+        assert np.allclose(np.abs(r.vec), np.abs((u * s)[r.id, :3]), atol=1e-6)
+
+
 def test_set_similarity(spark):
     a = spark.createDataFrame([("x", "A"), ("x", "B")], "set_id string, item string")
     b = spark.createDataFrame([("y", "B"), ("y", "C")], "set_id string, item string")

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from helixframe.plans import relational
@@ -20,7 +21,7 @@ def db(sf):
 
 def canonical(df):
     def one(v):
-        if v is None or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
             return "null"
         if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_)):
             return repr(round(float(v), 9) + 0.0)
