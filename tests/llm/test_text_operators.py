@@ -277,7 +277,7 @@ def test_quotation_is_told_from_abuse():
     from helixframe.llm._text import text_words
 
     lex = toxicity.Lexicon({"idiot": 3.0})
-    f = lex.features(text_words(["you are an idiot", 'he wrote the word "idiot" today', "nothing here", "you idoit", None, ""], KIND))
+    f = lex.features(text_words(["you are an idiot", 'he wrote the word "idiot" today', "nothing here", "you idiiot", None, ""], KIND))
     abuse, quoted, wrong, spoken = f[:, 0], f[:, 1], f[:, 2], f[:, 3]
     assert abuse[0] > 0 and spoken[0] > 0 and quoted[1] > 0 and abuse[1] == 0 and wrong[3] > 0 and not f[2].any() and not f[4:].any()
 
