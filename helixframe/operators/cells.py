@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from helixframe.functions.columns import average_rank, log_norm, with_fdr
 from helixframe.functions.special import z_pvalue_col
 from helixframe.operators.loess import Loess
+from helixframe.plans.ids import dense_ids
 
 
 def quality_filter(counts: DataFrame, min_cells: int = 10, min_genes: int = 100, min_library: int = 250) -> DataFrame:
@@ -44,8 +45,7 @@ def reindexed(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts with dense ids (cell, gene), order kept, and both maps (old, new)."""
     maps = []
     for key in ("cell", "gene"):
-        ids = counts.select(key).distinct()
-        maps.append(ids.select(F.col(key).alias("old"), (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("new")))
+        maps.append(dense_ids(counts.select(F.col(key).alias("old")).distinct(), ["old"], "new"))
     out = counts
     for key, ids in zip(("cell", "gene"), maps, strict=True):
         out = out.join(ids, out[key] == ids["old"]).drop(key, "old").withColumnRenamed("new", key)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.functions.columns import average_rank
+from helixframe.plans.ids import dense_ids
 
 EPS = 1e-9
 
@@ -166,9 +167,8 @@ def prune(a: DataFrame, least: float) -> DataFrame:
 
 
 def reindex(a: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Dense, order-preserving 0-based ids of a key, and their map; ids of range partitions are offset by counts."""
-    keys = a.select(key).distinct()
-    ids = keys.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias(name))
+    """Dense, order-preserving 0-based ids of a key, and their map."""
+    ids = dense_ids(a.select(key).distinct(), [key], name)
     return a.join(ids, key).drop(key), ids
 
 

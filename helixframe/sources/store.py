@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.operators import cells as C
+from helixframe.plans.ids import dense_ids
 
 VERSION = 3
 
@@ -74,5 +75,5 @@ def combine(parts: Sequence[DataFrame], min_cells: int = 10, min_genes: int = 10
     genes = every.groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") >= min_cells).select("gene")
     kept = every.join(genes, "gene", "left_semi")
     good = kept.groupBy("part", "old_cell").agg(F.count("*").alias("nnz"), F.sum("raw").alias("lib")).where((F.col("nnz") >= min_genes) & (F.col("lib") >= min_library))
-    ids = good.select("part", "old_cell", (F.row_number().over(Window.orderBy("part", "old_cell")) - 1).cast("long").alias("cell"))
+    ids = dense_ids(good.select("part", "old_cell"), ["part", "old_cell"], "cell")
     return kept.join(ids, ["part", "old_cell"]).select("cell", "gene", "raw", "part", "old_cell")
