@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -26,20 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Actions within use Arrow batches of at most that many rows: wide rows' buffers lie outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    if rows:
+        spark.conf.set(key, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def materialise(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there and a lost executor costs nothing.
 
     arrow_rows: rows of an Arrow batch while it is written, for wide rows; what the session has otherwise.
     """
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, was = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(key)
-    try:
-        if arrow_rows:
-            spark.conf.set(key, str(min(arrow_rows, int(was))) if int(was) > 0 else str(arrow_rows))
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    with arrow_batches(df.sparkSession, arrow_rows):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, was)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

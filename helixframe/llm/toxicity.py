@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from helixframe.llm._common import materialise
+from helixframe.llm._common import arrow_batches, materialise
 from helixframe.llm._labels import remainder, training_rows
 from helixframe.llm._text import ALNUM, Words, gather, hash_bytes, mix, slices, words
 
@@ -118,6 +118,8 @@ class Automaton:
         return at, self.term[final[at]], self.edits[final[at]]
 
 
+#: Rows of an Arrow batch of texts while the lexicon is learned.
+ARROW_ROWS = 1000
 NAMES = ("abuse", "quoted", "misspelt", "addressed", "terms", "strongest", "density")
 
 
@@ -217,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least: int
     if total(1) and total(0):
         each = sample.mapInArrow(count, "w string, p0 long, p1 long, n0 long, n1 long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("p0", "p1", "n0", "n1")])
         p, q = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
-        counts = each.where((p >= 2) & (q <= p) & (F.length("w") >= 3)).orderBy((p - q).desc(), "w").limit(4 * most_terms).collect()
+        with arrow_batches(spark, ARROW_ROWS):
+            counts = each.where((p >= 2) & (q <= p) & (F.length("w") >= 3)).orderBy((p - q).desc(), "w").limit(4 * most_terms).collect()
     lexicon = Lexicon(_learned(counts, total(1), total(0), None, least, odds, most_terms), fuzzy_from)
     if not counts:
         return lexicon, np.array([1.0, 0.2, 0.4, 0.3, 0.5, 0.0, 0.0, -3.5])
@@ -232,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least: int
                 x[a:b] = np.where(f[:, None] == 0, halves.value[0].features(w), halves.value[1].features(w))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
-    seen = sample.mapInArrow(measure, "label int, x array<double>").collect()  # train_rows at most
+    with arrow_batches(spark, ARROW_ROWS):
+        seen = sample.mapInArrow(measure, "label int, x array<double>").collect()  # train_rows at most
     return lexicon, logistic(np.array([r.x for r in seen]), np.array([r.label for r in seen], float))
 
 
