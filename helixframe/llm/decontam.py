@@ -156,7 +156,7 @@ def _indexes(docs: DataFrame, items: DataFrame, window: int, shingle: int, block
                 yield pa.RecordBatch.from_arrays([pa.array(vocabulary.value[m].keys[some].view(np.int64)), pa.array(n[some])], ["h", "n"])
 
         counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        index.choose({r.h % 2**64: r.n for r in counts.toLocalIterator()})
+        index.choose({r.h % 2**64: r.n for r in counts.collect()})  # the vocabulary of a block at most
         yield sc.broadcast(index)
 
 
