@@ -7,8 +7,10 @@ Failing matches are dropped without a retry.
 Information-theoretic sanitisation then looks at the words around each protected value e. Over all documents n(e), n(t)
 and n(e, t) are those that hold the value, the term, and the term near the value (equal texts count once near values).
 ``log2(N n(e,t) / (n(e) n(t)))`` bits are what t says about e; as a share of the information content ``log2(N / n(e))`` it
-is t's disclosure. A term seen near e in ``support`` documents at least, whose disclosure exceeds ``threshold``, is a span
-of kind ``term`` at each place near e; sanitising replaces it by a general label, as it does with the values themselves.
+is t's disclosure. A term whose disclosure reaches ``threshold`` is a span of kind ``term`` at each place near e; sanitising
+replaces it by a general label, as it does with the values themselves. Most values stand in a single text, so no support
+beyond that is asked for: there the share is ``1 - log2 n(t) / log2 N``, and common words fall out by their own frequency.
+Values are the same if they differ only in case (email), leading zeros (ip) or separators (card, phone).
 
 Null and empty texts have no spans. Repeated rows give repeated results. Other columns are ignored by ``spans`` and kept
 by ``sanitise`` (``n_chars``, where it exists as a number, follows the text). An empty table gives an empty result.
@@ -50,6 +52,14 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _key(s: Column) -> Column:
+    """What a span's value is counted as."""
+    digits = F.regexp_replace(s["value"], "[^0-9]", "")
+    octets = F.regexp_replace(s["value"], r"(^|\.)0+(?=[0-9])", "$1")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1)
+    return F.concat_ws(":", kind, F.when(kind == "email", F.lower(s["value"])).when(kind == "ip", octets).otherwise(digits))
+
+
 def _ends(pieces: Column) -> Column:
     """Where each of the pieces that follow one another ends."""
     zero = F.array().cast("array<int>")
@@ -93,16 +103,16 @@ def _context_terms(found: DataFrame) -> DataFrame:
     tokens = F.transform(F.arrays_zip(_ends(F.col("w")).alias("e"), F.col("v").alias("v")), lambda z: F.struct(z["v"].alias("v"), (F.col("s.cstart") + z["e"] - F.length(z["v"])).alias("start"), (F.col("s.cstart") + z["e"]).alias("end")))
     # a word cut by the border of the context is none
     inner = F.filter(tokens, lambda t: ((t["start"] > F.col("s.cstart")) | (F.col("s.cstart") == 0)) & (t["end"] < F.col("s.cstart") + F.length("s.ctx")) & (F.length(t["v"]) >= 4) & ~F.exists("all", lambda a: (a["start"] < t["end"]) & (t["start"] < a["end"])))
-    out = each.select("doc_id", "th", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("value"), F.explode(inner).alias("t"))
+    out = each.select("doc_id", "th", _key(F.col("s")).alias("value"), F.explode(inner).alias("t"))
     return out.select("doc_id", "th", "value", F.lower("t.v").alias("term"), "t.start", "t.end")
 
 
-def _disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, threshold: float, support: int) -> DataFrame:
-    """value, term of those whose disclosure exceeds the threshold."""
+def _disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+    """value, term of those whose disclosure reaches the threshold."""
     n = docs.count()
-    held = found.where(F.size("found") > 0).select("th", F.explode("found").alias("s")).select("th", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("value"))
+    held = found.where(F.size("found") > 0).select("th", F.explode("found").alias("s")).select("th", _key(F.col("s")).alias("value"))
     values = held.distinct().groupBy("value").agg(F.count("*").alias("ne"))
-    pairs = materialise(near.select("value", "term", "th").distinct().groupBy("value", "term").agg(F.count("*").alias("net")).where(F.col("net") >= support))
+    pairs = materialise(near.select("value", "term", "th").distinct().groupBy("value", "term").agg(F.count("*").alias("net")))
     # counted per term before the join: each task sends a row a term, and the join gives a row a candidate
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^0-9a-z\\x{80}-\\x{10FFFF}]+"))).alias("term")).where(F.length("term") >= 4)
     used = words.groupBy("term").agg(F.count("*").alias("nt")).join(pairs.select("term").distinct(), "term")
@@ -111,11 +121,11 @@ def _disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, threshold: f
     return pairs.join(values, "value").join(used, "term").where(share >= threshold).select("value", "term")
 
 
-def spans(docs: DataFrame, threshold: float = 0.8, support: int = 2, near: int = 40) -> DataFrame:
+def spans(docs: DataFrame, threshold: float = 0.8, near: int = 40) -> DataFrame:
     """Per document (doc_id, text): doc_id, th, found: sorted (kind number, start, end); kind 4 is a disclosing term."""
     found = materialise(pattern_spans(docs.select("doc_id", "text"), near))
     near_terms = materialise(_context_terms(found))
-    told = _disclosing(docs, found, near_terms, threshold, support)
+    told = _disclosing(docs, found, near_terms, threshold)
     more = near_terms.join(told, ["value", "term"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")).alias("more"))
     base = F.expr("transform(found, s -> struct(s.kind as kind, s.start as start, s.end as end))")
     f, m = found.alias("f"), more.alias("m")

@@ -426,6 +426,24 @@ def test_pii_terms_and_sanitising(spark):
     assert out[0].text == text[0]
 
 
+def _terms(spark, made):
+    """Per id the lower-case words that are term spans."""
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    text = dict(made)
+    return {r.doc_id: {text[r.doc_id][s.start : s.end].lower() for s in r.found if s.kind == 4} for r in pii.spans(d).collect()}
+
+
+def test_pii_terms_of_values_in_one_text(spark):
+    made = [(i, f"common words everywhere, item {i} at last.") for i in range(200)]
+    made += [(300, "write to zanzibarski at secret@place.org about common words."), (301, "zanzibar calls +1 (555) 123-4567 with common words."), (302, "barbarossa calls +1-555-123-4567 with common words.")]
+    got = _terms(spark, made)
+    assert "zanzibarski" in got[300] and "zanzibar" in got[301] and "barbarossa" in got[302]
+    assert not any("common" in x or "words" in x for x in got.values()) and not any(got[i] for i in range(200))
+    d = spark.createDataFrame([("+1 (555) 123-4567", 3), ("+1-555-123-4567", 3), ("007.1.0.1", 1), ("7.1.0.1", 1), ("A@b.C", 0), ("a@B.c", 0)], "value string, kind int")
+    keys = [r[0] for r in d.select(pii._key(F.struct("kind", "value"))).collect()]
+    assert keys == ["phone:15551234567"] * 2 + ["ip:7.1.0.1"] * 2 + ["email:a@b.c"] * 2
+
+
 def test_pii_has_no_python(spark, docs):
     plan = pii.digest(pii.spans(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
