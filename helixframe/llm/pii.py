@@ -4,11 +4,13 @@ Everything here is DataFrame expressions. The pattern kinds are found leftmost a
 expression each (``\\G``, possessive skips), so a text is read once in linear time and without recursion, however long.
 Failing matches are dropped without a retry.
 
-Information-theoretic sanitisation then looks at the words around each protected value e. Over all documents n(e), n(t)
-and n(e, t) are those that hold the value, the term, and the term near the value (equal texts count once near values).
+Information-theoretic sanitisation then looks at the words of the documents that hold a protected value e, however far
+from it. Over all documents n(e), n(t) and n(e, t) are those that hold the value, the term, and both (equal texts with
+values count once).
 ``log2(N n(e,t) / (n(e) n(t)))`` bits are what t says about e; as a share of the information content ``log2(N / n(e))`` it
-is t's disclosure. A term whose disclosure reaches ``threshold`` is a span of kind ``term`` at each place near e; sanitising
-replaces it by a general label, as it does with the values themselves. Most values stand in a single text, so no support
+is t's disclosure. A term whose disclosure reaches ``threshold`` is a span of kind ``term`` at each of its places in
+the documents that hold e, outside the values; documents without e, which have nothing that it could tell, keep it.
+Sanitising replaces it by a general label, as it does with the values themselves. Most values stand in a single text, so no support
 beyond that is asked for: there the share is ``1 - log2 n(t) / log2 N``, and common words fall out by their own frequency.
 Values are the same if they differ only in case (email), leading zeros (ip) or separators (card, phone).
 
@@ -38,6 +40,7 @@ _PATTERNS = {
 #: A cheap test that a text may hold the kind.
 _GATES = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+_TERM_GAP = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 _TERM = r"\G([^0-9A-Za-z\x{80}-\x{10FFFF}]*+)([0-9A-Za-z\x{80}-\x{10FFFF}]++)"
 
 
@@ -77,8 +80,8 @@ def _kind_spans(i: int, kind: str) -> Column:
     return F.when(F.size(values) > 0, valid).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>"))
 
 
-def pattern_spans(docs: DataFrame, near: int) -> DataFrame:
-    """doc_id, th, found: the valid spans as (kind number, start, end, value, cstart, ctx: the text around)."""
+def pattern_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, th, found: the valid spans as (kind number, start, end, value), text: where there are some."""
     text = F.coalesce("text", F.lit(""))
     df = docs.select("doc_id", F.xxhash64("text").alias("th"), text.alias("text"))
     none = F.array().cast("array<string>")
@@ -91,47 +94,65 @@ def pattern_spans(docs: DataFrame, near: int) -> DataFrame:
     for i, k in enumerate(KINDS):
         parts.append(_kind_spans(i, k))
     df = df.withColumn("spans", F.concat(*parts))
-    around = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.greatest(s["start"] - near, F.lit(0)).alias("cstart"), F.substring(F.col("text"), F.greatest(s["start"] - near, F.lit(0)) + 1, s["end"] + near - F.greatest(s["start"] - near, F.lit(0))).alias("ctx")))
-    return df.select("doc_id", "th", around.alias("found"))
+    return df.select("doc_id", "th", F.col("spans").alias("found"), F.when(F.size("spans") > 0, F.col("text")).alias("text"))
 
 
-def _context_terms(found: DataFrame) -> DataFrame:
-    """doc_id, th, value, term, start, end of the words around each value, outside all spans."""
-    each = found.where(F.size("found") > 0).select("doc_id", "th", F.expr("transform(found, s -> struct(s.start, s.end))").alias("all"), F.explode("found").alias("s"))
-    whole, word = _found(F.col("s.ctx"), _TERM)
-    each = each.withColumn("w", whole).withColumn("v", word)
-    tokens = F.transform(F.arrays_zip(_ends(F.col("w")).alias("e"), F.col("v").alias("v")), lambda z: F.struct(z["v"].alias("v"), (F.col("s.cstart") + z["e"] - F.length(z["v"])).alias("start"), (F.col("s.cstart") + z["e"]).alias("end")))
-    # a word cut by the border of the context is none
-    inner = F.filter(tokens, lambda t: ((t["start"] > F.col("s.cstart")) | (F.col("s.cstart") == 0)) & (t["end"] < F.col("s.cstart") + F.length("s.ctx")) & (F.length(t["v"]) >= 4) & ~F.exists("all", lambda a: (a["start"] < t["end"]) & (t["start"] < a["end"])))
-    out = each.select("doc_id", "th", _key(F.col("s")).alias("value"), F.explode(inner).alias("t"))
-    return out.select("doc_id", "th", "value", F.lower("t.v").alias("term"), "t.start", "t.end")
+def _terms(texts: DataFrame, *keep: str) -> DataFrame:
+    """keep, term: the distinct words of each text, lower-cased."""
+    return texts.select(*keep, F.explode(F.array_distinct(F.split(F.lower("text"), _TERM_GAP))).alias("term")).where(F.length("term") >= 4)
 
 
-def _disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
-    """value, term of those whose disclosure reaches the threshold."""
+def _disclosing(docs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """th, terms of the held texts (th, text, found) that have terms whose disclosure reaches the threshold."""
     n = docs.count()
-    held = found.where(F.size("found") > 0).select("th", F.explode("found").alias("s")).select("th", _key(F.col("s")).alias("value"))
-    values = held.distinct().groupBy("value").agg(F.count("*").alias("ne"))
-    pairs = materialise(near.select("value", "term", "th").distinct().groupBy("value", "term").agg(F.count("*").alias("net")))
-    # counted per term before the join: each task sends a row a term, and the join gives a row a candidate
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^0-9a-z\\x{80}-\\x{10FFFF}]+"))).alias("term")).where(F.length("term") >= 4)
-    used = words.groupBy("term").agg(F.count("*").alias("nt")).join(pairs.select("term").distinct(), "term")
+    values = held.select("th", F.explode(F.array_distinct(F.transform("found", _key))).alias("value"))
+    # values of the same texts have the same terms: one stands for all
+    sets = values.groupBy("value").agg(F.count("*").alias("ne"), F.sum(F.col("th").cast("decimal(38,0)")).alias("ths"))
+    sets = sets.groupBy("ne", "ths").agg(F.min("value").alias("value")).drop("ths")
+    entities = materialise(values.join(sets, "value"))
+    # n(e, t) <= n(e): terms of more documents than that can't reach the threshold
+    reach = lambda ne: F.lit(n * (1 + 1e-9)) * F.pow(ne / F.lit(float(max(n, 1))), F.lit(float(threshold)))
+    most = entities.agg(F.coalesce(reach(F.max("ne")), F.lit(0.0))).first()[0]
+    # counted per term before the join: each task sends a row a term
+    often = max(most, n / 1000)
+    counts = materialise(_terms(docs).groupBy("term").agg(F.count("*").alias("nt")).where((F.col("nt") <= most) | (F.col("nt") > often)))
+    # words of a thousandth of the documents: at most a thousand times the words of a document
+    said = _terms(held, "th").join(F.broadcast(counts.where(F.col("nt") > often).select("term")), "term", "left_anti")
+    pairs = said.join(counts.where(F.col("nt") <= most), "term").join(entities, "th").where(F.col("nt") <= reach(F.col("ne")))
+    pairs = materialise(pairs.select("th", "value", "term", "ne", "nt"))
     bits = F.log2(F.lit(float(n)) * F.col("net") / (F.col("ne") * F.greatest("nt", "net")))
     share = bits / F.greatest(F.log2(F.lit(float(max(n, 1))) / F.col("ne")), F.lit(1e-9))
-    return pairs.join(values, "value").join(used, "term").where(share >= threshold).select("value", "term")
+    told = pairs.groupBy("value", "term").agg(F.count("*").alias("net"), F.first("ne").alias("ne"), F.first("nt").alias("nt")).where(share >= threshold)
+    return pairs.join(told.select("value", "term"), ["value", "term"]).groupBy("th").agg(F.collect_set("term").alias("terms"))
 
 
-def spans(docs: DataFrame, threshold: float = 0.8, near: int = 40) -> DataFrame:
+def _places(held: DataFrame, told: DataFrame) -> DataFrame:
+    """th, more: spans of the told terms (th, terms) in the held texts, outside all values."""
+    whole, word = _found(F.col("text"), _TERM)
+    kind = "struct<kind:int,start:int,end:int>"
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(acc: Column, z: Column) -> Column:
+        end = acc["pos"] + F.length(z["w"])
+        start = end - F.length(z["v"])
+        told_here = F.array_contains("terms", F.lower(z["v"])) & ~F.exists("found", lambda s: (s["start"] < end) & (start < s["end"]))
+        span = F.struct(F.lit(len(KINDS)).alias("kind"), start.alias("start"), end.alias("end")).cast(kind)
+        return F.struct(end.alias("pos"), F.when(told_here, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    words = held.join(told, "th").select("th", "found", "terms", F.arrays_zip(whole.alias("w"), word.alias("v")).alias("words"))
+    return words.select("th", F.aggregate("words", zero, step, lambda acc: acc["out"]).alias("more"))
+
+
+def spans(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Per document (doc_id, text): doc_id, th, found: sorted (kind number, start, end); kind 4 is a disclosing term."""
-    found = materialise(pattern_spans(docs.select("doc_id", "text"), near))
-    near_terms = materialise(_context_terms(found))
-    told = _disclosing(docs, found, near_terms, threshold)
-    more = near_terms.join(told, ["value", "term"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")).alias("more"))
+    found = materialise(pattern_spans(docs.select("doc_id", "text")))
+    some = F.size("found") > 0
+    held = materialise(found.where(some).select("th", "found", "text").dropDuplicates(["th"]))
+    more = _places(held, _disclosing(docs, held, threshold))
     base = F.expr("transform(found, s -> struct(s.kind as kind, s.start as start, s.end as end))")
-    f, m = found.alias("f"), more.alias("m")
-    both = f.join(m, F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("f.th").eqNullSafe(F.col("m.th")), "left")
     every = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
-    return both.select("f.doc_id", "f.th", every.alias("found"))
+    both = found.where(some).drop("text").join(more, "th", "left").select("doc_id", "th", every.alias("found"))
+    return found.where(~some).select("doc_id", "th", base.alias("found")).union(both)
 
 
 def digest(found: DataFrame) -> DataFrame:

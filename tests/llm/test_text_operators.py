@@ -444,6 +444,19 @@ def test_pii_terms_of_values_in_one_text(spark):
     assert keys == ["phone:15551234567"] * 2 + ["ip:7.1.0.1"] * 2 + ["email:a@b.c"] * 2
 
 
+def test_pii_terms_of_the_whole_document(spark):
+    far = "common words everywhere " * 20
+    made = [(i, f"common words everywhere, item {i} at last.") for i in range(200)]
+    made += [(300, f"Zanzibarski says {far} secret@place.org {far} zanzibarski, {far} zanzibarski."), (301, f"barbarossa {far} secret@place.org."), (302, "zanzibarski without the value.")]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == 4] for r in pii.spans(d).collect()}
+    text = dict(made)
+    assert [text[300][a:b] for a, b in got[300] if text[300][a:b] != "says"] == ["Zanzibarski", "zanzibarski", "zanzibarski"]
+    assert [text[301][a:b] for a, b in got[301]] == ["barbarossa"] and not got[302] and not got[0]
+    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert "zanzibarski" not in clean[300].lower() and "barbarossa" not in clean[301] and "[EMAIL]" in clean[301]
+
+
 def test_pii_has_no_python(spark, docs):
     plan = pii.digest(pii.spans(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
