@@ -5,8 +5,8 @@ expression each (``\\G``, possessive skips), so a text is read once in linear ti
 Failing matches are dropped without a retry.
 
 Information-theoretic sanitisation then looks at the words of the documents that hold a protected value e, however far
-from it. Over all documents n(e), n(t) and n(e, t) are those that hold the value, the term, and both (equal texts with
-values count once).
+from it. Over the N distinct texts n(e), n(t) and n(e, t) are those that hold the value, the term, and both: copies of a
+text change nothing.
 ``log2(N n(e,t) / (n(e) n(t)))`` bits are what t says about e; as a share of the information content ``log2(N / n(e))`` it
 is t's disclosure. A term whose disclosure reaches ``threshold`` is a span of kind ``term`` at each of its places in
 the documents that hold e, outside the values; documents without e, which have nothing that it could tell, keep it.
@@ -102,9 +102,11 @@ def _terms(texts: DataFrame, *keep: str) -> DataFrame:
     return texts.select(*keep, F.explode(F.array_distinct(F.split(F.lower("text"), _TERM_GAP))).alias("term")).where(F.length("term") >= 4)
 
 
-def _disclosing(docs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+def _disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """th, terms of the held texts (th, text, found) that have terms whose disclosure reaches the threshold."""
-    n = docs.count()
+    copies = found.groupBy("th").agg(F.count("*").alias("copies"))
+    n = copies.count()
+    copies = materialise(copies.where("copies > 1"))
     values = held.select("th", F.explode(F.array_distinct(F.transform("found", _key))).alias("value"))
     # values of the same texts have the same terms: one stands for all
     sets = values.groupBy("value").agg(F.count("*").alias("ne"), F.sum(F.col("th").cast("decimal(38,0)")).alias("ths"))
@@ -115,12 +117,14 @@ def _disclosing(docs: DataFrame, held: DataFrame, threshold: float) -> DataFrame
     most = entities.agg(F.coalesce(reach(F.max("ne")), F.lit(0.0))).first()[0]
     # counted per term before the join: each task sends a row a term
     often = max(most, n / 1000)
-    counts = materialise(_terms(docs).groupBy("term").agg(F.count("*").alias("nt")).where((F.col("nt") <= most) | (F.col("nt") > often)))
+    weighed = docs.withColumn("th", F.xxhash64("text")).join(copies, "th", "left").select("text", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
+    words = _terms(weighed, "weight").groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("nt"))
+    counts = materialise(words.where((F.col("nt") <= most) | (F.col("nt") > often)))
     # words of a thousandth of the documents: at most a thousand times the words of a document
     said = _terms(held, "th").join(F.broadcast(counts.where(F.col("nt") > often).select("term")), "term", "left_anti")
     pairs = said.join(counts.where(F.col("nt") <= most), "term").join(entities, "th").where(F.col("nt") <= reach(F.col("ne")))
     pairs = materialise(pairs.select("th", "value", "term", "ne", "nt"))
-    bits = F.log2(F.lit(float(n)) * F.col("net") / (F.col("ne") * F.greatest("nt", "net")))
+    bits = F.log2(F.lit(float(n)) * F.col("net") / (F.col("ne") * F.col("nt")))
     share = bits / F.greatest(F.log2(F.lit(float(max(n, 1))) / F.col("ne")), F.lit(1e-9))
     told = pairs.groupBy("value", "term").agg(F.count("*").alias("net"), F.first("ne").alias("ne"), F.first("nt").alias("nt")).where(share >= threshold)
     return pairs.join(told.select("value", "term"), ["value", "term"]).groupBy("th").agg(F.collect_set("term").alias("terms"))
@@ -148,7 +152,7 @@ def spans(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = materialise(pattern_spans(docs.select("doc_id", "text")))
     some = F.size("found") > 0
     held = materialise(found.where(some).select("th", "found", "text").dropDuplicates(["th"]))
-    more = _places(held, _disclosing(docs, held, threshold))
+    more = _places(held, _disclosing(docs.select("text"), found, held, threshold))
     base = F.expr("transform(found, s -> struct(s.kind as kind, s.start as start, s.end as end))")
     every = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
     both = found.where(some).drop("text").join(more, "th", "left").select("doc_id", "th", every.alias("found"))

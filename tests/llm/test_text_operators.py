@@ -457,6 +457,14 @@ def test_pii_terms_of_the_whole_document(spark):
     assert "zanzibarski" not in clean[300].lower() and "barbarossa" not in clean[301] and "[EMAIL]" in clean[301]
 
 
+def test_pii_terms_do_not_depend_on_copies(spark):
+    made = [(i, f"common words everywhere, item {i} at last.") for i in range(1000)]
+    made += [(2000, "zanzibarski at secret@place.org about common words."), (2001, "once more zanzibarski at secret@place.org.")]
+    assert "zanzibarski" in _terms(spark, made)[2000]
+    got = _terms(spark, made + [(3000 + i, made[-2][1]) for i in range(300)])
+    assert all("zanzibarski" in got[i] for i in (2000, 2001, 3000, 3299)) and not any("common" in x for x in got.values())
+
+
 def test_pii_has_no_python(spark, docs):
     plan = pii.digest(pii.spans(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
