@@ -465,6 +465,11 @@ def test_pii_terms_do_not_depend_on_copies(spark):
     assert all("zanzibarski" in got[i] for i in (2000, 2001, 3000, 3299)) and not any("common" in x for x in got.values())
 
 
+def test_pii_last_word_is_a_term(spark):
+    made = [(i, f"common words everywhere, item {i} at last.") for i in range(200)] + [(300, "mail a@b.org Zanzibarski")]
+    assert "zanzibarski" in _terms(spark, made)[300]
+
+
 def test_pii_has_no_python(spark, docs):
     plan = pii.digest(pii.spans(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
