@@ -3,7 +3,7 @@
 A rule is a regular expression over the words of a text (lower-cased, single spaces), a label, a priority, a confidence
 and the keywords without one of which it can't match. Keywords are looked up for all words of a batch at once; rules run
 only on the stretches around the keywords that gate them, which hold every possible match since a rule spans at most
-``REACH`` words and contains its keyword. Detections are taken by priority, then length; one whose words all lie within a
+``reach`` words and each of its alternatives contains a keyword. Detections are taken by priority, then length; one whose words all lie within a
 detection taken before is suppressed. The base phrases are found for all texts and always stay.
 
 Null, empty and wordless texts have no words and no labels: n_words 0, first_word and last_word null, labels empty, score
@@ -37,6 +37,7 @@ class Rule:
     keywords: tuple[str, ...]
     priority: int
     confidence: float
+    reach: int = REACH
 
 
 #: License families by identifier, name pattern, versions. A version is written 2.0 in labels, "2 0" in texts.
@@ -113,19 +114,40 @@ _LICENSE = r"(?:licen[cs]e|licen[cs]ed|licen[cs]es|lizenz|lizenziert|licencia|so
 _GATE = ("license", "licence", "licensed", "licenced", "licenses", "licences", "lizenz", "lizenziert", "licencia", "spdx")
 
 
+#: Words of `neither the name of .{1,60} nor ...`: 30 single letters in the gap at most, 17 around it.
+WIDE = 48
+
+
+def _own(said: str, version: str) -> tuple[str, ...]:
+    """Per alternative of a family's name a word that it must contain, alone or with the version's first digit after it."""
+    words = [max(re.sub(r"\(\?:[^)]*\)\??", " ", x).split(), key=len) for x in _alternatives(said)]
+    return tuple(dict.fromkeys(k for word in words for k in (word, word + version.split(".")[0])))
+
+
+def _alternatives(said: str) -> list[str]:
+    """The parts between the bars outside all brackets."""
+    out, depth = [""], 0
+    for c in said:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first."""
-    out = [Rule(label, pattern, keys, priority, sure) for label, pattern, keys, priority, sure in NOTICES]
+    out = [Rule(label, pattern, keys, priority, sure, WIDE if ".{1,60}" in pattern else REACH) for label, pattern, keys, priority, sure in NOTICES]
     for name, said, versions in FAMILIES:
-        short = (name,) if name in ("gpl", "lgpl", "agpl", "gfdl", "mpl", "epl", "cddl", "eupl", "sspl", "odbl", "ofl", "wtfpl") else ()
         out.append(Rule(name, rf"(?:{said})(?: public)? {_LICENSE}|{_LICENSE} under (?:the )?(?:{said})", _GATE, 50, 0.85))
         out.append(Rule(name, rf"spdx license identifier {name.replace('-', ' ')}(?: only| or later)?", ("spdx",), 70, 0.99))
         for v in versions:
             number = v.replace(".", " ") if not v.endswith(".0") else rf"{v[:-2]}(?: 0)?"
             label = f"{name}-{v}"
-            out.append(Rule(label, rf"(?:{said})(?: public)?(?: {_LICENSE})?(?: version| v)? ?{number}(?: {_LICENSE})?", (*_GATE, *short, "version"), 58, 0.95))
-            out.append(Rule(label, rf"(?:{name.replace('-', ' ')}|{name.replace('-', '')})(?: v| version)? ?{number}", (*_GATE, *short), 54, 0.9))
+            out.append(Rule(label, rf"(?:{said})(?: public)?(?: {_LICENSE})?(?: version| v)? ?{number}(?: {_LICENSE})?", _own(said, v), 58, 0.95))
+            out.append(Rule(label, rf"(?:{name.replace('-', ' ')}|{name.replace('-', '')})(?: v| version)? ?{number}", _own(f"{name.replace('-', ' ')}|{name.replace('-', '')}", v), 54, 0.9))
             out.append(Rule(label, rf"spdx license identifier {name.replace('-', ' ')} {number}(?: only| or later| plus)?", ("spdx",), 72, 0.99))
             out.append(Rule(label, rf"{_LICENSE} under (?:the )?(?:terms of )?(?:the )?(?:{said})(?: public)?(?: {_LICENSE})?(?: version| v)? ?{number}", _GATE, 62, 0.98))
     for element, said in COMMONS:
@@ -146,6 +168,7 @@ class Scanner:
             for k in r.keywords:
                 gated[hash_bytes(k.encode())].append(i)
         self.gated = dict(gated)
+        self.reach = {k: max(self.rules[i].reach for i in of) for k, of in gated.items()}
         self.keys = np.array(sorted(gated), np.uint64)
         self.seen = np.zeros(1 << 16, bool)
         self.seen[self.keys >> np.uint64(48)] = True
@@ -176,12 +199,12 @@ class Scanner:
             a, b = int(w.first[i]), int(w.first[i + 1])
             runs: list[list] = []
             for _, p in places:
-                lo, hi = max(a, p - REACH), min(b, p + REACH + 1)
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][1] = hi
-                    runs[-1][2].add(int(w.hash[p]))
-                else:
-                    runs.append([lo, hi, {int(w.hash[p])}])
+                reach = self.reach[int(w.hash[p])]
+                lo, hi, keys = max(a, p - reach), min(b, p + reach + 1), {int(w.hash[p])}
+                while runs and lo <= runs[-1][1]:  # a wide stretch may reach back over several
+                    x, y, z = runs.pop()
+                    lo, hi, keys = min(lo, x), max(hi, y), keys | z
+                runs.append([lo, hi, keys])
             found = set()
             for lo, hi, keys in runs:
                 said = [w.word(t).decode("utf-8", "replace") for t in range(lo, hi)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import decontam, lattice, license, neardup, packing, pii, quality, sharding, toxicity
 from helixframe.llm._labels import remainder
+from helixframe.llm._text import ALNUM as ALNUM_BYTES, text_words
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -357,6 +358,29 @@ def test_license_rules(spark, text, label):
     assert len(license.rules()) > 200
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Distributed under Apache-2.0", "apache-2.0"),
+        ("artistic 2.0", "artistic-2.0"),
+        ("OSL-3.0", "osl-3.0"),
+        ("ZPL 2.1", "zpl-2.1"),
+        ("PHP 3.01", "php-3.01"),
+        ("apache2 0", "apache-2.0"),
+        ("Boost Software 1.0", "bsl-1.0"),
+        ("neither the name of the a b c d e f g h i j k l m n o nor the names of its contributors may be used to endorse", "bsd-3-clause"),
+    ],
+)
+def test_license_rules_hold_their_keywords(text, label):
+    kept = license.scanner().detections(text_words(["before it " * 40 + text + " and after" * 40], ALNUM_BYTES))
+    assert label in {license.rules()[r].label for _, _, r in kept.get(0, ())}
+
+
+def test_license_keywords_are_in_every_alternative():
+    assert license._own("(?:gnu )?(?:lesser|library) general public|(?:gnu )?lgpl", "2.1") == ("general", "general2", "lgpl", "lgpl2")
+    assert license._own("odc by|odcby", "1.0") == ("odc", "odc1", "odcby", "odcby1")
+
+
 def test_license_containment(spark):
     r = license.scan(spark.createDataFrame([(1, "licensed under the apache license version 2 0")], "doc_id long, text string")).first()
     assert r.labels == "apache-2.0"
