@@ -193,7 +193,7 @@ def _apart(members: DataFrame, texts: DataFrame, k: int, percent: int, block: in
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
-    """Per document (doc_id, text): n_shingles, component_id, kept, and th, the hash of the text."""
+    """Per document (doc_id, text): n_shingles, component_id, kept, and th, the hash of the text, and root, its group (null without words)."""
     threshold = percent / 100
     sk = materialise(sketches(docs, k, bands, rows), ARROW_ROWS)
     classes = sk.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bands").alias("bands"))
@@ -223,10 +223,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
 
     of = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("s1", "s2", "n", "doc_id", F.coalesce("root", "cid").alias("root"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(least, "root").select("s1", "s2", "n", "component_id")
+    named = of.join(least, "root").select("s1", "s2", "n", "component_id", "root")
     out = sk.select("doc_id", "th", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "th")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "th", "root")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -236,15 +236,22 @@ def _repeats(sk: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs, all columns, with one document of each group: the one of the smallest id; of repeated rows, one."""
+    """docs, all columns, with one document of each group: the one of the smallest id; of repeated rows, one.
+
+    Rows that share an id but not the text are judged each by its own text.
+    """
     marks = near_duplicates(docs.select("doc_id", "text"), **how)
-    drop = marks.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    twice = marks.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    d = docs.alias("d")
+    same = lambda m: (F.col("d.doc_id") == F.col(f"{m}.doc_id")) & (F.xxhash64("d.text") == F.col(f"{m}.th"))
+    drop = marks.where(~F.col("kept")).select("doc_id", "th").distinct()
+    kept = d.join(drop.alias("x"), same("x"), "left_anti")
+    groups = marks.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "root")
+    # of rows of one id in one group the least text, once
+    twice = materialise(groups.agg(F.count("*").alias("c"), F.min("th").alias("first"), F.collect_set("th").alias("ths")).where("c > 1").select("doc_id", "first", F.explode("ths").alias("th")))
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, "doc_id", "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     name = "__row_" + "_".join(docs.columns)
-    again = again.withColumn(name, F.row_number().over(w)).where(F.col(name) == 1).drop(name)
-    return kept.join(twice, "doc_id", "left_anti").union(again)
+    again = kept.alias("d").join(twice.where("th = first").alias("t"), same("t"), "left_semi").withColumn("__th" + name, F.xxhash64("text"))
+    w = Window.partitionBy("doc_id", "__th" + name).orderBy(F.lit(1))
+    again = again.withColumn(name, F.row_number().over(w)).where(F.col(name) == 1).drop(name, "__th" + name)
+    return kept.alias("d").join(twice.alias("t"), same("t"), "left_anti").union(again)

@@ -358,6 +358,13 @@ def test_license_rules(spark, text, label):
     assert len(license.rules()) > 200
 
 
+def test_keep_one_of_repeated_ids_with_different_texts(spark):
+    said = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    made = [(1, said["a"]), (5, said["a"]), (5, said["b"]), (6, said["c"]), (6, said["d"]), (7, said["c"]), (6, said["c"]), (5, ""), (8, said["d"] + " more"), (6, said["d"] + " more")]
+    kept = sorted((r.doc_id, r.text) for r in neardup.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect())
+    assert [(i, t[:1]) for i, t in kept] == [(1, "a"), (5, ""), (5, "b"), (6, "c"), (6, "d")]
+
+
 @pytest.mark.parametrize(
     ("text", "label"),
     [
