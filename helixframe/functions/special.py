@@ -8,12 +8,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _each(f, x) -> np.ndarray:
+    """f of each number. (An ``np.vectorize`` object would keep a ufunc that can't be pickled once it was called.)"""
+    x = np.asarray(x, float)
+    return np.fromiter((f(v) for v in x.ravel().tolist()), float, x.size).reshape(x.shape)
+
+
+def lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
 
 
 def normal_cdf(x):
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2))
+    return 0.5 * _each(math.erfc, -np.asarray(x, float) / math.sqrt(2))
 
 
 def digamma(x: float) -> float:
@@ -110,7 +117,7 @@ def normal_tail(z: np.ndarray) -> np.ndarray:
     a = np.abs(np.asarray(z, float))
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
         mills = np.exp(-0.5 * a * a) / math.sqrt(2 * math.pi) * (1 / a - 1 / a**3 + 3 / a**5 - 15 / a**7)
-    return np.where(a > 37, mills, 0.5 * _erfc(a / math.sqrt(2)))
+    return np.where(a > 37, mills, 0.5 * _each(math.erfc, a / math.sqrt(2)))
 
 
 ALTERNATIVES = ("twosided", "greater", "less")

@@ -31,3 +31,22 @@ def test_importances_sum_to_one(spark, sf):
     for name in ("regulatory_network", "regulatory_network_boosted"):
         for r in iterative.QUERIES[name](spark, sf).groupBy("gene").agg(F.sum("importance").alias("s")).collect():
             assert abs(r.s - 1) < 1e-6 or r.s == 0
+
+
+def test_community_scores_after_driver_use(spark):
+    """The tail runs in workers although lgamma was called on the driver before; against exact sums."""
+    import math
+
+    from helixframe.functions import special
+    from helixframe.operators.doublets import community_scores
+
+    assert abs(float(special.lgamma(5.0)) - math.log(24)) < 1e-12
+    assert abs(float(special.normal_cdf(0.0)) - 0.5) < 1e-12
+    made = [(i if i > 3 else -1 - i, i % 2) for i in range(12)]
+    got = {r.cell: (r.share, r.log_p) for r in community_scores(spark.createDataFrame(made, "id long, community int")).collect()}
+    for cell, community in made:
+        if cell >= 0:
+            ids = [i for i, c in made if c == community]
+            s, k, m, t = sum(i < 0 for i in ids), len(ids), 4, 12
+            p = sum(math.comb(m, x) * math.comb(t - m, k - x) for x in range(s, min(k, m) + 1)) / math.comb(t, k)
+            assert got[cell][0] == s / k and abs(got[cell][1] - min(0.0, math.log(p))) < 1e-9
