@@ -1,13 +1,17 @@
 """Whole-batch text kernels: words and shingles of UTF-8 buffers as numpy arrays.
 
 The word classes are byte classes, so they are exact on UTF-8: every byte of a character above U+007F is at least
-0x80. Hashes are 64-bit; operators that must be exact compare words or sets again.
+0x80. A word's two hashes are of 64 bits each: one finds candidates, both together (or the word's bytes) decide equality,
+and shingles carry two likewise. Words of more than 64 bytes are digested by BLAKE2.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +25,11 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 SPACED = np.ones(256, bool)
 SPACED[32] = SPACED[9:14] = False
 
+#: First 8-byte chunks of a word are mixed one after the other; longer words are digested whole.
+_LONG = 64
+_KEEP = np.array([2**64 - 1 if n == 8 else 2 ** (8 * n) - 1 for n in range(9)], np.uint64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
-_STEP = _rng.integers(1, 2**64, 64, dtype=np.uint64) | np.uint64(1)
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 2**64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    have = _powers[which]
-    if len(have) < n:
-        base = np.full(max(n, (1 << 20) + 2), _P if which == "up" else _P_INV, np.uint64)
-        base[0] = 1
-        _powers[which] = have = np.multiply.accumulate(base)
-    return have[:n]
+_STEP = _rng.integers(1, 2**64, (2, 64), dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,6 +42,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _digest(low: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """One of two independent 64-bit hashes of each low[start:end]; up to 8 bytes of one length never collide."""
+    size = end - start
+    chunk = np.ndarray((len(low) + 1,), "<u8", np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix((chunk[start] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ _STEP[which, 63])
+    rest, t = np.flatnonzero(size > 8), 8
+    while len(rest) and t < _LONG:
+        x = chunk[start[rest] + t] & _KEEP[np.minimum(size[rest] - t, 8)]
+        h[rest] = mix(h[rest] * _STEP[which, 62] + x)
+        t += 8
+        rest = rest[size[rest] > t]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
+    return h
+
+
 @dataclass
 class Words:
     """Words of some texts: hash, first and last byte (exclusive) in ``low``; words of text i: first[i] to first[i+1]."""
@@ -58,6 +68,11 @@ class Words:
     hash: np.ndarray
     first: np.ndarray
 
+    @functools.cached_property
+    def check(self) -> np.ndarray:
+        """A second hash of each word: with ``hash``, 128 bits that stand for the word."""
+        return _digest(self.low, self.start, self.end, 1)
+
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
@@ -81,10 +96,32 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     opens[cut] = here[cut]
     closes[cut - 1] = here[cut - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[low] * _power("up", n), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power("down", n + 1)[start]
-    return Words(low, start, end, mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, offsets))
+    return Words(low, start, end, _digest(low, start, end, 0), np.searchsorted(start, offsets))
+
+
+def group(key: np.ndarray, *exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, number of each row's group and size of the groups of rows equal in ``exact``; key is a hash of those."""
+    _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    if all((x[first][inverse] == x).all() for x in exact):
+        return first, inverse, n
+    order = np.lexsort(exact)
+    new = np.ones(len(key), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in exact], axis=0)
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse, np.bincount(inverse)
+
+
+def distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of all texts, as ``group`` gives them."""
+    return group(w.hash, w.hash, w.check)
+
+
+def distinct_by_text(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct word of each text, and how often the text holds it."""
+    owner = w.text()
+    first, _, n = group(mix(w.hash + owner.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), owner, w.hash, w.check)
+    return first, n
 
 
 def hash_bytes(word: bytes) -> int:
@@ -93,14 +130,15 @@ def hash_bytes(word: bytes) -> int:
     return int(w.hash[0])
 
 
-def shingles(w: Words, k: int) -> np.ndarray:
+def shingles(w: Words, k: int, which: int = 0) -> np.ndarray:
     """Hash of the k words from each word on; wrong where fewer than k words of its text are left."""
-    n = len(w.hash) - k + 1
-    out = np.zeros(len(w.hash), np.uint64)
+    own = w.check if which else w.hash
+    n = len(own) - k + 1
+    out = np.zeros(len(own), np.uint64)
     if n > 0:
-        total = w.hash[:n] * _STEP[0]
+        total = own[:n] * _STEP[which, 0]
         for t in range(1, k):
-            total += w.hash[t : t + n] * _STEP[t]
+            total += own[t : t + n] * _STEP[which, t]
         out[:n] = mix(total + np.uint64(k))
     return out
 
@@ -110,17 +148,47 @@ def left(w: Words) -> np.ndarray:
     return np.repeat(w.first[1:], w.counts()) - np.arange(len(w.hash))
 
 
-def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
-    """Per text its distinct k-word shingles, sorted; fewer words: the whole sequence as one; no words: empty."""
-    full, count, first = shingles(w, k), w.counts(), w.first
-    short = {m: shingles(w, m) for m in np.unique(count[(count > 0) & (count < k)]).tolist()}
+class Shingles(NamedTuple):
+    """A set of shingles, each known by 128 bits: sorted 64-bit hashes and, beside them, second ones."""
+
+    hash: np.ndarray
+    check: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def shared(self, other: Shingles) -> int:
+        """How many shingles both sets hold."""
+        at = np.minimum(np.searchsorted(self.hash, other.hash), len(self.hash) - 1)
+        return int(((self.hash[at] == other.hash) & (self.check[at] == other.check)).sum())
+
+    def identity(self) -> bytes:
+        return hashlib.blake2b(self.hash.tobytes() + self.check.tobytes(), digest_size=16).digest()
+
+
+def _set(hashes: np.ndarray, check: np.ndarray) -> Shingles:
+    order = np.argsort(hashes)
+    a, b = hashes[order], check[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # equal by one hash only
+        order = np.lexsort((check, hashes))
+        a, b = hashes[order], check[order]
+        same = a[1:] == a[:-1]
+    keep = np.ones(len(a), bool)
+    keep[1:] = ~(same & (b[1:] == b[:-1]))
+    return Shingles(a[keep], b[keep])
+
+
+def shingle_sets(w: Words, k: int) -> list[Shingles]:
+    """Per text its distinct k-word shingles; fewer words: the whole sequence as one; no words: empty."""
+    count, first = w.counts(), w.first
+    both = lambda m: (shingles(w, m), shingles(w, m, 1))
+    full, short = both(k), {m: both(m) for m in np.unique(count[(count > 0) & (count < k)]).tolist()}
     out = []
     for i, m in enumerate(count.tolist()):
         a = first[i]
-        if m >= k:
-            out.append(np.unique(full[a : a + m - k + 1]))
-        else:
-            out.append(short[m][a : a + 1] if m else full[:0])
+        x, b = (full, a + m - k + 1) if m >= k else (short.get(m, full), a + (m > 0))
+        out.append(_set(x[0][a:b], x[1][a:b]))
     return out
 
 

@@ -3,15 +3,19 @@
 Pieces and their scores come from an existing vocabulary (``piece_bpe_32k.model``). Its scores are merge ranks, read as
 Zipf probabilities. Every segmentation of a word into pieces is a path of a lattice over the word's bytes; byte pieces
 make sure there is one. A forward recursion in log space sums the paths, a backward one gives expected piece counts, and
-one expectation-maximisation round over all training words adapts the piece probabilities. Pieces don't cross words, so a
-text's marginal probability is the product over its words and the end piece. A word seen in training has one arc more,
-its relative frequency; ``lam = 1 - n1 / N`` (the Good-Turing mass of seen words) weighs that arc against the lattice.
+expectation-maximisation rounds over all training words adapt the piece probabilities. Pieces don't cross words, so a
+text's marginal probability, the score, is the product over its words and the end piece.
 
-Word counts are gathered from all training documents and joined with the words of all documents. Words with at least
-1/20,000 of all tokens, so 20,000 at most, are scored where they are read; only rarer ones are shuffled, so no key is hot.
+``word_arcs`` (off) gives each word seen in training one arc more, its relative frequency, which ``lam = 1 - n1 / N`` (the
+Good-Turing mass of seen words) weighs against the lattice: likelier texts, but no longer a score of the pieces alone.
 
-Null and empty texts are the end token alone. Repeated rows get equal scores. Without training documents N and V are 0
-and the piece probabilities are the vocabulary's. Other columns are ignored.
+Word counts are gathered from all training documents and joined, word by word, with the words of all documents. Words with
+at least 1/100,000 of all tokens, so 100,000 at most, are scored where they are read; only rarer ones are shuffled, and what
+one of those has beyond a fair partition adaptive execution splits.
+
+Null and empty texts are the end token alone. Repeated rows get equal scores, and so do equal texts (ties). Very long texts
+are read a slice at a time; a word longer than 64 bytes goes over a trie. Without training documents N and V are 0 and the
+piece probabilities are the vocabulary's. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.llm._common import materialise
 from helixframe.llm._labels import remainder
-from helixframe.llm._text import SPACED, Words, gather, mix, slices, words
+from helixframe.llm._text import SPACED, Words, distinct, distinct_by_text, gather, mix, slices, text_words, words
 
 _MARK = "▁".encode()
 _MUL = np.uint64(0xD6E8FEB86659FD93)
-_BITS, _LONG, _HOT = 20, 64, 20_000
+_BITS, _LONG, _HOT = 20, 64, 100_000
 
 
 @functools.cache
@@ -156,7 +160,7 @@ class Lattice:
                 for i in at.tolist():
                     out[i] = self.one(_MARK + low[start[i] : end[i]].tobytes(), 0 if count is None else count[i], expected)
                 continue
-            for part in np.array_split(at, -(-len(at) * (m + 3) // (1 << 21)) or 1):
+            for part in np.array_split(at, -(-len(at) * (m + 3) // (1 << 20)) or 1):
                 text = np.empty((len(part), m + 3), np.uint8)
                 text[:, :3] = np.frombuffer(_MARK, np.uint8)
                 text[:, 3:] = low[start[part][:, None] + np.arange(m)]
@@ -174,23 +178,17 @@ def _runs(x: np.ndarray) -> tuple[list, list, list]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of a batch with their occurrences in training documents."""
+    """Distinct words of slices of texts with their occurrences in training documents."""
     for batch in batches:
         train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        hashes, counts, texts = [], [], []
-        for a, b, buf, offsets in slices(batch.column(0)):
+        for a, b, buf, offsets in slices(batch.column(0), 1 << 21):
             w = words(buf, offsets, SPACED)
-            h, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-            hashes.append(h)
-            counts.append(np.bincount(inverse, train[a:b][w.text()], len(h)).astype(np.int64))
-            texts.append(gather(w.low, w.start[first], w.end[first]))
-        if hashes:
-            h, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-            c = np.bincount(inverse, np.concatenate(counts), len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(texts).take(pa.array(first)), pa.array(c)], ["word", "c"])
+            first, inverse, _ = distinct(w)
+            c = np.bincount(inverse, train[a:b][w.text()], len(first)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([gather(w.low, w.start[first], w.end[first]), pa.array(c)], ["word", "c"])
 
 
-def _buffered(batches: Iterator[pa.RecordBatch], rows: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _buffered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
     parts, n = [], 0
     for batch in batches:
         parts.append(batch)
@@ -208,14 +206,27 @@ def _each_word(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield a, b, words(buf, offsets, SPACED)
 
 
-def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each text: text, hash, occurrences."""
-    owner = w.text()
-    _, first, n = np.unique(mix(w.hash + owner.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), return_index=True, return_counts=True)
-    return owner[first], w.hash[first], n
+class Frequent:
+    """The frequent words, found again by both hashes: their counts and log probabilities."""
+
+    def __init__(self, said: list[str], count: list[int], lm: list[float]):
+        w = text_words(said, SPACED)
+        order = np.lexsort((w.check, w.hash))
+        self.hash, self.check = w.hash[order], w.check[order]
+        self.count, self.lm = np.array(count, np.int64)[order], np.array(lm, float)[order]
+        self.most = max((b - a for _, a, b in zip(*_runs(self.hash), strict=True)), default=0)  # words of one first hash
+
+    def look(self, w: Words) -> np.ndarray:
+        """The place of each word, -1 for other words."""
+        out = np.full(len(w.hash), -1)
+        at = np.searchsorted(self.hash, w.hash)
+        for i in range(self.most):
+            x = np.minimum(at + i, len(self.hash) - 1)
+            out = np.where((self.hash[x] == w.hash) & (self.check[x] == w.check), x, out)
+        return out
 
 
-def lattice_scores(docs: DataFrame, model_path: str | None = None, rounds: int = 1) -> DataFrame:
+def lattice_scores(docs: DataFrame, model_path: str | None = None, rounds: int = 2, word_arcs: bool = False) -> DataFrame:
     """Per document (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -226,7 +237,7 @@ def lattice_scores(docs: DataFrame, model_path: str | None = None, rounds: int =
     sums = table.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum((F.col("c") == 1).cast("long"))).first()
     ends = docs.where(~held).count()
     n, v, once = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0), sums[2] or 0
-    lam = 1 - once / n if n else 0.0
+    lam = 1 - once / n if n and word_arcs else 0.0
 
     pieces, logp, _ = vocabulary(model_path)
     for _ in range(rounds if ends else 0):
@@ -249,60 +260,56 @@ def lattice_scores(docs: DataFrame, model_path: str | None = None, rounds: int =
         logp = np.log((expected + prior) / (expected + prior).sum())
     model = sc.broadcast(Lattice(pieces, logp))
     base = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    mixed = lambda c, lat: np.logaddexp(np.where(c > 0, np.log(np.maximum(lam * c / max(n, 1), 1e-300)), -np.inf), np.log(max(1 - lam, 1e-300)) + lat) / np.log(10)
+
+    def mixed(c: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        if not lam:
+            return lat / np.log(10)
+        arc = np.where(c > 0, np.log(np.maximum(lam * c / max(n, 1), 1e-300)), -np.inf)
+        return np.logaddexp(arc, np.log(max(1 - lam, 1e-300)) + lat) / np.log(10)
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _buffered(batches):
             count = batch.column(1).to_numpy()
             for a, b, w in _each_word(batch.column(0)):
                 lat = model.value.score(w.low, w.start, w.end)
-                yield pa.RecordBatch.from_arrays([pa.array(w.hash.view(np.int64)), pa.array(count[a:b]), pa.array(mixed(count[a:b], lat))], ["h", "c", "lm"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count[a:b]), pa.array(mixed(count[a:b], lat))], ["word", "c", "lm"])
 
     least = max(1, -(-n // _HOT))
-    priced = "h long, c long, lm double"
-    frequent = table.where(F.col("c") >= least).mapInArrow(price, priced).collect()  # _HOT at most
+    priced = "word string, c long, lm double"
+    top = table.where(F.col("c") >= least).mapInArrow(price, priced).toPandas()  # _HOT words at most
     rare = table.where(F.col("c") < least).mapInArrow(price, priced)
-    frequent.sort(key=lambda r: r.h % 2**64)
-    hot = sc.broadcast((np.array([r.h % 2**64 for r in frequent], np.uint64), np.array([r.c for r in frequent], np.int64), np.array([r.lm for r in frequent])))
-
-    def look(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = hot.value[0]
-        if not len(keys):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return at, keys[at] == h
-
+    hot = sc.broadcast(Frequent(top["word"].tolist(), top["c"].tolist(), top["lm"].tolist()))
     end_base, end_lm = float(base(ends)), float(mixed(np.array([ends]), np.array([logp[-1]]))[0])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, count, lm = hot.value
+        known = hot.value
         for batch in batches:
             rows = [np.zeros((0, 4))]
             for a, b, buf, offsets in slices(batch.column(2)):
                 w = words(buf, offsets, SPACED)
-                owner = w.text()
-                at, ok = look(w.hash)
-                at, owner = at[ok], owner[ok]
+                at = known.look(w)
+                owner, at = w.text()[at >= 0], at[at >= 0]
                 some = lambda x, owner=owner, m=b - a: np.bincount(owner, x, m)
-                zero = np.zeros(0)
-                rows.append(np.stack([w.counts() + 1, some(np.ones(len(at))) + (ends > 0), some(base(count[at]) if len(at) else zero) + end_base, some(lm[at] if len(at) else zero) + end_lm], 1))
+                rows.append(np.stack([w.counts() + 1, some(np.ones(len(at))) + (ends > 0), some(base(known.count[at])) + end_base, some(known.lm[at]) + end_lm], 1))
             x = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x[:, 0].astype(np.int64)), pa.array(x[:, 1].astype(np.int64)), pa.array(x[:, 2]), pa.array(x[:, 3])], ["doc_id", "th", "n_tokens", "known", "base", "lm"])
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, buf, offsets in slices(batch.column(2)):
-                owner, h, tf = _pairs(words(buf, offsets, SPACED))
-                cold = ~look(h)[1]
-                at = pa.array(a + owner[cold])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h[cold].view(np.int64)), pa.array(tf[cold].astype(np.int32))], ["doc_id", "th", "h", "tf"])
+                w = words(buf, offsets, SPACED)
+                first, tf = distinct_by_text(w)
+                cold = hot.value.look(w)[first] < 0
+                first, tf = first[cold], tf[cold]
+                at = pa.array(a + w.text()[first])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), gather(w.low, w.start[first], w.end[first]), pa.array(tf.astype(np.int32))], ["doc_id", "th", "word", "tf"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = keyed.mapInArrow(near, f"doc_id {kind}, th long, n_tokens long, known long, base double, lm double")
-    pairs = keyed.mapInArrow(far, f"doc_id {kind}, th long, h long, tf int")
+    pairs = keyed.mapInArrow(far, f"doc_id {kind}, th long, word string, tf int")
     c, tf = F.col("c"), F.col("tf")
     one_base = F.log10((c + 0.1) / F.lit(n + 0.1 * (v + 1)))
-    cold = pairs.join(rare, "h").groupBy("doc_id", "th").agg(F.sum(F.when(c > 0, tf).otherwise(0)).alias("k2"), F.sum(tf * one_base).alias("b2"), F.sum(tf * F.col("lm")).alias("l2"))
+    cold = pairs.join(rare, "word").groupBy("doc_id", "th").agg(F.sum(F.when(c > 0, tf).otherwise(0)).alias("k2"), F.sum(tf * one_base).alias("b2"), F.sum(tf * F.col("lm")).alias("l2"))
     cold = cold.withColumnsRenamed({"doc_id": "id2", "th": "th2"})
     own = own.withColumn("copies", F.count("*").over(Window.partitionBy("doc_id", "th")))
     out = own.join(cold, F.col("doc_id").eqNullSafe(F.col("id2")) & F.col("th").eqNullSafe(F.col("th2")), "left")

@@ -7,7 +7,8 @@ Jaccard similarity, so documents meet in bands of ``rows`` registers. For pairs
 jointly by maximum likelihood from how many registers are larger, smaller and equal, given both set sizes; what stays
 plausible (5 standard errors below the threshold) is verified on the full sets.
 
-Equal sets form one class before any pair is made. In a bucket, classes are first held against its smallest class only;
+A shingle is known by 128 bits (two hashes of its words), and so is a set. Equal sets form one class before any pair is
+made. In a bucket, classes are first held against its smallest class only;
 the links found give components, and then only pairs of a bucket that still lie in different components are tried, in
 blocks, each pair in its first common band. So no bucket emits all its pairs, and yet every pair of a bucket is either
 verified or already known to be connected. With 32 bands of 4 registers a pair of similarity 0.75 is missed with probability 5e-6.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.llm._common import block_pairs, components, materialise
-from helixframe.llm._text import SPACED, mix, shingle_sets, slices, words
+from helixframe.llm._text import SPACED, shingle_sets, slices, words
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Rows of an Arrow batch that holds texts and registers: its buffers lie outside the heap.
@@ -69,22 +70,21 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, th (hash of the text), n, s1, s2 (identity of the set), bands: the registers, 4 to a long."""
+    """doc_id, th (hash of the text), n, s1, s2 (128 bits that stand for the set), bands: the registers, 4 to a long."""
     if rows != 4:
         raise ValueError("a band is one long: 4 registers")
     seeds = _seeds(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, regs = [], [], [], []
+            n, who, regs = [], [], []
             for _, _, buf, offsets in slices(batch.column(2)):
                 for x in shingle_sets(words(buf, offsets, SPACED), k):
                     n.append(len(x))
-                    s1.append(int(np.bitwise_xor.reduce(mix(x))) if len(x) else 0)
-                    s2.append(int(x.sum(dtype=np.uint64)) if len(x) else 0)
-                    regs.append(registers(x, seeds).view(np.int64) if len(x) else None)
-            u64 = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), u64(s1), u64(s2), pa.array(regs, pa.list_(pa.int64()))], ["doc_id", "th", "n", "s1", "s2", "bands"])
+                    who.append(x.identity())
+                    regs.append(registers(x.hash, seeds).view(np.int64) if len(x) else None)
+            s1, s2 = np.frombuffer(b"".join(who), np.int64).reshape(-1, 2).T.copy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.array(regs, pa.list_(pa.int64()))], ["doc_id", "th", "n", "s1", "s2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, n long, s1 long, s2 long, bands array<long>")
@@ -124,7 +124,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, chunk: i
                     if a[at] == cid[at]:
                         hub, mine = a[at], x
                     elif hub == a[at]:
-                        both = int((mine[np.minimum(np.searchsorted(mine, x), len(mine) - 1)] == x).sum())
+                        both = mine.shared(x)
                         if 100 * both >= percent * (len(mine) + len(x) - both):
                             found.append((hub, cid[at]))
                     else:
@@ -166,7 +166,7 @@ def _apart(members: DataFrame, texts: DataFrame, k: int, percent: int, block: in
                     continue
                 if sets is None:
                     sets = [x for _, _, buf, o in slices(rows.column("text")) for x in shingle_sets(words(buf, o, SPACED), k)]
-                both = int((sets[i][np.minimum(np.searchsorted(sets[i], sets[other]), len(sets[i]) - 1)] == sets[other]).sum())
+                both = sets[i].shared(sets[other])
                 if 100 * both >= percent * (len(sets[i]) + len(sets[other]) - both):
                     root[root == root[other]] = root[i]
                     found.append((cid[i], cid[other]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from helixframe.llm._common import arrow_batches, materialise
 from helixframe.llm._labels import remainder, training_rows
-from helixframe.llm._text import ALNUM, Words, gather, hash_bytes, mix, slices, words
+from helixframe.llm._text import ALNUM, Words, distinct_by_text, gather, group, hash_bytes, slices, words
 
 #: Common insults, reporting words and words that address someone, in four languages.
 INSULTS = "idiot moron stupid loser trash scum clown pathetic worthless disgusting imbecile dumbass bastard asshole bitch dummkopf arschloch abschaum versager connard salope imbécile ordure abruti estúpido imbécil basura pendejo cabrón gilipollas".split()
@@ -206,11 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, least: int
             label, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for a, _, buf, offsets in slices(batch.column(0)):
                 w = words(buf, offsets, ALNUM)
-                owner = w.text()
-                # a word of a text once
-                _, first = np.unique(mix(w.hash + owner.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), return_index=True)
-                _, place, inv = np.unique(w.hash[first], return_index=True, return_inverse=True)
-                doc = a + owner[first]
+                first, _ = distinct_by_text(w)  # a word of a text once
+                place, inv, _ = group(w.hash[first], w.hash[first], w.check[first])
+                doc = a + w.text()[first]
                 sums = [np.bincount(inv, (label[doc] == y) & (fold[doc] == f), len(place)).astype(np.int64) for y in (1, 0) for f in (0, 1)]
                 said = gather(w.low, w.start[first[place]], w.end[first[place]])
                 yield pa.RecordBatch.from_arrays([said, *(pa.array(s) for s in sums)], ["w", "p0", "p1", "n0", "n1"])

@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, lattice, license, neardup, packing, pii, quality, sharding, toxicity
+from helixframe.llm import _text, decontam, lattice, license, neardup, packing, pii, quality, sharding, toxicity
 from helixframe.llm._labels import remainder
-from helixframe.llm._text import ALNUM as ALNUM_BYTES, text_words
+from helixframe.llm._text import ALNUM as ALNUM_BYTES, SPACED as SPACED_BYTES, text_words
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -310,6 +310,70 @@ def test_lattice_base_and_marginal(docs, rows):
     assert lattice.lattice_scores(docs.where("false")).count() == 0
 
 
+def test_lattice_score_is_the_marginal(spark):
+    """Scores against expectation-maximisation over explicitly listed segmentations."""
+    made = [(i, f"the theory of {['words', 'worldwide', 'straße', 'q'][i % 4]} the {'ab' * (i % 3)}") for i in range(12)] + [(20, "unseen zebras"), (21, None)]
+    pieces, logp, _ = lattice.vocabulary()
+    index = defaultdict(list)
+    for i, p in enumerate(pieces):
+        index[p].append(i)
+
+    def ways(text):
+        if not text:
+            return [[]]
+        return [[i, *rest] for n in range(1, len(text) + 1) for i in index.get(text[:n], ()) for rest in ways(text[n:])]
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = [(i, SPACED.findall(lower(t))) for i, t in made]
+    paths = {w: ways("▁".encode() + w.encode()) for _, t in tokens for w in t}
+    count = Counter(w for i, t in tokens if not held(i) for w in t)
+    for _ in range(2):
+        expected = np.zeros(len(logp))
+        for w, c in count.items():
+            p = np.exp([sum(logp[k] for k in path) for path in paths[w]])
+            for path, share in zip(paths[w], p / p.sum()):
+                np.add.at(expected, path, c * share)
+        expected[-1] = sum(not held(i) for i, _ in tokens)
+        prior = np.exp(logp) * min(len(logp), 0.1 * expected.sum())
+        logp = np.log((expected + prior) / (expected + prior).sum())
+    want = {i: sum(np.log10(sum(np.exp(sum(logp[k] for k in path)) for path in paths[w])) for w in t) + logp[-1] / np.log(10) for i, t in tokens}
+    for r in lattice.lattice_scores(spark.createDataFrame(made, "doc_id long, text string")).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-6 * abs(r.score), r
+
+
+def mirrored(n=1024):
+    """A word over two letters and its mirror image that polynomial hashes modulo 2^64 can't tell apart."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [4, 8, 16, 32, 64, 128, 1024, 4096])
+def test_words_that_naive_hashes_confuse(n):
+    w = text_words([*mirrored(n), mirrored(n)[0]], SPACED_BYTES)
+    assert w.hash[0] != w.hash[1] and w.check[0] != w.check[1] and w.hash[0] == w.hash[2] and w.check[0] == w.check[2]
+    assert _text.distinct(w)[1].tolist() in ([0, 1, 0], [1, 0, 1])
+
+
+def test_groups_are_exact_when_hashes_collide():
+    first, inverse, n = _text.group(np.array([7, 7, 7, 9]), np.array([1, 2, 1, 5]), np.array([0, 0, 0, 1]))
+    assert inverse[0] == inverse[2] != inverse[1] and sorted(n) == [1, 1, 2] and len(first) == 3
+    same = _text._set(np.array([5, 5, 5, 1], np.uint64), np.array([1, 2, 1, 3], np.uint64))
+    assert len(same) == 3 and same.shared(_text._set(np.array([1, 9], np.uint64), np.array([3, 3], np.uint64))) == 1
+
+
+def test_no_link_and_no_count_by_hash_alone(spark):
+    one, other = mirrored()
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(100) if i not in train)
+    d = spark.createDataFrame([(train[0], one), (held, other)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.lattice_scores(d).collect()}
+    assert got[held].n_known == 1 and got[train[0]].n_known == 2
+    assert abs(got[held].base_score - (np.log10(0.1 / 2.3) + np.log10(1.1 / 2.3))) < 1e-9
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(d).collect()} == {train[0]: train[0], held: held}
+
+
 def test_lattice_sums_all_segmentations():
     pieces, logp, _ = lattice.vocabulary()
     index = defaultdict(list)
