@@ -1,10 +1,11 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression over the words of a text (lower-cased, single spaces), a label, a priority, a confidence
-and the keywords without one of which it can't match. Keywords are looked up for all words of a batch at once; rules run
-only on the stretches around the keywords that gate them, which hold every possible match since a rule spans at most
-``reach`` words and each of its alternatives contains a keyword. Detections are taken by priority, then length; one whose words all lie within a
-detection taken before is suppressed. The base phrases are found for all texts and always stay.
+A rule is a regular expression over the words of a text (lower-cased, single spaces), a label, a priority and a confidence.
+Its keywords are derived from the pattern, all of whose forms are listed: each form holds one of them as a whole word.
+Keywords are looked up for all words of a batch at once; rules run only on the stretches around the keywords that gate
+them. Those hold every match whole, as none has more words than its pattern's ``reach``, so the prefilter changes nothing.
+Detections are taken by priority, then length, then place, then rule (so ties are settled); one whose words all lie within
+a detection taken before is suppressed. The base phrases are found for all texts and always stay.
 
 Null, empty and wordless texts have no words and no labels: n_words 0, first_word and last_word null, labels empty, score
 0. Repeated rows give equal results. Other columns are ignored.
@@ -12,156 +13,131 @@ Null, empty and wordless texts have no words and no labels: n_words 0, first_wor
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from re import _parser as parser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from helixframe.llm._license_rules import NAMES, NOTICES, SHORT, version_rules
 from helixframe.llm._text import ALNUM, Words, hash_bytes, slices, words
 
-REACH = 24
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+#: Words that make poor keywords: they stand in most texts.
+_POOR = frozenset("a an and any are as at be but by can for free from general if in into is it its may must name no not of on only open or other public shall should software source that the this to under use used was with without you your 0 1 2 3 4 5 01".split())
+_ANY, _LICENSED = "\0", "\1"  # in listed forms of a pattern: some character; a word for a license
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     pattern: str
-    keywords: tuple[str, ...]
     priority: int
     confidence: float
-    reach: int = REACH
-
-
-#: License families by identifier, name pattern, versions. A version is written 2.0 in labels, "2 0" in texts.
-FAMILIES = (
-    ("apache", r"apache(?: software)?", ("1.0", "1.1", "2.0")),
-    ("gpl", r"(?:gnu )?general public|(?:gnu )?gpl", ("1.0", "2.0", "3.0")),
-    ("lgpl", r"(?:gnu )?(?:lesser|library) general public|(?:gnu )?lgpl", ("2.0", "2.1", "3.0")),
-    ("agpl", r"(?:gnu )?affero general public|(?:gnu )?agpl", ("1.0", "3.0")),
-    ("gfdl", r"gnu free documentation|gfdl", ("1.1", "1.2", "1.3")),
-    ("mpl", r"mozilla public|mpl", ("1.0", "1.1", "2.0")),
-    ("epl", r"eclipse public|epl", ("1.0", "2.0")),
-    ("cddl", r"common development and distribution|cddl", ("1.0", "1.1")),
-    ("cpl", r"common public", ("1.0",)),
-    ("eupl", r"european union public|eupl", ("1.0", "1.1", "1.2")),
-    ("osl", r"open software", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", r"academic free", ("1.2", "2.0", "2.1", "3.0")),
-    ("artistic", r"artistic|perl artistic", ("1.0", "2.0")),
-    ("bsl", r"boost software", ("1.0",)),
-    ("busl", r"business source|busl", ("1.1",)),
-    ("sspl", r"server side public|sspl", ("1.0",)),
-    ("odbl", r"open database|odbl", ("1.0",)),
-    ("odc-by", r"open data commons attribution", ("1.0",)),
-    ("ofl", r"(?:sil )?open font|ofl", ("1.0", "1.1")),
-    ("php", r"php", ("3.0", "3.01")),
-    ("python", r"python software foundation|psf", ("2.0",)),
-    ("zpl", r"zope public|zpl", ("1.1", "2.0", "2.1")),
-    ("ms-pl", r"microsoft public", ()),
-    ("ms-rl", r"microsoft reciprocal", ()),
-    ("mit", r"mit|expat|x11", ()),
-    ("isc", r"isc|internet systems consortium", ()),
-    ("zlib", r"zlib|zlib libpng", ()),
-    ("ncsa", r"university of illinois ncsa open source|ncsa", ()),
-    ("wtfpl", r"do what the f(?:uck)? you want(?: to)? public|wtfpl", ()),
-    ("unlicense", r"the unlicense|unlicense", ()),
-    ("postgresql", r"postgresql", ()),
-    ("openssl", r"openssl", ()),
-    ("ruby", r"ruby", ()),
-    ("vim", r"vim", ()),
-    ("elastic", r"elastic", ("2.0",)),
-    ("openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?", ()),
-    ("bsd-0-clause", r"(?:0|zero) clause bsd", ()),
-    ("bsd-2-clause", r"(?:2|two) clause bsd|bsd (?:2|two) clause|simplified bsd|freebsd", ()),
-    ("bsd-3-clause", r"(?:3|three) clause bsd|bsd (?:3|three) clause|(?:new|modified|revised) bsd", ()),
-    ("bsd-4-clause", r"(?:4|four) clause bsd|bsd (?:4|four) clause|original bsd", ()),
-    ("bsd", r"bsd", ()),
-)
-#: Creative Commons elements, their words, versions.
-COMMONS = (("by", r"attribution|by"), ("by-sa", r"attribution share ?alike|by sa"), ("by-nd", r"attribution no ?deriv(?:ative)?s?|by nd"), ("by-nc", r"attribution non ?commercial|by nc"), ("by-nc-sa", r"attribution non ?commercial share ?alike|by nc sa"), ("by-nc-nd", r"attribution non ?commercial no ?deriv(?:ative)?s?|by nc nd"))
-COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: Sentences of license texts and notices: label, pattern, keywords, priority, confidence.
-NOTICES = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", ("permission",), 60, 0.99),
-    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", ("permission",), 60, 0.99),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", ("redistribution",), 55, 0.95),
-    ("bsd-3-clause", r"neither the name of .{1,60} nor the names of its contributors may be used to endorse", ("endorse",), 60, 0.97),
-    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", ("advertising",), 60, 0.97),
-    ("apache-2.0", r"you may not use this file except in compliance with the license", ("compliance",), 60, 0.95),
-    ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of", ("redistribute",), 55, 0.95),
-    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla",), 65, 0.99),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", ("unencumbered",), 65, 0.99),
-    ("public-domain", r"(?:released|dedicated|placed|is) (?:in|into|to) the public domain", ("domain",), 40, 0.8),
-    ("cc0-1.0", r"cc0(?: 1 0)?(?: universal)?", ("cc0",), 60, 0.95),
-    ("cc", r"creative commons", ("creative",), 20, 0.6),
-    ("warranty-disclaimer", r"the software is provided as is without warranty of any kind", ("warranty",), 30, 0.6),
-    ("warranty-disclaimer", r"without warranties or conditions of any kind", ("warranties",), 30, 0.6),
-    ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", ("copyright",), 10, 0.4),
-    ("copyright", r"(?:19|20)[0-9]{2} copyright", ("copyright",), 10, 0.4),
-    ("reserved", r"all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados", ("reserved", "vorbehalten", "réservés", "reservados"), 15, 0.7),
-    ("proprietary", r"proprietary and confidential|confidential and proprietary", ("proprietary",), 50, 0.9),
-    ("proprietary", r"unauthorized (?:copying|reproduction|distribution)", ("unauthorized",), 45, 0.85),
-    ("no-redistribution", r"(?:may not|not) be (?:copied|reproduced|redistributed)", ("copied", "reproduced", "redistributed"), 35, 0.7),
-)
-_LICENSE = r"(?:licen[cs]e|licen[cs]ed|licen[cs]es|lizenz|lizenziert|licencia|sous licence)"
-_GATE = ("license", "licence", "licensed", "licenced", "licenses", "licences", "lizenz", "lizenziert", "licencia", "spdx")
-
-
-#: Words of `neither the name of .{1,60} nor ...`: 30 single letters in the gap at most, 17 around it.
-WIDE = 48
-
-
-def _own(said: str, version: str) -> tuple[str, ...]:
-    """Per alternative of a family's name a word that it must contain, alone or with the version's first digit after it."""
-    words = [max(re.sub(r"\(\?:[^)]*\)\??", " ", x).split(), key=len) for x in _alternatives(said)]
-    return tuple(dict.fromkeys(k for word in words for k in (word, word + version.split(".")[0])))
-
-
-def _alternatives(said: str) -> list[str]:
-    """The parts between the bars outside all brackets."""
-    out, depth = [""], 0
-    for c in said:
-        depth += (c == "(") - (c == ")")
-        if c == "|" and not depth:
-            out.append("")
+    #: Every match holds one of these words; none has more words than ``reach``.
+    keywords: tuple[str, ...]
+    reach: int
+
+
+def _forms(nodes: Iterable) -> list[str]:
+    """What a parsed pattern matches, with repeats as short as they may be and ``_ANY`` for open characters."""
+    out = [""]
+    for op, arg in nodes:
+        kind = str(op)
+        if kind == "LITERAL":
+            new = [chr(arg)]
+        elif kind == "SUBPATTERN":
+            new = _forms(arg[-1])
+        elif kind == "BRANCH":
+            new = [f for x in arg[1] for f in _forms(x)]
+        elif kind == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            new = [chr(c) for _, c in arg]
+        elif kind in ("IN", "NOT_LITERAL", "ANY"):
+            new = [_ANY]
+        elif kind == "MAX_REPEAT":
+            least, most, x = arg
+            one = _forms(x)
+            new = ["", *one] if (least, most) == (0, 1) else ["".join(f) for f in itertools.product(one, repeat=least)]
         else:
-            out[-1] += c
+            raise ValueError(f"{kind} in a rule")
+        out = list(dict.fromkeys(a + b for a in out for b in new))
     return out
 
 
+def _spaces(nodes: Iterable) -> int:
+    """The most spaces that a parsed pattern matches."""
+    n = 0
+    for op, arg in nodes:
+        kind = str(op)
+        if kind == "LITERAL":
+            n += arg == 32
+        elif kind == "SUBPATTERN":
+            n += _spaces(arg[-1])
+        elif kind == "BRANCH":
+            n += max(map(_spaces, arg[1]))
+        elif kind == "MAX_REPEAT" and _spaces(arg[2]):
+            n += arg[1] * _spaces(arg[2])
+    return n
+
+
+def _cost(word: str) -> float:
+    return 12 if word in _POOR else 3 if word == _LICENSED else 6 / len(word) + 1
+
+
+def keywords(pattern: str) -> tuple[str, ...]:
+    """Words one of which every match of the pattern (with ``<L>``) holds as a whole word: the cheapest found greedily."""
+    said = parser.parse(pattern.replace("<L>", _LICENSED).replace("<V>", SHORT["<V>"]))
+    forms = {frozenset(w for w in f.split(" ") if w == _LICENSED or (w and _ANY not in w and _LICENSED not in w)) for f in _forms(said)}
+    if not all(forms):
+        raise ValueError(f"no keyword in {pattern}")
+    out = []
+    while forms:
+        words = sorted({w for f in forms for w in f})
+        best = max(words, key=lambda w: (sum(w in f for f in forms) / _cost(w), w))
+        out += SHORT["<L>"][3:-1].split("|") if best == _LICENSED else [best]
+        forms = {f for f in forms if best not in f}
+    return tuple(out)
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first."""
-    out = [Rule(label, pattern, keys, priority, sure, WIDE if ".{1,60}" in pattern else REACH) for label, pattern, keys, priority, sure in NOTICES]
-    for name, said, versions in FAMILIES:
-        out.append(Rule(name, rf"(?:{said})(?: public)? {_LICENSE}|{_LICENSE} under (?:the )?(?:{said})", _GATE, 50, 0.85))
-        out.append(Rule(name, rf"spdx license identifier {name.replace('-', ' ')}(?: only| or later)?", ("spdx",), 70, 0.99))
-        for v in versions:
-            number = v.replace(".", " ") if not v.endswith(".0") else rf"{v[:-2]}(?: 0)?"
-            label = f"{name}-{v}"
-            out.append(Rule(label, rf"(?:{said})(?: public)?(?: {_LICENSE})?(?: version| v)? ?{number}(?: {_LICENSE})?", _own(said, v), 58, 0.95))
-            out.append(Rule(label, rf"(?:{name.replace('-', ' ')}|{name.replace('-', '')})(?: v| version)? ?{number}", _own(f"{name.replace('-', ' ')}|{name.replace('-', '')}", v), 54, 0.9))
-            out.append(Rule(label, rf"spdx license identifier {name.replace('-', ' ')} {number}(?: only| or later| plus)?", ("spdx",), 72, 0.99))
-            out.append(Rule(label, rf"{_LICENSE} under (?:the )?(?:terms of )?(?:the )?(?:{said})(?: public)?(?: {_LICENSE})?(?: version| v)? ?{number}", _GATE, 62, 0.98))
-    for element, said in COMMONS:
-        out.append(Rule(f"cc-{element}", rf"(?:creative commons|cc) (?:{said})", ("creative", "cc"), 45, 0.85))
-        for v in COMMONS_VERSIONS:
-            number = v.replace(".", " ")
-            out.append(Rule(f"cc-{element}-{v}", rf"(?:creative commons|cc) (?:{said})(?: {_LICENSE})? {number}(?: international| unported)?", ("creative", "cc"), 56, 0.97))
-            out.append(Rule(f"cc-{element}-{v}", rf"creativecommons org licenses {element.replace('-', ' ')} {number}", ("creativecommons",), 66, 0.99))
+    out = []
+    for label, said, priority, sure in (*NOTICES, *NAMES, *version_rules()):
+        pattern = said.replace("<L>", SHORT["<L>"]).replace("<V>", SHORT["<V>"])
+        out.append(Rule(label, pattern, priority, sure, keywords(said), _spaces(parser.parse(pattern)) + 1))
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.pattern)))
 
 
+def uncontained(found: Iterable[tuple[int, int, int]], rank: Callable) -> list[tuple[int, int, int]]:
+    """Of (first, last, rule) those that lie in none taken before, by rank: kept ones that contain no other form a staircase."""
+    starts: list[int] = []
+    ends: list[int] = []
+    kept = []
+    for s, e, r in sorted(found, key=rank):
+        i = bisect.bisect_right(starts, s)
+        if i and ends[i - 1] >= e:
+            continue
+        kept.append((s, e, r))
+        i = bisect.bisect_left(starts, s)
+        j = i
+        while j < len(starts) and ends[j] <= e:
+            j += 1
+        starts[i:j], ends[i:j] = [s], [e]
+    return sorted(kept)
+
+
 class Scanner:
-    def __init__(self) -> None:
-        self.rules = rules()
+    def __init__(self, own: tuple[Rule, ...]) -> None:
+        self.rules = own
         self.regex = [re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])") for r in self.rules]
         gated: dict[int, list[int]] = defaultdict(list)
         for i, r in enumerate(self.rules):
@@ -173,6 +149,7 @@ class Scanner:
         self.seen = np.zeros(1 << 16, bool)
         self.seen[self.keys >> np.uint64(48)] = True
         self.base = [([x.encode() for x in phrase.split()], label) for phrase, label in BASE]
+        self.rank = lambda f: (-self.rules[f[2]].priority, f[0] - f[1], f)
 
     def base_places(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, start and phrase of each base place."""
@@ -189,6 +166,15 @@ class Scanner:
         text = np.searchsorted(w.first, at, "right") - 1
         return text, at - w.first[text], np.array([f[1] for f in found], np.int64)
 
+    def matches(self, said: list[str], which: Iterable[int], at: int = 0) -> Iterator[tuple[int, int, int]]:
+        """First word, last word (exclusive) and rule of each match of some rules in some words; at: number of the first."""
+        line, starts = " ".join(said), np.cumsum([0, *(len(s) + 1 for s in said)])
+        for r in which:
+            ends = [x for m in self.regex[r].finditer(line) for x in m.span()]
+            if ends:
+                word = np.searchsorted(starts, ends, "right") - 1 + at
+                yield from ((s, e + 1, r) for s, e in zip(word[::2].tolist(), word[1::2].tolist(), strict=True))
+
     def detections(self, w: Words) -> dict[int, list[tuple[int, int, int]]]:
         """Per text the detections kept: first word, last word (exclusive), rule."""
         at = np.flatnonzero(self.seen[w.hash >> np.uint64(48)])
@@ -199,39 +185,34 @@ class Scanner:
             a, b = int(w.first[i]), int(w.first[i + 1])
             runs: list[list] = []
             for _, p in places:
-                reach = self.reach[int(w.hash[p])]
-                lo, hi, keys = max(a, p - reach), min(b, p + reach + 1), {int(w.hash[p])}
+                key = int(w.hash[p])
+                lo, hi, keys = max(a, p - self.reach[key]), min(b, p + self.reach[key] + 1), {key}
                 while runs and lo <= runs[-1][1]:  # a wide stretch may reach back over several
                     x, y, z = runs.pop()
-                    lo, hi, keys = min(lo, x), max(hi, y), keys | z
+                    lo, hi = min(lo, x), max(hi, y)
+                    z |= keys
+                    keys = z
                 runs.append([lo, hi, keys])
             found = set()
             for lo, hi, keys in runs:
                 said = [w.word(t).decode("utf-8", "replace") for t in range(lo, hi)]
-                line, starts = " ".join(said), np.cumsum([0, *(len(s) + 1 for s in said)])
-                for r in sorted({r for k in keys for r in self.gated[k]}):
-                    for m in self.regex[r].finditer(line):
-                        s, e = np.searchsorted(starts, [m.start(), m.end()], "right") - 1
-                        found.add((lo - a + int(s), lo - a + int(e) + 1, r))
-            kept: list[tuple[int, int, int]] = []
-            for s, e, r in sorted(found, key=lambda f: (-self.rules[f[2]].priority, f[0] - f[1], f)):
-                if not any(x <= s and e <= y for x, y, _ in kept):
-                    kept.append((s, e, r))
-            if kept:
-                out[i] = sorted(kept)
+                found.update(self.matches(said, sorted({r for k in keys for r in self.gated[k]}), lo - a))
+            if found:
+                out[i] = uncontained(found, self.rank)
         return out
 
 
 @functools.cache
-def scanner() -> Scanner:
-    return Scanner()
+def scanner(own: tuple[Rule, ...] | None = None) -> Scanner:
+    return Scanner(own or rules())
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
+    shared = docs.sparkSession.sparkContext.broadcast(rules())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scanner()
+        s = scanner(shared.value)
         for batch in batches:
             rows = []
             for _, _, buf, offsets in slices(batch.column(1)):
