@@ -284,8 +284,10 @@ def version_rules() -> list[tuple[str, str, int, float]]:
             full, sure = rf"{major} {minor}", said.replace("(?: <L>)?", " <L>")
             label = f"{name}-{v}"
             out.append((label, rf"(?:{said})<V> {full}(?: <L>)?(?: only| or later| or newer| international| unported)?", 58, 0.96))
+            out.append((label, rf"<L> under (?:the )?(?:terms of (?:the )?)?(?:{said})<V> {full}(?: <L>)?", 62, 0.98))
             out.append((label, rf"(?:{said}) ?v?{full}", 57, 0.95))  # `apache2 0`, `gplv2 1`
             if minor == "0":
+                out.append((label, rf"<L> under (?:the )?(?:terms of (?:the )?)?(?:{sure})(?: version| v)? {major}", 61, 0.95))
                 out.append((label, rf"(?:{sure})(?: version| v) {major}(?: only| or later| or newer)?", 57, 0.93))
                 out.append((label, rf"(?:{sure}) ?v{major}(?: only| or later)?", 57, 0.93))
                 if "<L>" in sure:
