@@ -14,13 +14,20 @@ Sanitising replaces it by a general label, as it does with the values themselves
 beyond that is asked for: there the share is ``1 - log2 n(t) / log2 N``, and common words fall out by their own frequency.
 Values are the same if they differ only in case (email), leading zeros (ip) or separators (card, phone).
 
-Null and empty texts have no spans. Repeated rows give repeated results. Other columns are ignored by ``spans`` and kept
-by ``sanitise`` (``n_chars``, where it exists as a number, follows the text). An empty table gives an empty result.
+Arrays hold the pieces of a text only as they are read; places are running sums of piece lengths over rows, and overlaps
+are running maxima, so the work is linear in a text with however many values. Sanitising cuts texts into chunks, replaces
+in each what spans cover of it, and joins the chunks again. Texts are told apart by 128 bits, and all is done once for
+equal texts; where one text has very many rows, adaptive execution splits the join that gives them its spans.
+
+Null and empty texts have no spans. Spans of one start are in the order of kinds; of overlapping spans sanitising keeps the
+label of the one that starts first (ties: the shorter, then the kind listed first). Repeated rows give repeated results.
+Other columns are ignored by ``spans`` and kept by ``sanitise`` (``n_chars``, where it exists as a number, follows the
+text). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from helixframe.llm._common import materialise
 
@@ -44,15 +51,22 @@ _TERM_GAP = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 _TERM = r"\G([^0-9A-Za-z\x{80}-\x{10FFFF}]*+)([0-9A-Za-z\x{80}-\x{10FFFF}]++)"
 
 
-def _valid(kind: str, m: Column) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    if kind == "ip":
-        return F.forall(F.split(m, r"\."), lambda p: p.rlike(_OCTET))
-    if kind == "card":
-        return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
-    if kind == "phone":
-        return F.length(digits).between(9, 15)
-    return F.lit(True)
+KEY = ["th", "tl"]  # what a text is known by
+SPAN = "struct<kind:int,start:int,end:int>"
+#: Characters of a chunk of a text that is being sanitised.
+CHUNK = 2000
+
+
+def _of(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("th"), F.xxhash64(F.lit(7), text).alias("tl")]
+
+
+def _valid(s: Column) -> Column:
+    digits = F.regexp_replace(s["value"], "[^0-9]", "")
+    octets = F.forall(F.split(s["value"], r"\."), lambda p: p.rlike(_OCTET))
+    card = F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+    kind = s["kind"]
+    return F.when(kind == 0, True).when(kind == 1, octets).when(kind == 2, card).otherwise(F.length(digits).between(9, 15))
 
 
 def _key(s: Column) -> Column:
@@ -63,38 +77,32 @@ def _key(s: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind == "email", F.lower(s["value"])).when(kind == "ip", octets).otherwise(digits))
 
 
-def _ends(pieces: Column) -> Column:
-    """Where each of the pieces that follow one another ends."""
-    zero = F.array().cast("array<int>")
-    return F.aggregate(pieces, zero, lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p))))
-
+def _pieces(text: Column, pattern: str) -> Column:
+    """(size, value) of the pieces that the pattern cuts from the start of the text on: length of all, second group."""
+    whole, value = (F.regexp_extract_all(text, F.lit(pattern), i) for i in (0, 2))
+    return F.arrays_zip(F.transform(whole, F.length).alias("size"), value.alias("value"))
 
-def _found(text: Column, pattern: str) -> tuple[Column, Column]:
-    return F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), 2)
 
+def _placed(pieces: DataFrame, *within: str) -> DataFrame:
+    """Rows (KEY, within, nth, size, value) with start and end: each value ends where the pieces up to its own do."""
+    w = Window.partitionBy(*KEY, *within).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    ended = pieces.withColumn("end", F.sum("size").over(w).cast("int"))
+    return ended.select(*KEY, *within, "value", (F.col("end") - F.length("value")).alias("start"), "end")
 
-def _kind_spans(i: int, kind: str) -> Column:
-    ends, values = _ends(F.col(f"w_{kind}")), F.col(f"v_{kind}")
-    every = F.transform(F.arrays_zip(ends.alias("e"), values.alias("v")), lambda z: F.struct(F.lit(i).alias("kind"), (z["e"] - F.length(z["v"])).alias("start"), z["e"].alias("end"), z["v"].alias("value")))
-    valid = F.filter(every, lambda s: _valid(kind, s["value"]))
-    return F.when(F.size(values) > 0, valid).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>"))
 
-
-def pattern_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, th, found: the valid spans as (kind number, start, end, value), text: where there are some."""
-    text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", F.xxhash64("text").alias("th"), text.alias("text"))
-    none = F.array().cast("array<string>")
-    for k in KINDS:
-        skip, match = _PATTERNS[k]
-        whole, value = _found(F.col("text"), rf"\G({skip})({match})")
-        gate = F.col("text").rlike(_GATES[k])
-        df = df.withColumn(f"w_{k}", F.when(gate, whole).otherwise(none)).withColumn(f"v_{k}", F.when(gate, value).otherwise(none))
-    parts = []
+def _scan(docs: DataFrame) -> DataFrame:
+    """doc_id, KEY, and pieces (kind number, size, value) and text of those texts that hold a valid value."""
+    df = docs.select("doc_id", *_of(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+    none = F.array().cast("array<struct<kind:int,size:int,value:string>>")
     for i, k in enumerate(KINDS):
-        parts.append(_kind_spans(i, k))
-    df = df.withColumn("spans", F.concat(*parts))
-    return df.select("doc_id", "th", F.col("spans").alias("found"), F.when(F.size("spans") > 0, F.col("text")).alias("text"))
+        skip, match = _PATTERNS[k]
+        own = F.lit(i).alias("kind")
+        found = F.transform(_pieces(F.col("text"), rf"\G({skip})({match})"), lambda z: F.struct(own, z["size"].alias("size"), z["value"].alias("value")))  # noqa: B023
+        found = F.when(F.col("text").rlike(_GATES[k]), found).otherwise(none)
+        df = df.withColumn(k, F.when(F.exists(found, _valid), found).otherwise(none))
+    df = df.withColumn("pieces", F.concat(*KINDS))
+    some = F.size("pieces") > 0
+    return df.select("doc_id", *KEY, F.when(some, F.col("pieces")).alias("pieces"), F.when(some, F.col("text")).alias("text"))
 
 
 def _terms(texts: DataFrame, *keep: str) -> DataFrame:
@@ -102,61 +110,68 @@ def _terms(texts: DataFrame, *keep: str) -> DataFrame:
     return texts.select(*keep, F.explode(F.array_distinct(F.split(F.lower("text"), _TERM_GAP))).alias("term")).where(F.length("term") >= 4)
 
 
-def _disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """th, terms of the held texts (th, text, found) that have terms whose disclosure reaches the threshold."""
-    copies = found.groupBy("th").agg(F.count("*").alias("copies"))
+def _disclosing(docs: DataFrame, rows: DataFrame, held: DataFrame, values: DataFrame, threshold: float) -> DataFrame:
+    """KEY, term: the terms of held texts whose disclosure of one of their values reaches the threshold."""
+    copies = rows.groupBy(*KEY).agg(F.count("*").alias("copies"))
     n = copies.count()
     copies = materialise(copies.where("copies > 1"))
-    values = held.select("th", F.explode(F.array_distinct(F.transform("found", _key))).alias("value"))
+    said = values.select(*KEY, _key(F.struct("kind", "value")).alias("value")).distinct()
     # values of the same texts have the same terms: one stands for all
-    sets = values.groupBy("value").agg(F.count("*").alias("ne"), F.sum(F.col("th").cast("decimal(38,0)")).alias("ths"))
-    sets = sets.groupBy("ne", "ths").agg(F.min("value").alias("value")).drop("ths")
-    entities = materialise(values.join(sets, "value"))
+    whole = [F.sum(F.col(k).cast("decimal(38,0)")).alias(f"sum_{k}") for k in KEY]
+    sets = said.groupBy("value").agg(F.count("*").alias("ne"), *whole)
+    sets = sets.groupBy("ne", "sum_th", "sum_tl").agg(F.min("value").alias("value")).select("value", "ne")
+    entities = materialise(said.join(sets, "value"))
     # n(e, t) <= n(e): terms of more documents than that can't reach the threshold
     reach = lambda ne: F.lit(n * (1 + 1e-9)) * F.pow(ne / F.lit(float(max(n, 1))), F.lit(float(threshold)))
     most = entities.agg(F.coalesce(reach(F.max("ne")), F.lit(0.0))).first()[0]
     # counted per term before the join: each task sends a row a term
     often = max(most, n / 1000)
-    weighed = docs.withColumn("th", F.xxhash64("text")).join(copies, "th", "left").select("text", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
+    weighed = docs.select(*_of(F.col("text")), "text").join(copies, KEY, "left").select("text", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
     words = _terms(weighed, "weight").groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("nt"))
     counts = materialise(words.where((F.col("nt") <= most) | (F.col("nt") > often)))
     # words of a thousandth of the documents: at most a thousand times the words of a document
-    said = _terms(held, "th").join(F.broadcast(counts.where(F.col("nt") > often).select("term")), "term", "left_anti")
-    pairs = said.join(counts.where(F.col("nt") <= most), "term").join(entities, "th").where(F.col("nt") <= reach(F.col("ne")))
-    pairs = materialise(pairs.select("th", "value", "term", "ne", "nt"))
+    rare = _terms(held, *KEY).join(F.broadcast(counts.where(F.col("nt") > often).select("term")), "term", "left_anti")
+    pairs = rare.join(counts.where(F.col("nt") <= most), "term").join(entities, KEY).where(F.col("nt") <= reach(F.col("ne")))
+    pairs = materialise(pairs.select(*KEY, "value", "term", "ne", "nt"))
     bits = F.log2(F.lit(float(n)) * F.col("net") / (F.col("ne") * F.col("nt")))
     share = bits / F.greatest(F.log2(F.lit(float(max(n, 1))) / F.col("ne")), F.lit(1e-9))
     told = pairs.groupBy("value", "term").agg(F.count("*").alias("net"), F.first("ne").alias("ne"), F.first("nt").alias("nt")).where(share >= threshold)
-    return pairs.join(told.select("value", "term"), ["value", "term"]).groupBy("th").agg(F.collect_set("term").alias("terms"))
-
-
-def _places(held: DataFrame, told: DataFrame) -> DataFrame:
-    """th, more: spans of the told terms (th, terms) in the held texts, outside all values."""
-    whole, word = _found(F.col("text"), _TERM)
-    kind = "struct<kind:int,start:int,end:int>"
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(acc: Column, z: Column) -> Column:
-        end = acc["pos"] + F.length(z["w"])
-        start = end - F.length(z["v"])
-        told_here = F.array_contains("terms", F.lower(z["v"])) & ~F.exists("found", lambda s: (s["start"] < end) & (start < s["end"]))
-        span = F.struct(F.lit(len(KINDS)).alias("kind"), start.alias("start"), end.alias("end")).cast(kind)
-        return F.struct(end.alias("pos"), F.when(told_here, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    words = held.join(told, "th").select("th", "found", "terms", F.arrays_zip(whole.alias("w"), word.alias("v")).alias("words"))
-    return words.select("th", F.aggregate("words", zero, step, lambda acc: acc["out"]).alias("more"))
+    return pairs.join(told.select("value", "term"), ["value", "term"]).select(*KEY, "term").distinct()
+
+
+def _places(held: DataFrame, values: DataFrame, told: DataFrame) -> DataFrame:
+    """KEY, start, end of the told terms (KEY, term) in the held texts, outside all values."""
+    texts = held.join(told.select(*KEY).distinct(), KEY, "left_semi")
+    words = _placed(texts.select(*KEY, F.posexplode(_pieces(F.col("text"), _TERM)).alias("nth", "p")).select(*KEY, "nth", "p.*"))
+    hits = words.withColumn("term", F.lower("value")).join(told, [*KEY, "term"])
+    # a value that begins before the term's end and ends after its start overlaps it
+    none = F.lit(None).cast("int")
+    at = hits.select(*KEY, F.col("end").alias("at"), F.lit(0).alias("tie"), "start", "end", none.alias("upto"))
+    at = at.union(values.select(*KEY, F.col("start").alias("at"), F.lit(1).alias("tie"), none, none, F.col("end").alias("upto")))
+    w = Window.partitionBy(*KEY).orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    free = at.withColumn("upto", F.max("upto").over(w)).where("start is not null and coalesce(upto <= start, true)")
+    return free.select(*KEY, "start", "end")
+
+
+def _marked(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of docs (doc_id, KEY, some); the distinct texts with values (KEY, text); their spans (KEY, kind, start, end)."""
+    docs = docs.select("doc_id", "text")
+    scanned = materialise(_scan(docs))
+    held = materialise(scanned.where("pieces is not null").select(*KEY, "pieces", "text").dropDuplicates(KEY))
+    values = _placed(held.select(*KEY, F.posexplode("pieces").alias("nth", "p")).select(*KEY, "nth", "p.*"), "kind")
+    values = materialise(values.where(_valid(F.struct("kind", "value"))))
+    texts = held.select(*KEY, "text")
+    terms = _places(texts, values, _disclosing(docs, scanned, texts, values, threshold))
+    marks = values.select(*KEY, "kind", "start", "end").union(terms.select(*KEY, F.lit(len(KINDS)), "start", "end"))
+    return scanned.select("doc_id", *KEY, F.col("pieces").isNotNull().alias("some")), texts, materialise(marks)
 
 
 def spans(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Per document (doc_id, text): doc_id, th, found: sorted (kind number, start, end); kind 4 is a disclosing term."""
-    found = materialise(pattern_spans(docs.select("doc_id", "text")))
-    some = F.size("found") > 0
-    held = materialise(found.where(some).select("th", "found", "text").dropDuplicates(["th"]))
-    more = _places(held, _disclosing(docs.select("text"), found, held, threshold))
-    base = F.expr("transform(found, s -> struct(s.kind as kind, s.start as start, s.end as end))")
-    every = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
-    both = found.where(some).drop("text").join(more, "th", "left").select("doc_id", "th", every.alias("found"))
-    return found.where(~some).select("doc_id", "th", base.alias("found")).union(both)
+    """Per document (doc_id, text): doc_id, KEY, found: sorted (kind number, start, end); kind 4 is a disclosing term."""
+    rows, _, marks = _marked(docs, threshold)
+    found = marks.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).cast(f"array<{SPAN}>").alias("found"))
+    held = rows.where("some").join(found, KEY, "left").select("doc_id", *KEY, "found")
+    return rows.where("not some").select("doc_id", *KEY, F.array().cast(f"array<{SPAN}>").alias("found")).union(held)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -168,23 +183,33 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, **how) -> DataFrame:
-    """docs, all columns, with each span of the text replaced by a label; overlapping spans become one."""
-    marks = spans(docs.select("doc_id", "text"), **how).where(F.size("found") > 0).dropDuplicates(["doc_id", "th"])
-    d, m = docs.alias("d"), marks.alias("m")
-    joined = d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("d.text") == F.col("m.th")), "left")
-    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")])
-    text = F.col("d.text")
+def _cleaned(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """KEY, clean: the texts that have marks, with a label for each run of overlapping spans."""
+    w = Window.partitionBy(*KEY).orderBy("start", "end", "kind")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = marks.withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*KEY, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("kind", "new").alias("kind"))
+    # each chunk that a run touches gets its part of it; the label stands where the run starts
+    runs = runs.withColumn("c", F.explode(F.expr(f"sequence(int(start div {CHUNK}), int((end - 1) div {CHUNK}))")))
+    own = [F.greatest(F.col("start") - F.col("c") * CHUNK, F.lit(0)).alias("lo"), F.least(F.col("end") - F.col("c") * CHUNK, F.lit(CHUNK)).alias("hi")]
+    label = F.when(F.expr(f"start div {CHUNK} = c"), F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")])[F.col("kind")]).otherwise("")
+    cuts = runs.select(*KEY, "c", F.struct(*own, label.alias("label")).alias("cut")).groupBy(*KEY, "c").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    chunks = texts.join(marks.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), 0)).alias("c", "chunk"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
+    put = lambda acc, s: F.struct(F.concat(acc["out"], F.substring("chunk", acc["pos"] + 1, s["lo"] - acc["pos"]), s["label"]).alias("out"), s["hi"].alias("pos"))
+    clean = F.aggregate("cuts", start, put, lambda acc: F.concat(acc["out"], F.substring("chunk", acc["pos"] + 1, F.lit(CHUNK))))
+    done = chunks.join(cuts, [*KEY, "c"], "left").select(*KEY, F.struct("c", F.coalesce(clean, "chunk").alias("chunk")).alias("part"))
+    return done.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["chunk"]), "").alias("clean"))
 
-    def step(acc: Column, s: Column) -> Column:
-        put = F.struct(F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), labels[s["kind"]]).alias("out"), s["end"].alias("pos"))
-        over = F.struct(acc["out"].alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos"))
-        return F.when(s["start"] >= acc["pos"], put).otherwise(over)
 
-    ordered = F.array_sort(F.transform("m.found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    new = F.when(F.col("m.found").isNotNull(), clean).otherwise(text)
+def sanitise(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """docs, all columns, with each span of the text replaced by a label; overlapping spans become one."""
+    _, texts, marks = _marked(docs, threshold)
+    th, tl = _of(F.col("d.text"))
+    m = materialise(_cleaned(texts, marks)).alias("m")
+    joined = docs.alias("d").join(m, (th == F.col("m.th")) & (tl == F.col("m.tl")), "left")
+    new = F.coalesce("m.clean", "d.text")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     follow = kinds.get("n_chars") in ("int", "bigint")
     cols = [new.alias("text") if c == "text" else F.length(new).cast(kinds[c]).alias(c) if c == "n_chars" and follow else F.col(f"d.`{c}`") for c in docs.columns]

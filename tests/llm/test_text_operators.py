@@ -621,3 +621,65 @@ def test_pii_last_word_is_a_term(spark):
 def test_pii_has_no_python(spark, docs):
     plan = pii.digest(pii.spans(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pii_term_spans_match_brute_force(spark, docs, rows):
+    """Every term span of all documents against co-occurrence counted in plain Python."""
+    import math
+
+    texts = sorted({t or "" for _, t in rows if not (t or "").startswith("xxx")})
+    normal = {"email": str.lower, "ip": lambda v: ".".join(str(int(p)) for p in v.split(".")), "card": lambda v: re.sub("[^0-9]", "", v), "phone": lambda v: re.sub("[^0-9]", "", v)}
+    terms = {t: {w for w in re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower()) if len(w) >= 4} for t in texts}
+    found = {t: [(k, m.start(), m.end(), k + normal[k](m[0])) for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m[0])] for t in texts}
+    n, nt = len({t for _, t in rows}), Counter(w for t in texts for w in terms[t])
+    ne = Counter(v for t in texts for v in {f[3] for f in found[t]})
+    net = Counter((v, w) for t in texts for v in {f[3] for f in found[t]} for w in terms[t])
+    tells = {(v, w) for (v, w), c in net.items() if math.log2(n * c / (ne[v] * nt[w])) / max(math.log2(n / ne[v]), 1e-9) >= 0.8}
+    want = {}
+    for t in texts:
+        told = {w for v in {f[3] for f in found[t]} for w in terms[t] if (v, w) in tells}
+        places = [(m.start(), m.end()) for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", t) if m[0].lower() in told]
+        want[t] = [p for p in places if not any(a < p[1] and p[0] < b for _, a, b, _ in found[t])]
+    got = [r for r in pii.spans(docs).collect()]
+    text = defaultdict(list)
+    for i, t in rows:
+        text[i].append(t or "")
+    assert sum(map(len, want.values())) > 100
+    for r in got:
+        t = text[r.doc_id][0]
+        if not t.startswith("xxx"):
+            assert [(s.start, s.end) for s in r.found if s.kind == 4] == want[t], t[:200]
+
+
+def test_pii_sanitising_matches_brute_force(spark, monkeypatch):
+    """Labels, overlaps and chunk borders against one pass over each text; spans of every length against every border."""
+    monkeypatch.setattr(pii, "CHUNK", 7)
+    names = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]"]
+    rng = np.random.default_rng(8)
+    made, marks, want = [], [], {}
+    for i in range(60):
+        t = "".join(rng.choice(list("abé😀 \n"), rng.integers(0, 60)))
+        spans = sorted({(int(a), int(min(a + n, len(t))), int(k)) for a, n, k in zip(rng.integers(0, max(len(t), 1), 5), rng.integers(1, 25, 5), rng.integers(0, 5, 5)) if a < len(t)})
+        out, pos, end = "", 0, 0
+        for a, b, k in spans:
+            if a >= end:
+                out, pos = out + t[pos:a] + names[k], b
+            end = max(end, b)
+            pos = max(pos, end)
+        want[i] = out + t[pos:]
+        made.append((i, -i, t))
+        marks += [(i, -i, k, a, b) for a, b, k in spans]
+    texts = spark.createDataFrame(made, "th long, tl long, text string")
+    got = {r.th: r.clean for r in pii._cleaned(texts, spark.createDataFrame(marks, "th long, tl long, kind int, start int, end int")).collect()}
+    assert got == {i: w for i, w in want.items() if i in {m[0] for m in marks}}
+
+
+def test_pii_of_very_many_values(spark):
+    import time
+
+    t = " ".join(f"user{i}@host{i}.org" for i in range(20_000))
+    d = spark.createDataFrame([(1, t), (2, "nothing here")], "doc_id long, text string")
+    began = time.time()
+    assert {r.doc_id: r.n_email for r in pii.digest(pii.spans(d)).collect()} == {1: 20_000, 2: 0}
+    assert {r.doc_id: len(r.text) for r in pii.sanitise(d).collect()} == {1: 20_000 * 8 - 1, 2: 12}
+    assert time.time() - began < 60
