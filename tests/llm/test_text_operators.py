@@ -528,7 +528,40 @@ def test_communication_matrix_is_uniform():
         assert m.sum(1).tolist() == [10, 0, 31] and sorted(m.sum(0).tolist()) == [10, 10, 10, 11]
         total += m
     assert np.allclose(total[0] / 400, 2.5, atol=0.2)
-    assert sharding._hypergeometric(np.random.default_rng(0), 5 * 10**9, 7 * 10**9, 10**10) <= 5 * 10**9
+
+
+@pytest.mark.parametrize("most", [sharding.NUMPY_MOST, 0])
+def test_communication_matrix_has_its_law(most):
+    """Chi-square of all matrices with given margins, by numpy's sampler and by inversion."""
+    from math import factorial, prod
+
+    rows, cols, tries = [3, 2, 1], [2, 2, 2], 6000
+    seen = Counter(tuple(map(tuple, sharding.communication_matrix(rows, 3, s, most).tolist())) for s in range(tries))
+    share = lambda m: prod(map(factorial, rows)) * prod(map(factorial, cols)) / factorial(6) / prod(factorial(x) for r in m for x in r)
+    assert abs(sum(map(share, seen)) - 1) < 1e-9  # every matrix occurs
+    chi = sum((n - tries * share(m)) ** 2 / (tries * share(m)) for m, n in seen.items())
+    assert chi < len(seen) - 1 + 5 * (2 * (len(seen) - 1)) ** 0.5
+
+
+def test_hypergeometric_of_any_size():
+    rng = np.random.default_rng(1)
+    for good, bad, draws in [(5, 7, 4), (30, 10, 35), (1, 1, 1), (100, 3, 50)]:
+        a = np.bincount([sharding.hypergeometric(rng, good, bad, draws, 0) for _ in range(4000)], minlength=draws + 1)
+        b = np.bincount(rng.hypergeometric(good, bad, draws, 4000), minlength=draws + 1)
+        assert (np.abs(a - b) < 5 * np.sqrt(a + b + 1)).all()
+    good, bad, draws = 5 * 10**9, 7 * 10**9, 10**8
+    x = np.array([sharding.hypergeometric(rng, good, bad, draws) for _ in range(100)], float)
+    sd = (draws * (5 / 12) * (7 / 12)) ** 0.5
+    assert abs(x.mean() - draws * 5 / 12) < 5 * sd / 10 and 0.7 * sd < x.std() < 1.35 * sd
+    m = sharding.communication_matrix([10**9, 3 * 10**9, 7], 3, 5)
+    assert m.sum(1).tolist() == [10**9, 3 * 10**9, 7] and np.ptp(m.sum(0)) <= 1
+
+
+def test_sharding_is_drawn_in_groups(docs, rows):
+    few = sharding.shuffle_into_shards(docs.repartition(7), shards=3, groups=2).toPandas()
+    n = few.shard.value_counts()
+    assert len(few) == len(rows) and n.max() - n.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in few.groupby("shard"))
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
