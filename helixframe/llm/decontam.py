@@ -5,8 +5,9 @@ rare they are in the whole corpus. Containment of a window needs every one of it
 one: the rarest. Documents meet windows on that shingle only; its offset fixes where the window would have to stand,
 length and position bounds drop what sticks out of the text, and the words themselves are compared.
 
-Items are taken in blocks of ``block_words`` words, so an index has a bounded size whatever the benchmark has; each
-block is held against all documents. Nothing of the documents is shuffled unless there are several blocks.
+Items are taken in blocks of ``block_words`` words, and an item of more in overlapping parts, so an index has a bounded size
+whatever the benchmark has. Each block is held against all documents before the next but one is read, and then released.
+Nothing of the documents is shuffled unless there are several blocks.
 
 Null or wordless texts hit nothing; items without id or words are ignored; items of one id count as one; repeated rows
 each get their own result row; an empty benchmark contaminates nothing. Other columns are ignored.
@@ -15,6 +16,7 @@ each get their own result row; an empty benchmark contaminates nothing. Other co
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -120,15 +122,29 @@ def _sha(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
+def _parts(name: str, text: str, window: int, most: int) -> Iterator[tuple[str, str, int]]:
+    """An item of more than most words in parts that overlap, so that they have its windows: name, text, words about."""
+    about = text.count(" ") + 1
+    w = text_words([text], ALNUM) if len(text) > most else None
+    n = len(w.hash) if w else 0
+    if n <= most + window:
+        yield name, text, about
+        return
+    for j in range(0, n - window + 1, most):
+        part = b" ".join(w.word(i) for i in range(j, min(n, j + most + window - 1)))
+        yield name, part.decode("utf-8", "surrogateescape"), most
+
+
+def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, str]]]:
     block, size = [], 0
     rows = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
     for r in rows.toLocalIterator():
-        block.append((r.i, r.t))
-        size += r.t.count(" ") + 1
-        if size >= block_words:
-            yield block
-            block, size = [], 0
+        for name, text, about in _parts(r.i, r.t, window, block_words):
+            block.append((name, text))
+            size += about
+            if size >= block_words:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
@@ -136,7 +152,7 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]
 def _indexes(docs: DataFrame, items: DataFrame, window: int, shingle: int, block_words: int) -> Iterator:
     """A broadcast index for each block of items."""
     sc = docs.sparkSession.sparkContext
-    for block in _blocks(items, block_words):
+    for block in _blocks(items, window, block_words):
         index = _Index(block, window, shingle)
         if not index.windows:
             continue
@@ -157,12 +173,14 @@ def _indexes(docs: DataFrame, items: DataFrame, window: int, shingle: int, block
 
         counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         index.choose({r.h % 2**64: r.n for r in counts.collect()})  # the vocabulary of a block at most
+        vocabulary.unpersist()
         yield sc.broadcast(index)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, block_words: int = 1_000_000) -> DataFrame:
     """Per document (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated."""
-    indexes = list(_indexes(docs, items, window, shingle, block_words))
+    every = _indexes(docs, items, window, shingle, block_words)
+    indexes = list(itertools.islice(every, 2))  # one is the usual case; of several, two are held at a time
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -181,7 +199,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     found = []
-    for index in indexes:
+    for index in itertools.chain(indexes, every):
 
         def some(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -194,6 +212,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), batch.column(2).take(pa.array(at, pa.int32())), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "th", "spans", "items"])
 
         found.append(materialise(keyed.mapInArrow(some, f"doc_id {kind}, th long, spans array<long>, items array<string>")))
+        index.unpersist()
     hit = found[0]
     for more in found[1:]:
         hit = hit.union(more)
@@ -231,7 +250,11 @@ def _batch(ids: pa.Array, rows: list[tuple], names: list[str]) -> pa.RecordBatch
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, block_words: int = 1_000_000) -> DataFrame:
     """docs, all columns, without those that hold a window of an item."""
     at = docs.columns.index("text")
-    for k, index in enumerate(_indexes(docs, items, window, shingle, block_words)):
+    before = None
+    for index in _indexes(docs, items, window, shingle, block_words):
+        if before is not None:
+            docs = materialise(docs)
+            before.unpersist()
 
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -240,5 +263,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shing
                     ok[[a + i for i in found]] = False
                 yield batch.filter(pa.array(ok))
 
-        docs = (materialise(docs) if k else docs).mapInArrow(keep, docs.schema)
+        docs, before = docs.mapInArrow(keep, docs.schema), index
     return docs
