@@ -5,12 +5,13 @@ A bin has three capacities: tokens, documents and attention cost (sum of squared
 size. Lengths are placed from the longest on. Among the bins in which a piece fits under every constraint, best fit takes
 the one with the smallest weighted norm of what is left in it (``rule="norm"``) or the largest weighted dot-product of
 need and residual (``rule="dot"``). Bins that hold the same pieces are one group with a count, and a step fills as many
-bins of a group as there are pieces for. Each step is a run of ranks; a piece finds its place by its rank in its length.
+bins of a group as there are pieces for. Each step is a run of ranks; a piece finds its place by its rank in its length
+(ties in length: by doc_id and piece, within hashed buckets; ties between groups of bins: the older group).
 
 With the default document and cost capacities (as many documents as tokens, the square of the tokens) these two never
 bind before the tokens do, so the number of sequences is that of best fit decreasing.
 
-Ids come from the public byte-level BPE; a null or empty text is the end id alone. Only documents longer than the
+Ids come from the public byte-level BPE of the whole text; a null or empty text is the end id alone. Only documents longer than the
 capacity are cut: whole pieces at the end, the first piece takes the rest. Repeated rows are packed each on its own.
 Other columns are ignored; an empty table gives no pieces.
 """
@@ -103,16 +104,17 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, ru
         heapq.heapify(order)
         made = []
         while todo:
-            if order:
-                g = fits[heapq.heappop(order)[1]]
-            else:
+            opened = not order
+            if opened:
                 k = min(capacity // length, max_docs, max_cost // cost)
                 g = [capacity, max_docs, max_cost, bins, -(-todo // k)]
                 bins += g[4]
                 groups.append(g)
-            k = int(min(g[0] // length, g[1], g[2] // cost)) if rule == "norm" or not order else 1
-            if rule != "norm":  # a bin that got a piece loses rank: each gets one before the next comparison
-                k = 1
+            else:
+                g = fits[heapq.heappop(order)[1]]
+            # by the norm a bin that got a piece is the best again, and an opened one is the only one that fits; by the
+            # dot-product it loses rank: each bin gets one before the next comparison
+            k = int(min(g[0] // length, g[1], g[2] // cost)) if rule == "norm" or opened else 1
             if todo < k:
                 k = todo
             n = min(todo // k, g[4])
@@ -134,32 +136,38 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, ru
     return np.array(steps, np.int64).reshape(-1, 6)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
-    """pieces (doc_id, piece, length, ...) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", per_bucket: int = 500_000) -> DataFrame:
+    """pieces (doc_id, piece, length, ...) with sequence_id and offset.
+
+    Pieces are ranked within buckets of their length (about ``per_bucket`` rows each, however many there are), and running
+    sums over the buckets' counts make the ranks whole. Pieces of full length need no rank: each is a sequence.
+    """
     spark = pieces.sparkSession
     max_docs, max_cost = max_docs or capacity, max_cost or capacity * capacity
-    buckets = min(512, max(32, shuffle_partitions(spark)))
-    dealt = pieces.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, piece), {buckets})"))
-    counted = [(r.length, r.bucket, r.n) for r in dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()]  # capacity * buckets rows at most
-    total: dict[int, int] = {}
-    base = np.zeros((capacity + 1, buckets), np.int64)
-    for length, bucket, n in sorted(counted):
+    lengths = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows
+    for length in lengths:
         if length > capacity or length * length > max_cost:
             raise ValueError(f"a piece of {length} fits into no sequence")
-        base[length, bucket] = total.get(length, 0)
-        total[length] = total.get(length, 0) + n
-    steps = plan(total, capacity, max_docs, max_cost, rule)
+    full = pieces.where(F.col("length") == capacity)
+    full = full.select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    counts = {length: n for length, n in lengths.items() if length < capacity}
+    steps = plan(counts, capacity, max_docs, max_cost, rule)
     key = steps[:, 0] * 2**44 + steps[:, 1]
     order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((key[order], steps[order], base))  # bounded by lengths and buckets
+    shared = spark.sparkContext.broadcast((key[order], steps[order]))  # bounded by the lengths
+
+    buckets = max(shuffle_partitions(spark), sum(counts.values()) // per_bucket, 32)
+    dealt = pieces.where(F.col("length") < capacity).withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, piece), {buckets})"))
+    upto = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
+    ranked = ranked.join(base, ["length", "bucket"]).select(*pieces.columns, (F.col("base") + F.col("rank")).alias("rank"))
     at, names = {c: i for i, c in enumerate(ranked.columns)}, pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, steps, base = shared.value
+        keys, steps = shared.value
         for batch in batches:
-            length, bucket, rank = (batch.column(at[c]).to_numpy() for c in ("length", "bucket", "rank"))
-            rank = base[length, bucket] + rank
+            length, rank = (batch.column(at[c]).to_numpy() for c in ("length", "rank"))
             s = steps[np.searchsorted(keys, length * 2**44 + rank, "right") - 1] if len(keys) else np.zeros((len(rank), 6), np.int64)
             nth = rank - s[:, 1]
             k = np.maximum(s[:, 3], 1)
@@ -167,7 +175,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, max_docs: int | None = None, m
             yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in names), pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return full.union(ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, **how) -> DataFrame:

@@ -77,7 +77,7 @@ def test_decontamination(docs, rows, bench):
                     hit.update(range(j, j + n))
                     items |= windows[k]
         want.append((str(i), len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
-    for block in (10**6, 60):  # one index, and several
+    for block in (10**6, 300):  # one index, and several
         got = decontam.decontaminate(docs, bench, block_words=block).collect()
         assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
         kept = decontam.drop_contaminated(docs, bench, block_words=block)
@@ -85,6 +85,17 @@ def test_decontamination(docs, rows, bench):
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(w[0] for w in want if not w[5])
 
 
+def test_items_in_parts_have_the_windows_of_the_whole(spark):
+    long = " ".join(f"w{i}" for i in range(95))
+    whole = decontam._Index([("a", long)], 10, 5).windows
+    parts = list(decontam._parts("a", long, 10, 20))
+    assert len(parts) == 5 and sorted({x for _, t, _ in parts for x in decontam._Index([("a", t)], 10, 5).windows}) == sorted(whole)
+    items = spark.createDataFrame([("a", long), ("b", "one two")], "item_id string, text string")
+    d = spark.createDataFrame([(1, "x " + " ".join(f"w{i}" for i in range(70, 90))), (2, "w1 w2 w3"), (3, "One, two!")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.decontaminate(d, items, block_words=20).collect()}
+    assert got == {1: (20, 1), 2: (0, 0), 3: (2, 1)}
+
+
 def test_decontamination_of_nothing(docs, bench):
     assert decontam.decontaminate(docs, bench.where("item_id < 0")).where("contaminated").count() == 0
     assert decontam.decontaminate(docs.where("false"), bench).count() == 0
@@ -208,6 +219,38 @@ def test_packing_plan_holds_every_capacity(rule, caps):
         assert sum(x for _, x in b) <= caps[0] and len(b) <= caps[1] and sum(x * x for _, x in b) <= caps[2]
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("caps", [(100, 100, 10_000), (100, 4, 10_000), (100, 100, 1_500)])
+def test_packing_plan_is_best_fit(rule, caps):
+    """Bins against best fit piece by piece: the longest first, each into the best open bin under every capacity."""
+    rng = np.random.default_rng(7)
+    counts = dict(Counter(rng.integers(1, 38, 300).tolist()))
+    weight, full = np.array([1.0, 1e-3, 1e-3]), np.array(caps, float)
+    bins = []
+    for length in sorted(counts, reverse=True):
+        need = np.array([length, 1, length * length])
+        for _ in range(counts[length]):
+            fits = [b for b in bins if (b["left"] >= need).all()]
+            if rule == "norm":
+                rank = lambda b: round(float((weight * ((b["left"] - need) / full) ** 2).sum()), 12)  # noqa: E731, B023
+            else:
+                rank = lambda b: round(-float((weight * need / full * b["left"] / full).sum()), 12)  # noqa: E731, B023
+            best = min(fits, key=rank, default=None)
+            if best is None:
+                best = {"left": full.copy(), "has": []}
+                bins.append(best)
+            best["left"] = best["left"] - need
+            best["has"].append(length)
+    want = Counter(tuple(b["has"]) for b in bins)
+    made = defaultdict(list)
+    for length, _, n, k, first, offset in packing.plan(counts, *caps, rule).tolist():
+        for i in range(n):
+            made[first + i // k].append((offset + i % k * length, length))
+    got = Counter(tuple(x for _, x in sorted(b)) for b in made.values())
+    assert sum(got.values()) == sum(want.values())
+    assert got == want
+
+
 def test_token_ids_are_those_of_tokenizers():
     _, exact = packing._encoders()
     for t in ["<|endoftext|> a", "  lead", "naïve façade", "日本語 текст", "a" * 5000, " " * 3000, "it's\r\n\tx  y", "½ Ⅷ ² ๓"]:
