@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,15 +43,34 @@ def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
+_tables: dict[str, SparkSession] = {}
+
+
+def drop_tables() -> None:
+    """Deletes the tables that this process stored in shared folders; DataFrames that read them end with that."""
+    while _tables:
+        path, spark = _tables.popitem()
+        with contextlib.suppress(Exception):  # the session's JVM may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+atexit.register(drop_tables)
+
+
 def materialise(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there and a lost executor costs nothing.
 
-    arrow_rows: rows of an Arrow batch while it is written, for wide rows; what the session has otherwise.
+    arrow_rows: rows of an Arrow batch while it is written, for wide rows; what the session has otherwise. The tables lie in
+    one folder an application, which ``drop_tables`` deletes when the process ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    with arrow_batches(df.sparkSession, arrow_rows):
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    _tables[folder] = spark
+    with arrow_batches(spark, arrow_rows):
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -64,16 +85,36 @@ def block_pairs(members: DataFrame, bucket: list[str], weight: Column, block: in
     """Deals the members (bucket, cid, ...) of each bucket to blocks of about ``block`` weight, and those to pairs of blocks.
 
     Adds block, lo and hi; bucket + lo + hi is a task's group, and of two members in different blocks, or in the same
-    where lo = hi, each pair meets in exactly one group.
+    where lo = hi, each pair meets in exactly one group. Blocks are dealt by a hash of cid, so no task sees a whole
+    bucket; only the buckets of several blocks are joined, and the stored table's size decides how.
     """
-    order = Window.partitionBy(*bucket).orderBy("cid")
-    dealt = members.withColumn("block", F.floor(F.sum(weight).over(order) / block).cast("int"))
-    last = dealt.groupBy(*bucket).agg(F.max("block").alias("last"))
-    dealt = dealt.join(last, bucket).withColumn("other", F.explode(F.expr("sequence(0, last)")))
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "last")
+    sizes = members.groupBy(*bucket).agg(F.ceil(F.sum(weight) / block).cast("int").alias("blocks"))
+    large = materialise(sizes.where("blocks > 1"))
+    dealt = members.join(large, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.expr("int(pmod(xxhash64(cid), blocks))")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
     return dealt, [*bucket, "lo", "hi"]
 
 
+def by_group(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """The rows of each group of equal first columns (integers), which follow one another."""
+    parts: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(columns)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if key is not None and key != tuple(keys[a]):
+                yield pa.Table.from_batches(parts)
+                parts = []
+            key = tuple(keys[a])
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of the edges (a, b): smallest id reachable, by alternating large and small stars."""
 

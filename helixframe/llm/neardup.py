@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from helixframe.llm._common import block_pairs, components, materialise
+from helixframe.llm._common import block_pairs, by_group, components, materialise
 from helixframe.llm._text import SPACED, shingle_sets, slices, words
 
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -173,21 +173,9 @@ def _apart(members: DataFrame, texts: DataFrame, k: int, percent: int, block: in
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, key = [], None
-        say = lambda f: pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.int64()), pa.array([x[1] for x in f], pa.int64())], ["a", "b"])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if key is not None and key != tuple(keys[a]):
-                    yield say(solve(pa.Table.from_batches(parts)))
-                    parts = []
-                key = tuple(keys[a])
-                parts.append(batch.slice(a, b - a))
-        if parts:
-            yield say(solve(pa.Table.from_batches(parts)))
+        for rows in by_group(batches, 4):
+            found = solve(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return sent.mapInArrow(run, "a long, b long")
 
