@@ -67,6 +67,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray  # where each text begins in low, and the last one ends
 
     @functools.cached_property
     def check(self) -> np.ndarray:
@@ -96,7 +97,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     opens[cut] = here[cut]
     closes[cut - 1] = here[cut - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return Words(low, start, end, _digest(low, start, end, 0), np.searchsorted(start, offsets))
+    return Words(low, start, end, _digest(low, start, end, 0), np.searchsorted(start, offsets), offsets)
 
 
 def group(key: np.ndarray, *exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -285,35 +285,47 @@ def test_machine_matches_pairwise_sums():
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, old = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
+    """Edit distance in characters, with swaps of neighbours."""
+    d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_automaton_is_edit_distance():
-    terms = [b"idiot", b"moron", b"scum", b"idiots", "réeux".encode()]
-    a = toxicity.Automaton(terms)
+    import pickle
+
+    terms = ["idiot", "moron", "scum", "idiots", "réeux", "cabrón", "estúpido", "日本語文字"]
+    a = pickle.loads(pickle.dumps(toxicity.Automaton(terms)))
     rng = np.random.default_rng(4)
-    tried = [b"idiot", b"idoit", b"idio", b"iddiot", b"scum", b"scun", b"moronx", b"idiotsx", b"xidiot", b"the", "réeu".encode()]
-    for _ in range(500):
-        t = bytearray(terms[rng.integers(len(terms))])
+    tried = ["idiot", "idoit", "idio", "iddiot", "scum", "scun", "csum", "moronx", "idiotsx", "xidiot", "the", "réeu", "cabron", "estupido", "日本文語字", "日本文字", "i", "é"]
+    for _ in range(1500):
+        t = list(terms[rng.integers(len(terms))])
         for _ in range(rng.integers(0, 3)):
             p = rng.integers(len(t) + 1)
-            t[p : p + rng.integers(0, 2)] = bytes(rng.integers(97, 123, rng.integers(0, 2)).astype(np.uint8).tolist())
-        tried.append(bytes(t).replace(b" ", b"") or b"x")
-    tried = [t for t in tried if t]
-    from helixframe.llm._text import words
-
-    buf = b" ".join(tried)
-    w = words(np.frombuffer(buf, np.uint8), np.array([0, len(buf)]), np.arange(256) != 32)
-    at, _, e = a.run(w)
+            t[p : p + rng.integers(0, 2)] = rng.choice(list("abcdiorménú語"), rng.integers(0, 2)).tolist()
+            if len(t) > 2 and rng.random() < 0.3:
+                p = rng.integers(len(t) - 1)
+                t[p], t[p + 1] = t[p + 1], t[p]
+        tried.append("".join(t) or "x")
+    w = text_words([" ".join(tried)], SPACED_BYTES)
+    at, term, e, _ = a.run(w)
     got = dict(zip(at.tolist(), e.tolist()))
     for i, t in enumerate(tried):
         d = min((edits(t, x) for x in terms if len(x) >= 5 or t == x), default=9)
         assert got.get(i) == (d if d <= 1 else None), t
+    assert all(edits(tried[i], terms[x]) == got[i] for i, x in zip(at.tolist(), term.tolist()))
+
+
+def test_lexicon_has_no_cap():
+    class Row:
+        def __init__(self, w):
+            self.w, self.p0, self.p1, self.n0, self.n1 = w, 3, 3, 0, 0
+
+    assert len(toxicity._learned([Row(f"t{i}") for i in range(5000)], 100, 1000, None, 3, 2.0)) == 5000 + len(set(toxicity.INSULTS))
 
 
 def test_quotation_is_told_from_abuse():
@@ -322,6 +334,8 @@ def test_quotation_is_told_from_abuse():
 
     lex = toxicity.Lexicon({"idiot": 3.0})
     f = lex.features(text_words(["you are an idiot", 'he wrote the word "idiot" today', "nothing here", "you idiiot", None, ""], KIND))
+    marks = lex.features(text_words(["a “idiot” b", "a 'idiot' b", "a 'idiot b", "«idiot»", 'ends with "', 'idiot" begins', "idiot"], KIND))[:, :2] > 0
+    assert marks.tolist() == [[False, True], [False, True], [True, False], [False, True], [False, False], [True, False], [True, False]]
     abuse, quoted, wrong, spoken = f[:, 0], f[:, 1], f[:, 2], f[:, 3]
     assert abuse[0] > 0 and spoken[0] > 0 and quoted[1] > 0 and abuse[1] == 0 and wrong[3] > 0 and not f[2].any() and not f[4:].any()
 
