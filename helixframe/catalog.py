@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.plans import iterative, relational
+from helixframe.plans import iterative, relational, unrolled
 
 QUERIES = relational.QUERIES | iterative.QUERIES
-ORACLE_SQL = dict(relational.ORACLE_SQL)
+ORACLE_SQL = relational.ORACLE_SQL | unrolled.ORACLE_SQL

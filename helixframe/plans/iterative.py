@@ -26,6 +26,8 @@ from helixframe.operators import stats as Z
 from helixframe.plans.checkpoint import cut
 from helixframe.sources import formats, store
 
+#: Rounds of the diffusions whose oracles are written out.
+ROUNDS = 15
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -34,6 +36,10 @@ def register(f):
     return f
 
 
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
 def _norm(spark, d):
     return C.normalise(T.counts(spark, d))
 
@@ -76,13 +82,13 @@ def critical_value(spark, d):
 
 @register
 def z_pvalues(spark, d):
-    return T.gene_stats(spark, d).select("gene", (F.col("stat") * 10).alias("z")).withColumn("p", z_pvalue_col(F.col("z")))
+    return rounded(T.gene_stats(spark, d).select("gene", (F.col("stat") * 10).alias("z")).withColumn("p", z_pvalue_col(F.col("z"))), 9, "z", "p")
 
 
 @register
 def differential_correlation_pvalues(spark, d):
     m = T.matrix(spark, d).join(T.load(spark, d, "part").select(F.col("p_partkey").alias("row"), "p_brand"), "row")
-    return S.differential_correlation(m.where("p_brand < 'Brand#33'").drop("p_brand"), m.where("p_brand >= 'Brand#33'").drop("p_brand"))
+    return rounded(S.differential_correlation(m.where("p_brand < 'Brand#33'").drop("p_brand"), m.where("p_brand >= 'Brand#33'").drop("p_brand")), 6, "r_a", "r_b", "z", "p")
 
 
 # ---- decompositions ------------------------------------------------------------------------------------------------
@@ -126,25 +132,25 @@ def independent_components_folds(spark, d):
 
 @register
 def page_rank(spark, d):
-    return G.page_rank(_und(spark, d))
+    return rounded(G.page_rank(_und(spark, d), rounds=ROUNDS, tol=0.0), 9, "rank")
 
 
 @register
 def personalised_page_rank(spark, d):
-    return G.page_rank(_und(spark, d), spark.createDataFrame([(0, 1.0), (3, 2.0)], "id long, p double"))
+    return rounded(G.page_rank(_und(spark, d), spark.createDataFrame([(0, 1.0), (3, 2.0)], "id long, p double"), rounds=ROUNDS, tol=0.0), 9, "rank")
 
 
 @register
 def constrained_page_rank(spark, d):
     e = _und(spark, d).withColumn("etype", F.when(F.col("w") > F.lit(20), "strong").otherwise("weak"))
     types = G.nodes_of(e).withColumn("ntype", F.when(F.col("id") % 5 == 0, "sink").otherwise("open"))
-    return G.constrained_page_rank(e, types, spark.createDataFrame([(1, 1.0), (2, 1.0)], "id long, p double"), sink_types=["sink"], absorbing=["weak"])
+    return rounded(G.constrained_page_rank(e, types, spark.createDataFrame([(1, 1.0), (2, 1.0)], "id long, p double"), rounds=ROUNDS, sink_types=["sink"], absorbing=["weak"], tol=0.0), 9, "rank")
 
 
 @register
 def tied_diffusion(spark, d):
     p = lambda *x: spark.createDataFrame([(i, 1.0) for i in x], "id long, p double")
-    return G.tied_diffusion(_und(spark, d), p(0, 1), p(2, 3), "mean", rounds=50)
+    return rounded(G.tied_diffusion(_und(spark, d), p(0, 1), p(2, 3), "mean", rounds=ROUNDS, tol=0.0), 9, "score")
 
 
 @register
@@ -153,7 +159,7 @@ def label_spreading(spark, d):
     classes = labels.select(F.col("batch").alias("cls")).distinct()
     grid = labels.crossJoin(F.broadcast(classes)).select("id", "cls", F.when(F.col("labelled") & (F.col("batch") == F.col("cls")), 1.0).otherwise(0.0).alias("y"), "labelled")
     weights = G.neighbour_weights(_nn(spark, d).select(F.col("id").alias("src"), F.col("nbr").alias("dst")), True)
-    return G.label_spreading(cut(weights), grid, 0.9, 12, max_hops=6)
+    return rounded(G.label_spreading(cut(weights), grid, 0.9, 12, tol=0.0, max_hops=6), 9, "value")
 
 
 @register
@@ -201,7 +207,8 @@ def gsea_multilevel(spark, d):
 
 @register
 def leading_edges(spark, d):
-    return E.enrichment_scores(T.gene_stats(spark, d), T.gene_sets(spark, d), leading_edge=True)
+    out = E.enrichment_scores(T.gene_stats(spark, d), T.gene_sets(spark, d), leading_edge=True)
+    return rounded(out, 6, "es").withColumn("leading_edge", F.array_join("leading_edge", ","))
 
 
 def _expression(spark, d):
@@ -221,7 +228,8 @@ def set_variation_poisson(spark, d):
 @register
 def over_representation_pvalues(spark, d):
     s = T.gene_sets(spark, d)
-    return E.over_representation(s, T.load(spark, d, "part").where("p_size <= 7").select(F.col("p_partkey").alias("gene")), s.select("gene"))
+    out = E.over_representation(s, T.load(spark, d, "part").where("p_size <= 7").select(F.col("p_partkey").alias("gene")), s.select("gene"))
+    return rounded(rounded(out, 6, "odds"), 9, "p", "fdr")
 
 
 @register
@@ -241,7 +249,7 @@ def motif_enrichment(spark, d):
 def ontology_elimination(spark, d):
     e, tg = T.ontology_edges(spark, d), T.term_genes(spark, d)
     target = T.load(spark, d, "customer").where("c_acctbal > 7000").select(F.col("c_custkey").alias("gene"))
-    return O.elimination(tg, O.ancestors(e), O.levels(e), target)
+    return rounded(O.elimination(tg, O.ancestors(e), O.levels(e), target), 9, "p", "fdr")
 
 
 @register
@@ -271,7 +279,7 @@ def knn_recall(spark, d):
 
 @register
 def kbet_pvalues(spark, d):
-    return N.kbet(_nn(spark, d), _batches(spark, d))
+    return rounded(N.kbet(_nn(spark, d), _batches(spark, d)), 6, "chi2", "p")
 
 
 @register
@@ -334,13 +342,13 @@ def _spatial(spark, d):
 @register
 def gene_autocorrelation(spark, d):
     counts, umi, w = _spatial(spark, d)
-    return H.autocorrelation(H.standardised(counts, umi, "danb"), w)
+    return rounded(H.autocorrelation(H.standardised(counts, umi, "danb"), w), 6, "g", "c", "z", "p", "fdr")
 
 
 @register
 def gene_autocorrelation_bernoulli(spark, d):
     counts, umi, w = _spatial(spark, d)
-    return H.autocorrelation(H.standardised(counts, umi, "bernoulli"), w)
+    return rounded(H.autocorrelation(H.standardised(counts, umi, "bernoulli"), w), 6, "g", "c", "z", "p", "fdr")
 
 
 @register
@@ -421,6 +429,6 @@ def synthetic_bulk(spark, d):
 
 @register
 def walk_distributions(spark, d):
-    return G.walk_distributions(_und(spark, d), 3)
+    return rounded(G.walk_distributions(_und(spark, d), 3), 9, "value")
 
 

@@ -194,7 +194,7 @@ def dge_mann_whitney(spark, d):
 
 @register()
 def dge_pvalues(spark, d):
-    return C.dge(_norm(spark, d), *_two_groups(spark, d), 0.02)
+    return r6(C.dge(_norm(spark, d), *_two_groups(spark, d), 0.02), "share_1", "share_2", "lfc", "z", "p", "fdr")
 
 
 _AUC = """SELECT cell, set_id, {score} AS auc FROM (
