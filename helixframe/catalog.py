@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from helixframe.plans import iterative, relational, unrolled
+from helixframe.plans import basics, iterative, relational, unrolled
 
 QUERIES = relational.QUERIES | iterative.QUERIES
-ORACLE_SQL = relational.ORACLE_SQL | unrolled.ORACLE_SQL
+#: One table: each of the modules adds to it.
+ORACLE_SQL = relational.ORACLE_SQL
+assert basics.ORACLE_SQL is unrolled.ORACLE_SQL is ORACLE_SQL

@@ -394,14 +394,6 @@ def gene_batches(spark, d):
 # ---- fusion and dictionaries ---------------------------------------------------------------------------------------
 
 
-@register
-def fused_network(spark, d):
-    s = T.load(spark, d, "supplier")
-    one = M.transpose(T.melt(s.select(F.col("s_suppkey").alias("row"), F.col("s_acctbal").alias("a"), (F.col("s_nationkey") * 1.0).alias("b")), "row")).select("row", "col", "value")
-    two = M.transpose(T.melt(s.select(F.col("s_suppkey").alias("row"), (F.col("s_nationkey") % 5).alias("x"), (F.length("s_name") % 4).cast("int").alias("y")), "row")).select("row", "col", F.col("value").cast("double").alias("value"))
-    return U.fuse([cut(U.affinity_continuous(one, k=10)), cut(U.affinity_categorical(two, 10))], 10, 3)
-
-
 @register
 def dictionary_learning(spark, d):
     m = T.edges(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("w").alias("value"))

@@ -78,7 +78,7 @@ def sql(body: str, *names: str) -> str:
 def register(oracle: str | None = None, *needs: str):
     def put(f):
         QUERIES[f.__name__] = f
-        if oracle:
+        if oracle:  # others are put in directly
             ORACLE_SQL[f.__name__] = sql(oracle, *needs)
         return f
 

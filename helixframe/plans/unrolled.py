@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from helixframe.plans.relational import _CLOSURE, _HITS, sql
+from helixframe.plans.relational import _CLOSURE, _HITS, ORACLE_SQL, sql
 
-ORACLE_SQL: dict[str, str] = {}
 #: Rounds that the registered diffusions take.
 ROUNDS = 15
 
@@ -143,9 +142,7 @@ put("kbet_pvalues", f"SELECT id, round(chi2, 6) AS chi2, round(1 - ({gamma_p('ha
 
 def _mann_whitney() -> str:
     """The oracle of the test's statistics, its z unrounded, with p and fdr."""
-    from helixframe.plans.relational import ORACLE_SQL as known
-
-    head, body = known["dge_mann_whitney"].split(" SELECT gene, round(k1", 1)
+    head, body = ORACLE_SQL["dge_mann_whitney"].split(" SELECT gene, round(k1", 1)
     inner = "SELECT gene, k1 / n1 AS share_1, k2 / n2 AS share_2, s1 / n1 - s2 / n2 AS lfc, (r1 + (n1 - k1) * (1 + n0) / 2.0 - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0) AS z FROM (" + body.split("AS z FROM (", 1)[1]
     return f"{head} SELECT gene, round(share_1, 6) AS share_1, round(share_2, 6) AS share_2, round(lfc, 6) AS lfc, round(z, 6) AS z, round(p, 6) AS p, round(fdr, 6) AS fdr FROM ({with_fdr(f'SELECT *, {two_sided("z")} AS p FROM ({inner}) u')}) e"
 

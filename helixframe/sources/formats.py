@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from helixframe.functions.columns import raw_from_norm
+from helixframe.operators.cells import quality_filter
 
 
 def matrix_market(spark: SparkSession, path: str, cells_as_rows: bool = True) -> DataFrame:
@@ -24,6 +25,21 @@ def matrix_market(spark: SparkSession, path: str, cells_as_rows: bool = True) ->
     return body.select((row if cells_as_rows else col).alias("cell"), (col if cells_as_rows else row).alias("gene"), F.round(x[2].cast("double")).cast("int").alias("raw"))
 
 
+def write_matrix_market(counts: DataFrame, path: str, cells: int, genes: int, cells_as_rows: bool = True) -> None:
+    """counts(cell, gene, raw) as one coordinate file, which the format asks for: banner, dimensions, entries in order."""
+    row, col = ("cell", "gene") if cells_as_rows else ("gene", "cell")
+    n = counts.count()
+    size = f"{cells} {genes} {n}" if cells_as_rows else f"{genes} {cells} {n}"
+    head = counts.sparkSession.createDataFrame([(-1, 0, "%%MatrixMarket matrix coordinate integer general"), (-1, 1, size)], "a long, b long, value string")
+    body = counts.select(F.col(row).alias("a"), F.col(col).alias("b"), F.concat_ws(" ", F.col(row) + 1, F.col(col) + 1, "raw").alias("value"))
+    head.union(body).coalesce(1).sortWithinPartitions("a", "b").select("value").write.mode("overwrite").text(path)
+
+
+def matrix_market_quality(spark: SparkSession, path: str, min_cells: int, min_genes: int, min_library: int, cells_as_rows: bool = True) -> DataFrame:
+    """A coordinate file's counts after the quality filter of genes, then cells."""
+    return quality_filter(matrix_market(spark, path, cells_as_rows), min_cells, min_genes, min_library)
+
+
 def h5ad(spark: SparkSession, path: str, cells: int, layout: str = "csr", slab: int = 10_000, library: str | None = None, target: float = 1e4) -> DataFrame:
     """cell, gene, raw of an h5ad file's X, a task per slab of its major axis. library: X holds log-normalised values, and
     this obs column the library sizes from which counts are rebuilt. A file that can't be opened raises."""

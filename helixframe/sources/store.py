@@ -54,6 +54,14 @@ def gene_nnz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/gene_summary").select("gene", "nnz")
 
 
+def write_version_2(counts: DataFrame, path: str, target: float = 1e4) -> None:
+    """The store as version 2 had it: 16-bit counts (larger ones are cut), by cells only."""
+    short = counts.withColumn("raw", F.least("raw", F.lit(32767)).cast("smallint"))
+    C.normalise(short, target).repartitionByRange("cell").sortWithinPartitions("cell", "gene").write.mode("overwrite").parquet(f"{path}/cells")
+    head = counts.agg(F.countDistinct("cell").alias("cells"), F.countDistinct("gene").alias("genes"), F.count("*").alias("nnz"))
+    head.select("*", F.lit(2).alias("version"), F.lit(float(target)).alias("target")).coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
+
+
 def migrate(spark: SparkSession, old: str, new: str) -> None:
     """A version 2 store (16-bit counts) as version 3; the old one stays. Another version is refused."""
     version = header(spark, old).first().version
