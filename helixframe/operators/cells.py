@@ -121,33 +121,41 @@ def variable_genes(counts: DataFrame, n_cells: int, span: float = 0.3, clip: flo
     """gene, mean, var, expected, var_std: variance of standardised counts clipped at sqrt(n), after a LOESS fit in logs."""
     if method.lower() != "vst":
         raise NotImplementedError(f"{method} is not available")
-    limit = float(np.sqrt(n_cells)) if clip is None else clip
-    mv = mean_variance(counts, n_cells).where("var > 0")
+    sized = counts.select("gene", "raw", F.lit(float(n_cells)).alias("n"))
+    return _variable(sized, (), span, clip)
+
+
+def variable_genes_by_batch(counts: DataFrame, cells: DataFrame, span: float = 0.3) -> DataFrame:
+    """variable_genes within each batch of cells(cell, batch); a fit for each batch, side by side."""
+    size = cells.groupBy("batch").agg(F.count("*").cast("double").alias("n"))
+    sized = counts.join(cells.select("cell", "batch"), "cell").join(size, "batch").select("batch", "gene", "raw", "n")
+    return _variable(sized, ("batch",), span, None)
+
+
+def _variable(counts: DataFrame, by: Sequence[str], span: float, clip: float | None) -> DataFrame:
+    """by, gene, mean, var, expected, var_std of counts(by, gene, raw, n); n: cells, those without counts included."""
+    raw = F.col("raw").cast("double")
+    s = counts.groupBy(*by, "gene", "n").agg(F.sum("raw").alias("s"), F.sum(raw * raw).alias("q"))
+    mean = F.col("s") / F.col("n")
+    mv = s.select(*by, "gene", "n", mean.alias("mean"), (F.col("q") / F.col("n") - mean * mean).alias("var")).where("var > 0")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("gene")  # genes of one mean in a fixed order
         fitted = Loess(span, 2).fit(np.log10(pdf["mean"].to_numpy()), np.log10(pdf["var"].to_numpy())).fitted
         return pdf.assign(expected=10.0**fitted)
 
-    expected = mv.groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: fit(pdf[["gene", "mean", "var"]]), "gene long, mean double, var double, expected double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mv.schema.fields)
+    names = mv.columns
+    # genes of a batch: a gene-sized input
+    expected = mv.groupBy(*(by or [F.lit(0).alias("one")])).applyInPandas(lambda pdf: fit(pdf[names]), f"{kinds}, expected double")
+    limit = F.sqrt("n") if clip is None else F.lit(float(clip))
     sd = F.sqrt("expected")
-    z = F.least((F.col("raw") - F.col("mean")) / sd, F.lit(limit))
-    z0 = F.greatest(F.least(-F.col("mean") / sd, F.lit(limit)), F.lit(-limit))
-    z = F.greatest(z, F.lit(-limit))
-    j = counts.join(expected, "gene").groupBy("gene", "mean", "var", "expected").agg(F.sum(z).alias("sz"), F.sum(z * z).alias("qz"), F.count("*").alias("nnz"))
-    n = F.lit(float(n_cells))
-    zeros = n - F.col("nnz")
-    m = (F.col("sz") + zeros * z0) / n
-    return j.select("gene", "mean", "var", "expected", ((F.col("qz") + zeros * z0 * z0) / n - m * m).alias("var_std"))
-
-
-def variable_genes_by_batch(counts: DataFrame, cells: DataFrame, span: float = 0.3) -> DataFrame:
-    """variable_genes within each batch of cells(cell, batch)."""
-    out = None
-    for r in cells.groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").toLocalIterator():
-        part = counts.join(cells.where(F.col("batch") == r.batch), "cell", "left_semi")
-        one = variable_genes(part, r.n, span).withColumn("batch", F.lit(r.batch))
-        out = one if out is None else out.unionByName(one)
-    return out
+    z = F.greatest(F.least((F.col("raw") - F.col("mean")) / sd, limit), -limit)
+    z0 = F.greatest(F.least(-F.col("mean") / sd, limit), -limit)
+    j = counts.drop("n").join(expected, [*by, "gene"]).groupBy(*by, "gene", "n", "mean", "var", "expected").agg(F.sum(z).alias("sz"), F.sum(z * z).alias("qz"), F.count("*").alias("nnz"))
+    zeros = F.col("n") - F.col("nnz")
+    m = (F.col("sz") + zeros * z0) / F.col("n")
+    return j.select(*by, "gene", "mean", "var", "expected", ((F.col("qz") + zeros * z0 * z0) / F.col("n") - m * m).alias("var_std"))
 
 
 def select_variable(hvg: DataFrame, percentile: float = 0.85) -> DataFrame:

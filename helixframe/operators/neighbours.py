@@ -14,7 +14,9 @@ from helixframe.functions.special import chi2_sf_col
 from helixframe.plans.checkpoint import cut
 
 METRICS = ("euclidean", "cosine")
-METHODS = ("exhaustive", "lsh", "hnsw", "annoy", "ivf", "nndescent")
+METHODS = ("exhaustive", "lsh", "annoy", "ivf", "nndescent")
+#: Vectors that partitions of the space are fitted on; every vector is indexed.
+SAMPLE = 20_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -30,7 +32,9 @@ def knn(query: DataFrame, k: int, metric: str = "cosine", reference: DataFrame |
     """id, rank (from 1), nbr, dist: the k nearest of the reference (of the table itself without it, self left out by id).
 
     Exhaustive: both tables are dealt to blocks, each pair of blocks is one matrix product that keeps k per query, and
-    the best k of those are merged. The other methods look up random-hyperplane buckets first (approximate).
+    the best k of those are merged. The others are approximate and look at parts of the reference: lsh at buckets of random
+    hyperplanes, annoy at the leaves of a forest of median splits, ivf at the cells of the nearest centroids; nndescent
+    improves neighbour lists by their neighbours' neighbours (within one table only).
     """
     metric, method = metric.lower(), method.lower()
     if metric not in METRICS or method not in METHODS:
@@ -42,8 +46,14 @@ def knn(query: DataFrame, k: int, metric: str = "cosine", reference: DataFrame |
         nq, nr = max(1, -(-q.count() // block)), max(1, -(-r.count() // block))
         q = q.withColumn("qb", F.expr(f"pmod(xxhash64(id), {nq})")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)).cast("array<bigint>")))
         r = r.withColumn("rb", F.expr(f"pmod(xxhash64(id, 1), {nr})")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
+    elif method == "nndescent":
+        if not own:
+            raise ValueError("nndescent searches a table within itself")
+        return _descent(q, k, metric, seed)
     else:
-        q, r = _buckets(q, r, seed)
+        if metric == "cosine":
+            q, r = (x.withColumn("vec", unit(F.col("vec"))) for x in (q, r))
+        q, r = {"lsh": _buckets, "annoy": _leaves, "ivf": _cells}[method](q, r, seed)
     kind = query.schema["id"].dataType.simpleString()
     # the two sides may share their lineage: own names keep them apart
     r = r.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.col("qb").alias("rqb"), F.col("rb").alias("rrb"))
@@ -95,6 +105,119 @@ def _buckets(q: DataFrame, r: DataFrame, seed: int, tables: int = 12, per: int =
     return out[0], out[1]
 
 
+def _sample(r: DataFrame, seed: int) -> np.ndarray:
+    """At most SAMPLE vectors, those of the smallest hash of their id."""
+    rows = r.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select("vec").collect()
+    return np.array([x.vec for x in rows], float)
+
+
+def _keyed(df: DataFrame, keys) -> DataFrame:
+    """id, vec, qb, rb: a row for each (qb, rb) that keys gives to a vector; keys: vectors to lists of pairs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(keys=keys(np.array(pdf["vec"].tolist(), float)))
+
+    kind = df.schema["id"].dataType.simpleString()
+    out = df.mapInPandas(run, f"id {kind}, vec array<double>, keys array<struct<qb:long,rb:long>>")
+    return out.select("id", "vec", F.explode("keys").alias("x")).select("id", "vec", "x.*")
+
+
+def _leaves(q: DataFrame, r: DataFrame, seed: int, trees: int = 16, per: int = 128) -> tuple[DataFrame, DataFrame]:
+    """Leaves of trees that split the sample at the median between two random points of each node."""
+    x = _sample(r, seed)
+    depth = max(1, math.ceil(math.log2(max(r.count() / per, 2))))
+    rng = np.random.default_rng(seed)
+    normal, at = np.zeros((trees, 2**depth, x.shape[1])), np.zeros((trees, 2**depth))
+    for t in range(trees):
+        members = {1: np.arange(len(x))}
+        for node in range(1, 2**depth):
+            own = members.pop(node)
+            a, b = x[rng.choice(own if len(own) > 1 else len(x), 2)]
+            normal[t, node] = a - b
+            side = x[own] @ normal[t, node]
+            at[t, node] = np.median(side) if len(own) else 0.0
+            members[2 * node], members[2 * node + 1] = own[side <= at[t, node]], own[side > at[t, node]]
+
+    def keys(v: np.ndarray) -> list:
+        node = np.ones((len(v), trees), np.int64)
+        each = np.arange(trees)
+        for _ in range(depth):
+            side = np.einsum("ntd,nd->nt", normal[each, node], v)
+            node = 2 * node + (side > at[each, node])
+        return [[{"qb": t, "rb": int(leaf)} for t, leaf in enumerate(row)] for row in node]
+
+    return _keyed(q, keys), _keyed(r, keys)
+
+
+def _cells(q: DataFrame, r: DataFrame, seed: int, probes: int | None = None, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Cells of about sqrt(n) centroids fitted to the sample; a query looks into the cells of its nearest ones."""
+    x, n = _sample(r, seed), r.count()
+    lists = max(1, min(int(math.sqrt(n)), len(x)))
+    probes = min(lists, probes or max(18, lists // 3))
+    rng = np.random.default_rng(seed)
+    centre = x[rng.choice(len(x), lists, replace=False)]
+    for _ in range(rounds):
+        label = _distances(x, centre, "euclidean").argmin(1)
+        total = np.zeros_like(centre)
+        np.add.at(total, label, x)
+        size = np.bincount(label, minlength=lists)
+        centre = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centre)
+    near = lambda m: lambda v: [[{"qb": 0, "rb": int(c)} for c in row] for row in np.argsort(_distances(v, centre, "euclidean"), axis=1, kind="stable")[:, :m]]
+    return _keyed(q, near(probes)), _keyed(r, near(1))
+
+
+def _descent(points: DataFrame, k: int, metric: str, seed: int, rounds: int = 6, wide: int = 2) -> DataFrame:
+    """Neighbour lists from two hyperplane tables, improved by the neighbours, both ways, of neighbours."""
+    m = wide * k
+    a, _ = _buckets(points, points, seed, tables=2)
+    vec = cut(points.select("id", "vec"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        w = Window.partitionBy("id").orderBy(F.round("dist", 12), "nbr")
+        return cut(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m))
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """(id, nbr, vec, other) with dist for the vectors."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x, y = (np.array(pdf[c].tolist(), float) for c in ("vec", "other"))
+                if metric == "cosine":
+                    x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (x, y))
+                    d = 1 - (x * y).sum(1)
+                else:
+                    d = np.sqrt(((x - y) ** 2).sum(1))
+                yield pd.DataFrame({"id": pdf["id"], "nbr": pdf["nbr"], "dist": d})
+
+        kind = points.schema["id"].dataType.simpleString()
+        return pairs.select("id", "nbr", "vec", "other").mapInPandas(run, f"id {kind}, nbr {kind}, dist double")
+
+    # a start needs few pairs: each point with the m next in its bucket by a hash of the id
+    order = Window.partitionBy("qb", "rb").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    placed = a.drop("vec").withColumn("at", F.row_number().over(order))
+    ahead = placed.select(F.col("id").alias("nbr"), "qb", "rb", F.col("at").alias("other_at"))
+    start = placed.withColumn("other_at", F.explode(F.expr(f"sequence(at + 1, at + {m})"))).join(ahead, ["qb", "rb", "other_at"])
+    start = start.select("id", "nbr").where("id != nbr")
+    start = start.union(start.select("nbr", "id")).distinct()
+    add = lambda pairs: pairs.join(vec, "id").join(vec.select(F.col("id").alias("nbr"), F.col("vec").alias("other")), "nbr")
+    now = best(measured(add(start)))
+    for _ in range(rounds):
+        out = now.select("id", "nbr")
+        back = Window.partitionBy("nbr").orderBy(F.xxhash64("id", "nbr"))
+        both = out.union(out.withColumn("r", F.row_number().over(back)).where(F.col("r") <= m).select(F.col("nbr").alias("id"), F.col("id").alias("nbr"))).distinct()
+        both = cut(both)
+        step = both.select("id", F.col("nbr").alias("via")).join(both.select(F.col("id").alias("via"), "nbr"), "via").where("id != nbr").select("id", "nbr").distinct()
+        new = cut(step.join(now.select("id", "nbr"), ["id", "nbr"], "left_anti"))
+        better = best(now.drop("rank").union(measured(add(new)).select("id", "nbr", "dist")))
+        moved = better.select("id", "nbr").join(now.select("id", "nbr"), ["id", "nbr"], "left_anti").isEmpty()
+        now = better
+        if moved:
+            break
+    return now.where(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact (id, nbr) pairs that were found."""
     hit = found.select("id", "nbr", F.lit(1).alias("hit"))

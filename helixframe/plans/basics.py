@@ -274,6 +274,18 @@ def kernel_densities(spark, d):
     return E.kernel_density(_expression(spark, d)).withColumn("value", F.round("value", 4))
 
 
+_POISSON = f"SELECT x.gene, x.sample, avg(1 - ({gamma_p('(x.value + 1)', '(y.value + 0.5)', 2500, 1e9)})) AS t FROM ({_EXPR}) x JOIN ({_EXPR}) y ON y.gene = x.gene GROUP BY 1, 2"
+
+
+def _variation(density: str) -> str:
+    """Random walks over the ranks of rounded kernel densities."""
+    value = f"SELECT gene, sample, round(-ln((1 - t) / greatest(t, 1e-15)), 4) AS value FROM ({density}) k"
+    walk = f"SELECT *, row_number() OVER (PARTITION BY set_id, sample ORDER BY pos) AS i, count(*) OVER (PARTITION BY set_id, sample) AS k, sum(wt) OVER (PARTITION BY set_id, sample) AS total, sum(wt) OVER (PARTITION BY set_id, sample ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT gene, sample, n, pos, abs(n - pos + 1 - n / 2.0) AS wt FROM (SELECT *, count(*) OVER (PARTITION BY sample) AS n, row_number() OVER (PARTITION BY sample ORDER BY value DESC, gene) AS pos FROM ({value}) e) r) q JOIN sets USING (gene)"
+    return f"SELECT set_id, sample, round(greatest(max(cum / total - miss), 0) + least(min((cum - wt) / total - miss), 0), 6) AS score FROM (SELECT *, (pos - i) / CAST(n - k AS DOUBLE) AS miss FROM ({walk}) y) z GROUP BY 1, 2"
+
+
+put("set_variation", _variation(_DENSITY), ("sets",))
+put("set_variation_poisson", _variation(_POISSON), ("sets",))
 put("gene_pair_correlation", """SELECT gene_a, gene_b, round(lc / sqrt(ta * tb) / 2, 6) AS c, round(CASE WHEN abs(lc / sqrt(ea)) < abs(lc / sqrt(eb)) THEN lc / sqrt(ea) ELSE lc / sqrt(eb) END, 6) AS z FROM (
     SELECT a.gene AS gene_a, b.gene AS gene_b, sum(a.wx * b.x) AS lc FROM wxs a JOIN xs b ON b.cell = a.cell AND a.gene < b.gene GROUP BY 1, 2) l
     JOIN ab p ON p.gene = gene_a JOIN (SELECT gene, ea AS eb, ta AS tb FROM ab) q ON q.gene = gene_b""",

@@ -62,12 +62,12 @@ def _und(spark, d):
 
 @register
 def variable_genes(spark, d):
-    return C.variable_genes(T.counts(spark, d), T.cells(spark, d).count())
+    return rounded(C.variable_genes(T.counts(spark, d), T.cells(spark, d).count()), 4, "mean", "var", "expected", "var_std")
 
 
 @register
 def variable_genes_by_batch(spark, d):
-    return C.variable_genes_by_batch(T.counts(spark, d), T.cells(spark, d).select("cell", "batch"))
+    return rounded(C.variable_genes_by_batch(T.counts(spark, d), T.cells(spark, d).select("cell", "batch")), 4, "mean", "var", "expected", "var_std")
 
 
 @register
@@ -217,12 +217,14 @@ def _expression(spark, d):
 
 @register
 def set_variation(spark, d):
-    return E.set_variation(_expression(spark, d), T.gene_sets(spark, d))
+    dense = E.kernel_density(_expression(spark, d)).withColumn("value", F.round("value", 4))
+    return rounded(E.set_variation(dense, T.gene_sets(spark, d), kernel=False), 6, "score")
 
 
 @register
 def set_variation_poisson(spark, d):
-    return E.set_variation(_expression(spark, d), T.gene_sets(spark, d), gaussian=False)
+    dense = E.kernel_density(_expression(spark, d), gaussian=False).withColumn("value", F.round("value", 4))
+    return rounded(E.set_variation(dense, T.gene_sets(spark, d), kernel=False), 6, "score")
 
 
 @register
@@ -242,7 +244,8 @@ def motif_enrichment(spark, d):
     from pyspark.sql import Window
 
     ranks = T.counts(spark, d).select(F.col("cell").alias("motif"), "gene", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("raw"), "gene")).alias("rank"))
-    return E.motif_enrichment(ranks, T.gene_sets(spark, d).where("set_id = 'Brand#11'").select("gene"), 30, 0.5, 50)
+    out = E.motif_enrichment(ranks, T.gene_sets(spark, d).where("set_id = 'Brand#11'").select("gene"), 30, 0.5, 50)
+    return rounded(rounded(out, 9, "auc"), 6, "nes").withColumn("leading_edge", F.array_join("leading_edge", ","))
 
 
 @register
@@ -274,7 +277,27 @@ def knn_approximate(spark, d):
 
 @register
 def knn_recall(spark, d):
-    return N.recall(N.knn(_points(spark, d), 10, "cosine", method="lsh"), _nn(spark, d))
+    """method, recall against the exact neighbours."""
+    exact, out = _nn(spark, d), None
+    for method in N.METHODS[1:]:
+        one = N.recall(N.knn(_points(spark, d), 10, "cosine", method=method), exact).select(F.lit(method).alias("method"), "recall")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@register
+def knn_leaves(spark, d):
+    return N.knn(_points(spark, d), 10, "cosine", method="annoy")
+
+
+@register
+def knn_cells(spark, d):
+    return N.knn(_points(spark, d), 10, "cosine", method="ivf")
+
+
+@register
+def knn_descent(spark, d):
+    return N.knn(_points(spark, d), 10, "cosine", method="nndescent")
 
 
 @register

@@ -20,9 +20,9 @@ def rounds(tag: str, first: str, step: str, n: int) -> list[tuple[str, str]]:
     return [(f"{tag}0", first)] + [(f"{tag}{i + 1}", step.replace("{p}", f"{tag}{i}")) for i in range(n)]
 
 
-def gamma_p(a: str, x: str) -> str:
-    """The regularised lower incomplete gamma function by its series."""
-    return f"CASE WHEN {x} <= 0 THEN 0 WHEN {x} > 250 THEN 1 ELSE list_sum(list_transform(range(0, 600), lambda k: exp((k + {a}) * ln({x}) - {x} - lgamma({a} + k + 1)))) END"
+def gamma_p(a: str, x: str, terms: int = 600, most: float = 250) -> str:
+    """The regularised lower incomplete gamma function by its series; 1 for x beyond most."""
+    return f"CASE WHEN {x} <= 0 THEN 0 WHEN {x} > {most} THEN 1 ELSE list_sum(list_transform(range(0, {terms}), lambda k: exp((k + {a}) * ln({x}) - {x} - lgamma({a} + k + 1)))) END"
 
 
 def two_sided(z: str) -> str:
@@ -178,3 +178,47 @@ put("gene_autocorrelation_bernoulli", _AUTO, ("counts",), *_SPATIAL, *_BERN)
 
 _PARTS = "SELECT CAST(cell % 2 AS INTEGER) AS part, cell AS old_cell, gene, raw FROM counts WHERE gene IN (SELECT gene FROM counts GROUP BY 1 HAVING count(*) >= 10)"
 put("combined_sources", f"SELECT i.cell, gene, raw, p.part, p.old_cell FROM ({_PARTS}) p JOIN (SELECT part, old_cell, row_number() OVER (ORDER BY part, old_cell) - 1 AS cell FROM ({_PARTS}) q GROUP BY 1, 2 HAVING count(*) >= 10 AND sum(raw) >= 100) i ON i.part = p.part AND i.old_cell = p.old_cell", ("counts",))
+
+
+# ---- variable genes ------------------------------------------------------------------------------------------------
+
+
+def _variable(cells: str) -> list[tuple[str, str]]:
+    """Steps to var_std(batch, gene, mean, var, expected, var_std): local parabolas by weighted normal equations."""
+    return [
+        ("own", cells),
+        ("size", "SELECT batch, CAST(count(*) AS DOUBLE) AS n FROM own GROUP BY 1"),
+        ("mv", "SELECT batch, gene, n, sum(raw) / n AS mean, sum(CAST(raw AS DOUBLE) * raw) / n - (sum(raw) / n) * (sum(raw) / n) AS var FROM counts JOIN own USING (cell) JOIN size USING (batch) GROUP BY batch, gene, n"),
+        ("pts", "SELECT *, row_number() OVER (PARTITION BY batch ORDER BY x, gene) - 1 AS i, least(count(*) OVER (PARTITION BY batch), greatest(CAST(ceil(0.3 * count(*) OVER (PARTITION BY batch)) AS BIGINT), 3)) AS k FROM (SELECT batch, gene, n, mean, var, log10(mean) AS x, log10(var) AS y FROM mv WHERE var > 0) v"),
+        ("ends", "SELECT a.batch, a.x AS l, b.x AS r FROM pts a JOIN pts b ON b.batch = a.batch AND b.i = a.i + a.k"),
+        ("win", "SELECT p.batch, p.gene, count(*) FILTER (WHERE p.x - l > r - p.x) AS lo FROM pts p LEFT JOIN ends e ON e.batch = p.batch GROUP BY 1, 2"),
+        ("near", "SELECT *, max(d) OVER (PARTITION BY batch, gene) AS reach, row_number() OVER (PARTITION BY batch, gene ORDER BY d, i) AS r FROM (SELECT p.batch, p.gene, q.i, q.y, q.x - p.x AS dx, abs(q.x - p.x) AS d FROM pts p JOIN win USING (batch, gene) JOIN pts q ON q.batch = p.batch AND q.i >= lo AND q.i < lo + p.k) z"),
+        ("eq", "SELECT batch, gene, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4, sum(w * y) AS b0, sum(w * u * y) AS b1, sum(w * u * u * y) AS b2 FROM (SELECT batch, gene, y, dx / reach AS u, pow(greatest(1 - pow(d / reach, 3), 0), 3) AS w FROM near WHERE r <= 64) z GROUP BY 1, 2"),
+        ("fit", "SELECT batch, gene, pow(10, (b0 * (s2 * s4 - s3 * s3) - s1 * (b1 * s4 - s3 * b2) + s2 * (b1 * s3 - s2 * b2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))) AS expected FROM eq"),
+        ("var_std", "SELECT batch, gene, mean, var, expected, (q + (n - k) * z0 * z0) / n - pow((s + (n - k) * z0) / n, 2) AS var_std FROM (SELECT batch, gene, n, mean, var, expected, z0, sum(z) AS s, sum(z * z) AS q, count(*) AS k FROM (SELECT p.batch, p.gene, n, mean, var, expected, greatest(least((raw - mean) / sqrt(expected), sqrt(n)), -sqrt(n)) AS z, greatest(least(-mean / sqrt(expected), sqrt(n)), -sqrt(n)) AS z0 FROM pts p JOIN fit USING (batch, gene) JOIN own ON own.batch = p.batch JOIN counts c ON c.cell = own.cell AND c.gene = p.gene) a GROUP BY ALL) b"),
+    ]
+
+
+_ALL = "round(mean, 4) AS mean, round(var, 4) AS var, round(expected, 4) AS expected, round(var_std, 4) AS var_std FROM var_std"
+_EVERY = "SELECT c_custkey AS cell, 0 AS batch FROM customer"
+put("variable_genes", f"SELECT gene, {_ALL}", ("counts",), *_variable(_EVERY))
+put("variable_genes_by_batch", f"SELECT batch, gene, {_ALL}", ("counts",), *_variable("SELECT c_custkey AS cell, r_name AS batch FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"))
+put("selected_genes", "SELECT gene FROM (SELECT gene, row_number() OVER (ORDER BY var_std DESC, gene) AS r, count(*) OVER () AS n FROM var_std) v WHERE r <= ceil(n * round(1 - 0.85, 9))", ("counts",), *_variable(_EVERY))
+
+
+# ---- motifs --------------------------------------------------------------------------------------------------------
+
+put(
+    "motif_enrichment",
+    """SELECT motif, round(auc, 9) AS auc, round(nes, 6) AS nes, CAST(top AS INTEGER) AS rank_at_max, CAST(count(gene) AS INTEGER) AS n_genes, coalesce(string_agg(CAST(gene AS VARCHAR), ',' ORDER BY gene), '') AS leading_edge
+    FROM best LEFT JOIN (SELECT motif AS m, gene, rank FROM hits) h ON m = motif AND rank <= top GROUP BY motif, auc, nes, top""",
+    ("counts",),
+    ("mr", "SELECT cell AS motif, gene, row_number() OVER (PARTITION BY cell ORDER BY raw DESC, gene) AS rank FROM counts"),
+    ("own", "SELECT DISTINCT p_partkey AS gene FROM part WHERE p_brand = 'Brand#11'"),
+    ("hits", "SELECT motif, gene, rank FROM mr JOIN own USING (gene) WHERE rank > 0 AND rank < 50"),
+    ("aucs", "SELECT m.motif, coalesce(a, 0) / CAST(30 * (SELECT count(*) FROM own) AS DOUBLE) AS auc FROM (SELECT DISTINCT motif FROM mr) m LEFT JOIN (SELECT motif, sum((nxt - rank) * i) AS a FROM (SELECT motif, rank, row_number() OVER w AS i, coalesce(lead(rank) OVER w, 30) AS nxt FROM hits WHERE rank < 30 WINDOW w AS (PARTITION BY motif ORDER BY rank, gene)) z GROUP BY 1) y USING (motif)"),
+    ("strong", "SELECT * FROM (SELECT motif, auc, (auc - avg(auc) OVER ()) / stddev_samp(auc) OVER () AS nes FROM aucs) z WHERE nes >= 0.5 AND motif IN (SELECT motif FROM hits)"),
+    ("curve", "SELECT h.motif, r.i AS top, count(*) FILTER (WHERE h.rank <= r.i) AS c FROM hits h CROSS JOIN range(0, 50) r(i) GROUP BY 1, 2"),
+    ("lim", "SELECT top, s / n + 2 * sqrt(greatest(q / n - (s / n) * (s / n), 0)) AS lim FROM (SELECT top, CAST(sum(c) AS DOUBLE) AS s, CAST(sum(c * c) AS DOUBLE) AS q, (SELECT count(DISTINCT motif) FROM mr) AS n FROM curve GROUP BY 1) z"),
+    ("best", "SELECT motif, auc, nes, top FROM (SELECT motif, auc, nes, top, row_number() OVER (PARTITION BY motif ORDER BY c - lim DESC, top) AS r FROM strong JOIN curve USING (motif) JOIN lim USING (top)) z WHERE r = 1"),
+)
