@@ -71,7 +71,7 @@ def grouped_gene_stats(norm: DataFrame, groups: DataFrame) -> DataFrame:
     """gene, grp, mean (zeros counted) and share of expressing cells; groups(cell, grp)."""
     size = groups.groupBy("grp").agg(F.count("*").alias("size"))
     seen = norm.join(groups, "cell").groupBy("gene", "grp").agg(F.sum("norm").alias("s"), F.count("*").alias("n"))
-    return seen.join(F.broadcast(size), "grp").select("gene", "grp", (F.col("s") / F.col("size")).alias("mean"), (F.col("n") / F.col("size")).alias("share"))
+    return seen.join(size, "grp").select("gene", "grp", (F.col("s") / F.col("size")).alias("mean"), (F.col("n") / F.col("size")).alias("share"))
 
 
 def gene_vector(norm: DataFrame, cells: DataFrame, gene: int, scale: bool = False, clip: float | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def pseudo_bulk(norm: DataFrame, groups: DataFrame, kind: str = "raw") -> DataFr
     if kind == "raw":
         return joined.groupBy("grp", "gene").agg(F.sum("raw").cast("double").alias("value"))
     size = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    return joined.groupBy("grp", "gene").agg(F.sum("norm").alias("s")).join(F.broadcast(size), "grp").select("grp", "gene", (F.col("s") / F.col("size")).alias("value"))
+    return joined.groupBy("grp", "gene").agg(F.sum("norm").alias("s")).join(size, "grp").select("grp", "gene", (F.col("s") / F.col("size")).alias("value"))
 
 
 def aggregate_metacells(counts: DataFrame, members: DataFrame, target: float = 1e4) -> DataFrame:
@@ -238,7 +238,7 @@ def module_scores(norm: DataFrame, sets: DataFrame, controls: DataFrame) -> Data
     kinds = sets.withColumn("x", F.lit(True)).union(controls.withColumn("x", F.lit(False)))
     size = kinds.groupBy("set_id").agg(F.sum(F.col("x").cast("int")).alias("a"), F.sum((~F.col("x")).cast("int")).alias("b"))
     s = norm.join(kinds, "gene").groupBy("cell", "set_id").agg(F.sum(F.when(F.col("x"), F.col("norm")).otherwise(0.0)).alias("sa"), F.sum(F.when(F.col("x"), 0.0).otherwise(F.col("norm"))).alias("sb"))
-    return s.join(F.broadcast(size), "set_id").select("cell", "set_id", (F.col("sa") / F.greatest("a", F.lit(1)) - F.col("sb") / F.greatest("b", F.lit(1))).alias("score"))
+    return s.join(size, "set_id").select("cell", "set_id", (F.col("sa") / F.greatest("a", F.lit(1)) - F.col("sb") / F.greatest("b", F.lit(1))).alias("score"))
 
 
 def signature_scores(norm: DataFrame, signatures: DataFrame, n_genes: int) -> DataFrame:

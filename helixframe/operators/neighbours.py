@@ -290,7 +290,7 @@ def silhouette(points: DataFrame, batches: DataFrame, metric: str = "euclidean",
 
     s = left.groupBy("a", "b").cogroup(right.groupBy("ra", "rb")).applyInPandas(lambda p, q: sums(p, q) if len(p) and len(q) else pd.DataFrame(columns=["id", "own", "other", "s"]), f"id {ik}, own {bk}, other {bk}, s double")
     size = batches.groupBy(F.col("batch").alias("other")).agg(F.count("*").alias("n"))
-    s = s.groupBy("id", "own", "other").agg(F.sum("s").alias("s")).join(F.broadcast(size), "other")
+    s = s.groupBy("id", "own", "other").agg(F.sum("s").alias("s")).join(size, "other")
     same = F.col("own") == F.col("other")
     m = s.groupBy("id").agg(F.max(F.when(same, F.try_divide(F.col("s"), F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
     return m.select("id", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))

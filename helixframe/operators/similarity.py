@@ -94,7 +94,7 @@ def gower(m: DataFrame, categorical: DataFrame) -> DataFrame:
     """Between rows: mismatch for categorical columns (col, is_cat), |difference| / range for others, averaged."""
     ranges = m.groupBy("col").agg((F.max("value") - F.min("value")).alias("range"))
     about = ranges.join(categorical, "col").withColumn("range", F.when(F.col("range") < 1e-15, 1.0).otherwise(F.col("range")))
-    x = m.join(F.broadcast(about), "col")
+    x = m.join(about, "col")
     left = x.select("col", "is_cat", "range", F.col("row").alias("row_a"), F.col("value").alias("a"))
     right = x.select("col", F.col("row").alias("row_b"), F.col("value").alias("b"))
     term = F.when(F.col("is_cat"), (F.col("a") != F.col("b")).cast("double")).otherwise(F.abs(F.col("a") - F.col("b")) / F.col("range"))

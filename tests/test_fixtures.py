@@ -314,7 +314,18 @@ def test_stream_summary(spark, tmp_path):
     assert spark.table("summary_table").count() == 20
 
 
-def test_entry_without_training_data_package(tmp_path):
+def test_stream_summary_table(spark, tmp_path):
+    """Two arrivals: keys of both keep the later state, and a batch that runs again changes nothing."""
+    first, second = [(1, 1, 5), (1, 2, 6), (2, 1, 1)], [(1, 3, 4), (3, 1, 2)]
+    for rows in (first, second):
+        spark.createDataFrame(rows, "cell long, gene long, raw int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.start_summary_table(ingest.counts_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted(map(tuple, ingest.latest_summary(spark, str(tmp_path / "out")).collect()))
+    assert got == [(1, 3, 15), (2, 1, 1), (3, 1, 2)]
+
+
+@pytest.mark.parametrize("left", ["nothing", "folder"])
+def test_entry_without_training_data_package(tmp_path, left):
     import os
     import shutil
     import subprocess
@@ -323,5 +334,50 @@ def test_entry_without_training_data_package(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     to = tmp_path / "copy"
     shutil.copytree(root, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    if left == "folder":
+        (to / "helixframe" / "llm" / "__pycache__").mkdir(parents=True)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries())[:3], len(e.oracle_sql()))"], cwd=to, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(to)})
     assert out.returncode == 0, out.stderr
+
+
+def test_fdr_over_ranges_is_the_global_one(spark):
+    from helixframe.functions.columns import with_fdr
+    from helixframe.operators.stats import fdr_over_ranges
+
+    rng = np.random.default_rng(3)
+    made = [(i, float(round(p, 2))) for i, p in enumerate(rng.random(500) ** 2)] + [(1000, None), (1001, 0.0), (1002, 1.0)]
+    df = spark.createDataFrame(made, "i int, p double").repartition(5)
+    want = {r.i: r.fdr for r in with_fdr(df.where("p is not null"), "p").collect()}
+    got = {r.i: r.fdr for r in fdr_over_ranges(df, "p").collect()}
+    assert got.pop(1000) is None and got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def _plain_loess(x, y, span, degree, most=64):
+    """Local regression point by point."""
+    order = np.argsort(x, kind="stable")
+    xs, ys, n = x[order], y[order], len(x)
+    k = min(n, max(int(np.ceil(span * n)), degree + 1))
+    out, lo = np.zeros(n), 0
+    for i in range(n):
+        while lo + k < n and xs[i] - xs[lo] > xs[lo + k] - xs[i]:
+            lo += 1
+        u, v = xs[lo : lo + k], ys[lo : lo + k]
+        d = np.abs(u - xs[i])
+        reach = d.max()
+        if reach <= 1e-12:
+            out[order[i]] = v.mean()
+            continue
+        if k > most:
+            at = np.arange(most) if k >= n else np.argsort(d, kind="stable")[:most]
+            u, v, d = u[at], v[at], d[at]
+        w = np.clip(1 - (d / reach) ** 3, 0, None) ** 3
+        out[order[i]] = np.polyfit(u - xs[i], v, degree, w=np.sqrt(w))[-1]
+    return out
+
+
+def test_loess_is_the_plain_one():
+    rng = np.random.default_rng(4)
+    for n, span, degree in [(300, 0.3, 2), (120, 0.5, 1), (500, 0.2, 2), (40, 0.9, 2)]:
+        x = np.round(rng.random(n) * 10, 2)
+        y = np.sin(x) + rng.normal(0, 0.1, n)
+        assert np.abs(Loess(span, degree).fit(x, y).fitted - _plain_loess(x, y, span, degree)).max() < 1e-6
