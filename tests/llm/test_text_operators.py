@@ -773,3 +773,49 @@ def test_pii_of_very_many_values(spark):
     assert {r.doc_id: r.n_email for r in pii.digest(pii.spans(d)).collect()} == {1: 20_000, 2: 0}
     assert {r.doc_id: len(r.text) for r in pii.sanitise(d).collect()} == {1: 20_000 * 8 - 1, 2: 12}
     assert time.time() - began < 60
+
+
+def test_quality_scores_match_plain_pairs(spark, docs, labels, rows):
+    """Scores of whole documents against every pairwise product, written out."""
+    model = quality.fit(docs, labels)
+    text = {i: t for i, t in rows}
+    for r in quality.score(docs, labels).where("doc_id < 12 or doc_id between 9001 and 9004").collect():
+        w = (text[r.doc_id] or "").encode()
+        first, ids, x = quality.features(np.frombuffer(w, np.uint8), np.array([0, len(w)]), 18)
+        v, x = model.v[ids].astype(float), x.astype(float)
+        products = (v @ v.T) * np.outer(x, x)
+        raw = model.w0 + (model.w[ids] * x).sum() + sum(products[i, j] for i in range(len(x)) for j in range(i))
+        assert abs(r.score - 1 / (1 + np.exp(-raw))) < 1e-4 and r.predicted == (r.score >= 0.3), r
+
+
+def test_toxicity_scores_match_plain_matching(spark, docs, labels, rows):
+    """Scores against matches found word by word with plain edit distances."""
+    lexicon, weights = toxicity.fit(docs, labels)
+    terms, text = lexicon.automaton.terms, {i: t for i, t in rows}
+    weight = dict(zip(terms, lexicon.weight))
+    marks = set(toxicity.QUOTES)
+    for r in toxicity.score(docs, labels).where("doc_id < 25 or doc_id between 9001 and 9006").collect():
+        t = lower(text[r.doc_id])
+        if len(t) > 4000:
+            continue
+        found = [(m.start(), m.end(), m[0]) for m in ALNUM.finditer(t)]
+        words = [x[2] for x in found]
+        f, seen = np.zeros(7), set()
+        for p, (a, b, w) in enumerate(found):
+            lead = len(w) > 1 and w[0] in marks
+            core = w[lead:]
+            tail = len(core) > 1 and core[-1] in marks
+            core = core[: len(core) - tail]
+            near = [(0, x) for x in terms if x == core] or [(1, x) for x in terms if len(x) >= 5 and abs(len(x) - len(core)) < 2 and edits(core, x) == 1]
+            if not near:
+                continue
+            e, term = min(near)
+            window = words[max(0, p - 6) : p + 7]
+            quoted = ((lead or (a > 0 and t[a - 1] in marks)) and (tail or (b < len(t) and t[b] in marks))) or any(x in toxicity.REPORTING for x in window)
+            f[1 if quoted else 2 if e else 0] += weight[term]
+            f[3] += weight[term] * any(x in toxicity.ADDRESSING for x in window)
+            f[5] = max(f[5], weight[term] * (0.5 if quoted or e else 1))
+            seen.add(term)
+        f[4], f[6] = len(seen), (f[0] + f[2]) / max(len(words), 1) ** 0.5
+        f[:5] = np.log1p(f[:5])
+        assert abs(r.score - 1 / (1 + np.exp(-(f @ weights[:-1] + weights[-1])))) < 1e-9, (r, t[:100])
