@@ -94,10 +94,11 @@ def matrix_market_quality(spark, d):
     return formats.matrix_market_quality(spark, path, 20, 20, 500)
 
 
-@register("SELECT c_custkey AS cell, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 END AS metacell FROM customer")
+@register("SELECT c_custkey AS cell, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 ELSE -1 END AS metacell FROM customer")
 def metacell_assignments(spark, d):
     c = T.cells(spark, d)
-    return C.assignments(c, c.where("cell % 3 = 0").select((F.col("cell") % 50).alias("metacell"), "cell"))
+    out = C.assignments(c, c.where("cell % 3 = 0").select((F.col("cell") % 50).alias("metacell"), "cell"))
+    return out.na.fill(-1, ["metacell"])
 
 
 # ---- matrices ------------------------------------------------------------------------------------------------------
