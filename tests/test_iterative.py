@@ -2,12 +2,13 @@
 
 import pytest
 
+from helixframe import catalog
 from helixframe.plans import iterative
 
 
-@pytest.mark.parametrize("name", sorted(iterative.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, sf, name):
-    df = iterative.QUERIES[name](spark, sf)
+    df = catalog.QUERIES[name](spark, sf)
     rows = df.collect()
     assert rows
     for r in rows:
@@ -18,7 +19,7 @@ def test_runs(spark, sf, name):
 
 
 def test_page_rank_sums_to_one(spark, sf):
-    assert abs(sum(r["rank"] for r in iterative.QUERIES["page_rank"](spark, sf).collect()) - 1) < 1e-9
+    assert abs(sum(r["rank"] for r in iterative.QUERIES["page_rank"](spark, sf).collect()) - 1) < 1e-7
 
 
 def test_approximate_neighbours_are_good(spark, sf):
