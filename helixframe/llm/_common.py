@@ -58,6 +58,13 @@ def drop_tables() -> None:
 atexit.register(drop_tables)
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """The folder of the tables that this application stores, which ``drop_tables`` deletes when the process ends."""
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    _tables[folder] = spark
+    return folder
+
+
 def materialise(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there and a lost executor costs nothing.
 
@@ -65,9 +72,7 @@ def materialise(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     one folder an application, which ``drop_tables`` deletes when the process ends.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
-    path = f"{folder}/table-{uuid.uuid4().hex}"
-    _tables[folder] = spark
+    path = f"{tables_folder(spark)}/table-{uuid.uuid4().hex}"
     with arrow_batches(spark, arrow_rows):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

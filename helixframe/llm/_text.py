@@ -85,10 +85,17 @@ class Words:
         return self.low[self.start[i] : self.end[i]].tobytes()
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
-    """The words of the texts that lie in buf between offsets, ASCII lower-cased."""
+def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool = True) -> Words:
+    """The words of the texts that lie in buf between offsets, ASCII lower-cased unless told otherwise."""
+    w = word_bounds(buf, offsets, kind, lower)
+    w.hash = _digest(w.low, w.start, w.end, 0)
+    return w
+
+
+def word_bounds(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool = True) -> Words:
+    """words() without their hashes."""
     n = len(buf)
-    low = LOWER[buf]
+    low = LOWER[buf] if lower else buf
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = kind[low]
     here, cut = inside[1:-1], offsets[1:-1]
@@ -97,7 +104,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     opens[cut] = here[cut]
     closes[cut - 1] = here[cut - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return Words(low, start, end, _digest(low, start, end, 0), np.searchsorted(start, offsets), offsets)
+    return Words(low, start, end, np.zeros(0, np.uint64), np.searchsorted(start, offsets), offsets)
 
 
 def group(key: np.ndarray, *exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
