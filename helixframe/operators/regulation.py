@@ -1,120 +1,30 @@
 """Regulatory networks: tree-ensemble importances of regulators for every target gene.
 
-Regulators are quantised to bytes and broadcast as one cells x regulators matrix (its size is checked); target genes are
-dealt to tasks, which fit their ensembles independently. Histograms of 256 bins give all thresholds of a feature at once.
+Regulators are quantised to 256 bins and stay a sparse table; target genes are dealt to batches that share their trees, and
+all trees grow level by level (``operators.trees``). Boosting has a tree a gene at a time, all genes side by side: by levels
+too, or, where the bins of all cells fit into a task, gene by gene in tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from helixframe.operators import trees as T
 from helixframe.operators.decomposition import sparse_svd
 from helixframe.operators.graph import farthest_first_kmeans
+from helixframe.plans.checkpoint import cut
 
 LEARNERS = {"extratrees": "extratrees", "rf": "rf", "randomforest": "rf", "boosted": "boosted", "grnboost2": "boosted", "lightgbm": "boosted"}
-#: Bytes of the broadcast regulator matrix.
+#: Boosting looks at all features from that many cells on, at a root of their number below.
+FULL_CELLS = 10_000
+#: Bytes that the bins of all cells and features may take in a task.
 MAX_BYTES = 512 << 20
 
 
-def quantise(x: np.ndarray) -> np.ndarray:
-    lo, hi = x.min(0), x.max(0)
-    return np.round((x - lo) * 255 / np.where(hi > lo, hi - lo, 1)).astype(np.uint8)
-
-
-def _split(q: np.ndarray, y: np.ndarray, features: np.ndarray, leaf: int, rng: np.random.Generator, thresholds: int | None) -> tuple[float, int, int]:
-    """Best (variance reduction, feature, threshold): left when q <= threshold."""
-    n, total, square = len(y), y.sum(), (y * y).sum()
-    parent = square / n - (total / n) ** 2
-    best = (0.0, -1, 0)
-    for f in features:
-        c = np.cumsum(np.bincount(q[:, f], minlength=256))
-        s = np.cumsum(np.bincount(q[:, f], y, 256))
-        ss = np.cumsum(np.bincount(q[:, f], y * y, 256))
-        ok = (c >= leaf) & (n - c >= leaf)
-        if thresholds is not None:
-            lo, hi = int(q[:, f].min()), int(q[:, f].max())
-            if hi <= lo:
-                continue
-            draw = np.zeros(256, bool)
-            draw[rng.integers(lo, hi, thresholds)] = True
-            ok &= draw
-        if not ok.any():
-            continue
-        c, s, ss, at = c[ok], s[ok], ss[ok], np.flatnonzero(ok)
-        left = ss / c - (s / c) ** 2
-        right = (square - ss) / (n - c) - ((total - s) / (n - c)) ** 2
-        gain = parent - (c * np.maximum(left, 0) + (n - c) * np.maximum(right, 0)) / n
-        i = int(gain.argmax())
-        if gain[i] > best[0]:
-            best = (float(gain[i]), int(f), int(at[i]))
-    return best
-
-
-def _grow(q: np.ndarray, y: np.ndarray, rows: np.ndarray, depth: int, cfg: dict, rng: np.random.Generator, importance: np.ndarray, root: int, leaves: list | None) -> None:
-    if len(rows) >= 2 * cfg["leaf"] and depth < cfg["depth"] and y[rows].var() > cfg["min_variance"]:
-        k = cfg["features"] or max(1, int(np.sqrt(q.shape[1])))
-        gain, f, t = _split(q[rows], y[rows], rng.permutation(q.shape[1])[: min(k, q.shape[1])], cfg["leaf"], rng, cfg["thresholds"])
-        if f >= 0:
-            importance[f] += len(rows) / root * gain
-            left = q[rows, f] <= t
-            _grow(q, y, rows[left], depth + 1, cfg, rng, importance, root, leaves)
-            _grow(q, y, rows[~left], depth + 1, cfg, rng, importance, root, leaves)
-            if leaves is not None:
-                leaves.append((None, f, t))
-            return
-    if leaves is not None:
-        leaves.append((rows, float(y[rows].mean()) if len(rows) else 0.0, None))
-
-
-def forest(q: np.ndarray, y: np.ndarray, trees: int, cfg: dict, seed: int) -> np.ndarray:
-    importance = np.zeros(q.shape[1])
-    for t in range(trees):
-        rng = np.random.default_rng([seed, t])
-        n = len(y)
-        m = max(int(n * cfg["subsample"]), min(n, 2 * cfg["leaf"]))
-        rows = rng.choice(n, m, replace=cfg["bootstrap"]) if m < n else np.arange(n)
-        _grow(q, y, rows, 0, cfg, rng, importance, len(rows), None)
-    total = importance.sum()
-    return importance / total if total > 0 else importance
-
-
-def boosting(q: np.ndarray, y: np.ndarray, trees: int, cfg: dict, seed: int, rate: float, window: int) -> np.ndarray:
-    """Stops when the mean out-of-bag gain of the last ``window`` trees is 0 or less."""
-    residual, importance, gains, n = y.astype(float).copy(), np.zeros(q.shape[1]), [], len(y)
-    for t in range(trees):
-        rng = np.random.default_rng([seed, t])
-        order = rng.permutation(n)
-        m = min(n, max(round(n * cfg["subsample"]), 2 * cfg["leaf"]))
-        train, oob = order[:m], order[m:]
-        step, gain = np.zeros(n), np.zeros(q.shape[1])
-
-        def grow(rows: np.ndarray, out: np.ndarray, depth: int, rng=rng, m=m, step=step, gain=gain) -> None:
-            if len(rows) >= 2 * cfg["leaf"] and depth < cfg["depth"]:
-                k = cfg["features"] or max(1, int(np.sqrt(q.shape[1])))
-                g, f, cut = _split(q[rows], residual[rows], rng.permutation(q.shape[1])[: min(k, q.shape[1])], cfg["leaf"], rng, None)
-                if f >= 0:
-                    gain[f] += len(rows) / m * g
-                    a, b = q[rows, f] <= cut, q[out, f] <= cut
-                    grow(rows[a], out[b], depth + 1)
-                    grow(rows[~a], out[~b], depth + 1)
-                    return
-            p = rate * residual[rows].mean() if len(rows) else 0.0
-            step[rows], step[out] = p, p
-
-        grow(train, oob, 0)
-        gains.append(float((2 * step[oob] * residual[oob] - step[oob] ** 2).mean()) if len(oob) else 1.0)
-        residual -= step
-        importance += gain
-        if len(gains) >= window and np.mean(gains[-window:]) <= 0:
-            break
-    total = importance.sum()
-    return importance / total if total > 0 else importance
-
-
 def batches_of_genes(norm: DataFrame, n_cells: int, size: int = 64, strategy: str = "random", components: int = 50, seed: int = 42) -> DataFrame:
     """gene, batch: in a seeded order, or by k-means on gene loadings so that a batch holds similar genes."""
     strategy = strategy.lower()
@@ -133,37 +43,167 @@ def batches_of_genes(norm: DataFrame, n_cells: int, size: int = 64, strategy: st
     return norm.sparkSession.createDataFrame([(names[g], i // size) for i, g in enumerate(order.tolist())], "gene long, batch int")
 
 
-def regulatory_network(norm: DataFrame, cells: DataFrame, regulators: DataFrame, targets: DataFrame, learner: str = "rf", trees: int = 250, depth: int = 10, leaf: int = 50, features: int = 0, subsample: float = 0.632, bootstrap: bool = False, rate: float = 0.01, window: int = 25, thresholds: int = 1, min_variance: float = 1e-10, exclude_self: bool = False, seed: int = 42) -> DataFrame:
-    """gene, tf, importance (sums to 1 per gene). A target that is a regulator itself keeps itself unless exclude_self."""
+def subsampled(cells: DataFrame, most: int | None, seed: int = 42) -> DataFrame:
+    """Those ``most`` cells of the smallest hash."""
+    own = cells.select("cell").distinct()
+    return own if most is None else own.orderBy(F.xxhash64("cell", F.lit(seed)), "cell").limit(most)
+
+
+def forest(bins: DataFrame, y: DataFrame, cells: DataFrame, features: list[int], trees: int = 250, depth: int = 10, leaf: int = 50, looks: int = 0, subsample: float = 0.632, bootstrap: bool = False, thresholds: int | None = None, min_variance: float = 1e-10, seed: int = 42, together: int = 50, banned: DataFrame | None = None) -> DataFrame:
+    """(target, tf, importance), importances of a target summing to 1, of ``trees`` trees for each batch of y, ``together`` at a time."""
+    out, batches = None, cut(y.select("batch").distinct())
+    for at in range(0, trees, together):
+        state = T.planted(cells, batches, range(at, min(at + together, trees)), subsample, bootstrap, seed)
+        gains = T.grow(cut(state), bins, y, features, depth, leaf, looks, min_variance, thresholds, seed, banned).gains
+        if gains is not None:
+            one = cut(gains.groupBy("target", "tf").agg(F.sum("gain").alias("gain")))
+            out = one if out is None else out.unionByName(one)
+    return shares(out, y.sparkSession)
+
+
+def boosting_by_levels(bins: DataFrame, y: DataFrame, cells: DataFrame, features: list[int], trees: int = 1000, depth: int = 3, leaf: int = 50, looks: int = 0, subsample: float = 0.9, rate: float = 0.01, window: int = 25, seed: int = 42, banned: DataFrame | None = None) -> DataFrame:
+    """(target, tf, importance) of boosted trees, a batch of y for each target.
+
+    Every tree is fitted to what the ones before left over, on a share of the cells; a target stops when the mean gain on
+    the other cells of the last ``window`` trees is 0 or less.
+    """
+    spark = y.sparkSession
+    targets = y.select("batch", "target").distinct()
+    left = cells.select("cell").join(F.broadcast(targets)).join(y, ["batch", "target", "cell"], "left").select("batch", "cell", "target", F.coalesce("v", F.lit(0.0)).alias("v"))
+    left, out = cut(left), None
+    recent: dict[int, deque] = defaultdict(lambda: deque(maxlen=window))
+    for tree in range(trees):
+        u = T.uniform(F.lit(seed), "batch", F.lit(tree), "cell")
+        state = left.select("batch", F.lit(tree).alias("tree"), "cell", (u < subsample).cast("int").alias("w"), F.lit(1).cast("long").alias("node"))
+        grown = T.grow(state, bins, left, features, depth, leaf, looks, 0.0, None, seed + tree, banned)
+        if grown.gains is not None:
+            out = grown.gains.select("target", "tf", "gain") if out is None else out.unionByName(grown.gains.select("target", "tf", "gain"))
+        leaves = grown.sums.join(grown.sizes, T.NODE).select("batch", "node", "target", (rate * F.col("s") / F.col("n")).alias("p"))
+        step = grown.state.join(left, ["batch", "cell"]).join(leaves, ["batch", "node", "target"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+        step = cut(step.select("batch", "cell", "target", "w", (F.col("v") - F.col("p")).alias("v"), (2 * F.col("p") * F.col("v") - F.col("p") * F.col("p")).alias("gain")))
+        done = []
+        for r in step.groupBy("batch").agg(F.avg(F.when(F.col("w") == 0, F.col("gain"))).alias("gain")).collect():  # a row a target
+            recent[r.batch].append(1.0 if r.gain is None else r.gain)
+            if len(recent[r.batch]) == window and sum(recent[r.batch]) <= 0:
+                done.append(r.batch)
+        left = step.select("batch", "cell", "target", "v")
+        if done:
+            left = cut(left.join(F.broadcast(spark.createDataFrame([(b,) for b in done], "batch int")), "batch", "left_anti"))
+            if left.isEmpty():
+                break
+        if out is not None and tree % 10 == 9:
+            out = cut(out.groupBy("target", "tf").agg(F.sum("gain").alias("gain")))
+    return shares(out, spark)
+
+
+def _split(q: np.ndarray, y: np.ndarray, features: np.ndarray, leaf: int) -> tuple[float, int, int]:
+    """Best (n * reduction, feature, bin) of rows: right from that bin on."""
+    n, total = len(y), y.sum()
+    best = (1e-9, -1, 0)
+    for f in features:
+        m = np.cumsum(np.bincount(q[:, f], minlength=256)[::-1])[::-1][1:]
+        r = np.cumsum(np.bincount(q[:, f], y, 256)[::-1])[::-1][1:]
+        at = np.flatnonzero((m >= leaf) & (n - m >= leaf))
+        if len(at):
+            gain = r[at] ** 2 / m[at] + (total - r[at]) ** 2 / (n - m[at]) - total * total / n
+            i = int(gain.argmax())
+            if gain[i] > best[0]:
+                best = (float(gain[i]), int(f), int(at[i]) + 1)
+    return best
+
+
+def boosting(q: np.ndarray, y: np.ndarray, trees: int, depth: int = 3, leaf: int = 50, looks: int = 0, subsample: float = 0.9, rate: float = 0.01, window: int = 25, seed: int = 42) -> np.ndarray:
+    """The importances of boosting one target on dense bins (cells x features); as boosting_by_levels, with other draws."""
+    left, total, gains, n = y.astype(float).copy(), np.zeros(q.shape[1]), deque(maxlen=window), len(y)
+    k = looks or max(1, int(np.sqrt(q.shape[1])))
+    for t in range(trees):
+        rng = np.random.default_rng([seed, t])
+        trained = rng.random(n) < subsample
+        step, root = np.zeros(n), max(1, int(trained.sum()))
+        nodes = [(np.arange(n), 0)]
+        while nodes:
+            rows, level = nodes.pop()
+            own = rows[trained[rows]]
+            if len(own) >= 2 * leaf and level < depth:
+                gain, f, b = _split(q[own], left[own], rng.permutation(q.shape[1])[:k], leaf)
+                if f >= 0:
+                    total[f] += gain / root
+                    right = q[rows, f] >= b
+                    nodes += [(rows[~right], level + 1), (rows[right], level + 1)]
+                    continue
+            step[rows] = rate * left[own].mean() if len(own) else 0.0
+        out = ~trained
+        gains.append(float((2 * step[out] * left[out] - step[out] ** 2).mean()) if out.any() else 1.0)
+        left -= step
+        if len(gains) == window and sum(gains) <= 0:
+            break
+    return total / total.sum() if total.sum() > 0 else total
+
+
+def boosting_in_tasks(bins: DataFrame, y: DataFrame, cells: DataFrame, features: list[int], block: int = 64, exclude_self: bool = False, **how) -> DataFrame:
+    """boosting of each target of y(batch, cell, target, v) on its own: bins are sent once to each block of targets."""
+    if cells.count() * len(features) > MAX_BYTES:
+        raise ValueError("the bins do not fit into a task: grow by levels, or take fewer cells")
+    blocks = y.select("target").distinct().withColumn("block", F.expr(f"pmod(xxhash64(target), greatest(1, int(ceil(count(*) over () / {float(block)}))))"))
+    sent = bins.join(F.broadcast(blocks.select("block").distinct()))
+    every = cells.select(F.col("cell"), F.lit(-1).cast("long").alias("tf"), F.lit(0).alias("bin")).join(F.broadcast(blocks.select("block").distinct()))
+    own = y.join(blocks, "target").select(F.col("block").alias("to"), F.col("cell").alias("at"), "target", "v")  # own names: both sides come from y
+    column = {f: i for i, f in enumerate(features)}
+
+    def fit(bins: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        names = np.sort(bins.loc[bins["tf"] == -1, "cell"].to_numpy())
+        bins = bins[bins["tf"] != -1]
+        q = np.zeros((len(names), len(features)), np.uint8)
+        q[np.searchsorted(names, bins["cell"]), bins["tf"].map(column)] = bins["bin"]
+        out = []
+        for target, rows in values.groupby("target"):
+            left = np.zeros(len(names))
+            left[np.searchsorted(names, rows["at"])] = rows["v"]
+            use = np.array([i for f, i in column.items() if not (exclude_self and f == target)], int)
+            found = boosting(q[:, use], left, seed=abs(int(target)), **how) if len(use) else np.zeros(0)
+            out.append(pd.DataFrame({"target": target, "tf": np.array(features)[use], "importance": found}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["target", "tf", "importance"])
+
+    both = sent.select("block", "cell", "tf", "bin").unionByName(every.select("block", "cell", "tf", "bin"))
+    return both.groupBy("block").cogroup(own.groupBy("to")).applyInPandas(fit, "target long, tf long, importance double")
+
+
+def shares(gains: DataFrame | None, spark) -> DataFrame:
+    """Gains (target, tf, gain) as shares of each target's."""
+    if gains is None:
+        return spark.createDataFrame([], "target long, tf long, importance double")
+    total = gains.groupBy("target").agg(F.sum("gain").alias("all"))
+    own = gains.groupBy("target", "tf").agg(F.sum("gain").alias("gain"))
+    return own.join(total, "target").where("all > 0").select("target", "tf", (F.col("gain") / F.col("all")).alias("importance"))
+
+
+def regulatory_network(norm: DataFrame, cells: DataFrame, regulators: DataFrame, targets: DataFrame, learner: str = "rf", trees: int = 250, depth: int = 10, leaf: int = 50, features: int = 0, subsample: float = 0.632, bootstrap: bool = False, rate: float = 0.01, window: int = 25, thresholds: int = 1, min_variance: float = 1e-10, exclude_self: bool = False, seed: int = 42, batch: int = 64, strategy: str = "random", most_cells: int | None = None, by_levels: bool = True) -> DataFrame:
+    """gene, tf, importance (sums to 1 per gene, 0 where nothing was gained).
+
+    Targets share trees in batches of ``batch``; with boosting or exclude_self each is a batch of its own. A target that is a
+    regulator itself keeps itself unless exclude_self. by_levels: whether boosting grows over tables or gene by gene in tasks.
+    """
     learner = LEARNERS.get(learner.lower())
     if learner is None:
         raise ValueError("unknown learner")
-    ids = [r.cell for r in cells.select("cell").distinct().orderBy("cell").collect()]
     tfs = [r.gene for r in regulators.select("gene").distinct().orderBy("gene").collect()]
-    if len(ids) * len(tfs) > MAX_BYTES:
-        raise ValueError("the regulator matrix is too large: sample cells first")
-    row, col = {c: i for i, c in enumerate(ids)}, {g: i for i, g in enumerate(tfs)}
-    x = np.zeros((len(ids), len(tfs)), np.float32)
-    for r in norm.join(F.broadcast(regulators.select("gene").distinct()), "gene").select("cell", "gene", "norm").toLocalIterator():
-        if r.cell in row:
-            x[row[r.cell], col[r.gene]] = r.norm
-    spark = norm.sparkSession
-    shared = spark.sparkContext.broadcast((row, quantise(x) if len(tfs) and len(ids) else x.astype(np.uint8), tfs))
-    cfg = {"depth": depth, "leaf": leaf, "features": features, "subsample": subsample, "bootstrap": bootstrap, "min_variance": min_variance, "thresholds": thresholds if learner == "extratrees" else None}
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row, q, tfs = shared.value
-        for pdf in batches:
-            for gene, cell, value in zip(pdf["gene"], pdf["cells"], pdf["values"], strict=True):
-                y = np.zeros(len(row))
-                for c, v in zip(cell, value, strict=True):
-                    if c in row:
-                        y[row[c]] = v
-                use = np.array([i for i, t in enumerate(tfs) if not (exclude_self and t == gene)], int)
-                imp = np.zeros(len(tfs))
-                if len(use):
-                    imp[use] = boosting(q[:, use], y, trees, cfg, seed + int(gene), rate, window) if learner == "boosted" else forest(q[:, use], y, trees, cfg, seed + int(gene))
-                yield pd.DataFrame({"gene": gene, "tf": tfs, "importance": imp})
-
-    wanted = norm.join(targets.select("gene").distinct(), "gene").groupBy("gene").agg(F.collect_list("cell").alias("cells"), F.collect_list("norm").alias("values"))
-    return wanted.mapInPandas(fit, "gene long, tf long, importance double")
+    own = cut(subsampled(cells, most_cells, seed))
+    n = own.count()
+    wanted = cut(norm.join(targets.select("gene").distinct(), "gene", "left_semi").join(own, "cell", "left_semi"))
+    alone = exclude_self or learner == "boosted"
+    dealt = cut(batches_of_genes(wanted, n, 1 if alone else batch, "random" if alone else strategy, seed=seed))
+    genes = dealt.select("gene").withColumn("tf", F.explode(F.lit(tfs) if tfs else F.array().cast("array<long>")))
+    if not tfs:
+        return genes.withColumn("importance", F.lit(0.0))
+    y = cut(wanted.join(dealt, "gene").select("batch", "cell", F.col("gene").alias("target"), F.col("norm").cast("double").alias("v")))
+    bins = cut(T.quantised(norm, regulators, own))
+    banned = dealt.select("batch", F.col("gene").alias("tf")) if exclude_self else None
+    looks = features or (len(tfs) if n >= FULL_CELLS else 0)
+    if learner == "boosted" and not by_levels:
+        found = boosting_in_tasks(bins, y, own, tfs, exclude_self=exclude_self, trees=trees, depth=depth, leaf=leaf, looks=looks, subsample=subsample, rate=rate, window=window)
+    elif learner == "boosted":
+        found = boosting_by_levels(bins, y, own, tfs, trees, depth, leaf, looks, subsample, rate, window, seed, banned)
+    else:
+        found = forest(bins, y, own, tfs, trees, depth, leaf, features, subsample, bootstrap, thresholds if learner == "extratrees" else None, min_variance, seed, banned=banned)
+    found = found.withColumnRenamed("target", "gene")
+    return genes.join(found, ["gene", "tf"], "left").select("gene", "tf", F.coalesce("importance", F.lit(0.0)).alias("importance"))

@@ -23,6 +23,7 @@ from helixframe.operators import ontology as O
 from helixframe.operators import regulation as R
 from helixframe.operators import similarity as S
 from helixframe.operators import stats as Z
+from helixframe.operators import trees as L
 from helixframe.plans.checkpoint import cut
 from helixframe.sources import formats, store
 
@@ -406,7 +407,22 @@ def regulatory_network_boosted(spark, d):
     norm = _norm(spark, d)
     regulators = T.load(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("gene"))
     targets = C.expressed_genes(T.counts(spark, d), T.cells(spark, d).count(), 50, 0.03)
-    return R.regulatory_network(norm, T.cells(spark, d), regulators, targets, "grnboost2", 20, 3, 10, subsample=0.9, rate=0.1)
+    return R.regulatory_network(norm, T.cells(spark, d), regulators, targets, "grnboost2", 20, 3, 10, subsample=0.9, rate=0.1, by_levels=False)
+
+
+@register
+def tree_root_splits(spark, d):
+    """One level of trees over all cells, the genes of a brand sharing one: the best split of all regulators and bins."""
+    norm, own = _norm(spark, d), T.cells(spark, d).select("cell").distinct()
+    regulators = T.load(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("gene"))
+    bins = cut(L.quantised(norm, regulators, own))
+    brand = T.gene_sets(spark, d).select("gene", F.regexp_extract("set_id", "[0-9]+", 0).cast("int").alias("batch"))
+    y = cut(norm.join(brand, "gene").select("batch", "cell", F.col("gene").alias("target"), F.col("norm").cast("double").alias("v")))
+    state = cut(L.planted(own, y.select("batch"), [0], 1.0, False, 0))
+    sizes = state.groupBy(*L.NODE).agg(F.sum("w").cast("long").alias("n"))
+    sums = y.groupBy("batch", F.lit(0).alias("tree"), F.lit(1).cast("long").alias("node"), "target").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
+    best = L.best_splits(cut(L.histogram(state, bins, y)), sizes, sums, 2)
+    return best.select("batch", "tf", "bin", F.round("gain", 6).alias("gain"), "n", "n_right")
 
 
 @register

@@ -222,3 +222,24 @@ put(
     ("lim", "SELECT top, s / n + 2 * sqrt(greatest(q / n - (s / n) * (s / n), 0)) AS lim FROM (SELECT top, CAST(sum(c) AS DOUBLE) AS s, CAST(sum(c * c) AS DOUBLE) AS q, (SELECT count(DISTINCT motif) FROM mr) AS n FROM curve GROUP BY 1) z"),
     ("best", "SELECT motif, auc, nes, top FROM (SELECT motif, auc, nes, top, row_number() OVER (PARTITION BY motif ORDER BY c - lim DESC, top) AS r FROM strong JOIN curve USING (motif) JOIN lim USING (top)) z WHERE r = 1"),
 )
+
+
+# ---- trees ---------------------------------------------------------------------------------------------------------
+
+put(
+    "tree_root_splits",
+    """SELECT CAST(batch AS INTEGER) AS batch, tf, CAST(bin AS INTEGER) AS bin, round(gain, 6) AS gain, n, n_right FROM (
+    SELECT *, row_number() OVER (PARTITION BY batch ORDER BY round(gain, 9) DESC, tf, bin) AS i_ FROM tried) z WHERE i_ = 1 AND gain > 1e-9""",
+    ("norm",),
+    ("everyone", "SELECT count(*) AS n FROM customer"),
+    ("ends", "SELECT gene, least(min(norm), CASE WHEN count(*) < any_value(n) THEN 0 ELSE min(norm) END) AS lo, max(norm) AS hi FROM norm JOIN part ON gene = p_partkey, everyone WHERE p_size = 1 GROUP BY 1"),
+    ("q", "SELECT cell, gene AS tf, round((norm - lo) * 255 / (hi - lo)) AS bin FROM norm JOIN ends USING (gene) WHERE hi > lo AND round((norm - lo) * 255 / (hi - lo)) > 0"),
+    ("cuts", "SELECT x.tf, x.bin, count(*) AS n_right FROM (SELECT DISTINCT tf, bin FROM q) x JOIN q y ON x.tf = y.tf AND y.bin >= x.bin GROUP BY 1, 2"),
+    ("goal", "SELECT CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) AS batch, gene, sum(norm) AS s FROM norm JOIN part ON gene = p_partkey GROUP BY 1, 2"),
+    ("went", "SELECT x.tf, x.bin, gene, sum(norm) AS r FROM (SELECT DISTINCT tf, bin FROM q) x JOIN q y ON x.tf = y.tf AND y.bin >= x.bin JOIN norm ON norm.cell = y.cell GROUP BY 1, 2, 3"),
+    (
+        "tried",
+        "SELECT batch, tf, bin, n, n_right, sum(coalesce(r, 0) ** 2 / n_right + (s - coalesce(r, 0)) ** 2 / (n - n_right) - s ** 2 / n) AS gain "
+        "FROM goal CROSS JOIN cuts CROSS JOIN everyone LEFT JOIN went USING (tf, bin, gene) WHERE n_right >= 2 AND n - n_right >= 2 GROUP BY 1, 2, 3, 4, 5",
+    ),
+)

@@ -242,9 +242,7 @@ def test_boosting_finds_the_regulator():
     rng = np.random.default_rng(5)
     q = rng.integers(0, 256, (200, 3)).astype(np.uint8)
     y = 2.0 * q[:, 0] + rng.normal(size=200)
-    cfg = {"depth": 3, "leaf": 10, "features": 3, "subsample": 0.9, "bootstrap": False, "min_variance": 0, "thresholds": None}
-    assert R.boosting(q, y, 50, cfg, 1, 0.1, 10).argmax() == 0
-    assert R.forest(q, y, 10, cfg, 1)[0] > 0.8
+    assert R.boosting(q, y, 50, 3, 10, 3, 0.9, 0.1, 10, 1)[0] > 0.8
 
 
 def test_otsu_and_gap(spark):
