@@ -1,7 +1,7 @@
 """Graphs as edge tables (src, dst, w); an undirected graph stores both directions.
 
-Iterations are joins of the edges with a node table, cut by a checkpoint each few rounds. Order-dependent methods
-(local moving, matching, agglomeration) run in numpy on the driver behind a size gate.
+Iterations are joins of the edges with a node table, stored each few rounds. Agglomeration runs in numpy on the driver behind
+a size gate; ``local_moving`` is the sequential form that ``communities.louvain`` is measured against.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from helixframe.operators.communities import coarsen, hierarchy, louvain, prolong  # noqa: F401 - part of this module's face
+from helixframe.operators.krylov import kmeans, lanczos, mapped, product
 from helixframe.plans.checkpoint import cut
 
 #: Edges that an order-dependent method may hold on the driver.
@@ -279,12 +281,6 @@ def local_moving(near: list[dict[int, float]], resolution: float = 1.0, rounds:
     return _relabel(label)
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, seed: int = 42) -> DataFrame:
-    """id, community of an undirected graph."""
-    ids, near = adjacency(edges)
-    return _labelled(edges, ids, local_moving(near, resolution, rounds, seed))
-
-
 LINKAGE = ("average", "complete")
 
 
@@ -343,50 +339,6 @@ def walk_distributions(edges: DataFrame, steps: int) -> DataFrame:
     return out
 
 
-def heavy_edge_matching(near: list[dict[int, float]]) -> list[int]:
-    """Partner of each node, itself if none: greedy in node order by the heaviest free neighbour."""
-    mate = [-1] * len(near)
-    for v, x in enumerate(near):
-        if mate[v] < 0:
-            free = [(w, -u) for u, w in x.items() if u != v and mate[u] < 0]
-            mate[v] = -max(free)[1] if free else v
-            mate[mate[v]] = v
-    return mate
-
-
-def coarsen(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One level: contracted edges and the map (id, coarse)."""
-    ids, near = adjacency(edges)
-    mate = heavy_edge_matching(near)
-    names = {v: min(v, m) for v, m in enumerate(mate)}
-    dense = {c: i for i, c in enumerate(sorted(set(names.values())))}
-    kind = edges.schema["src"].dataType.simpleString()
-    to = edges.sparkSession.createDataFrame([(ids[v], dense[c]) for v, c in names.items()], f"id {kind}, coarse long")
-    a, b = to.select(F.col("id").alias("src"), F.col("coarse").alias("ca")), to.select(F.col("id").alias("dst"), F.col("coarse").alias("cb"))
-    small = edges.join(a, "src").join(b, "dst").where("ca != cb").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w"))
-    return small, to
-
-
-def hierarchy(edges: DataFrame, ratio: float = 0.9, levels: int = 10, least: int = 100) -> list[tuple[DataFrame, DataFrame]]:
-    """Coarser and coarser graphs with their maps, until a level shrinks too little or the graph is small."""
-    out, n = [], nodes_of(edges).count()
-    for _ in range(levels):
-        if n < least:
-            break
-        small, to = coarsen(edges)
-        m = to.select("coarse").distinct().count()
-        if m / n > ratio:
-            break
-        out.append((small, to))
-        edges, n = small, m
-    return out
-
-
-def prolong(to: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (id, community) of a coarse graph on the nodes below it."""
-    return to.join(labels.select(F.col("id").alias("coarse"), "community"), "coarse").select("id", "community")
-
-
 def farthest_first_kmeans(x: np.ndarray, k: int, rounds: int = 100, seed: int = 42) -> np.ndarray:
     """Lloyd's rounds from a random first centre and the farthest points after it."""
     rng = np.random.default_rng(seed)
@@ -405,19 +357,16 @@ def farthest_first_kmeans(x: np.ndarray, k: int, rounds: int = 100, seed: int =
     return label
 
 
-def spectral(sim: DataFrame, k_neighbours: int, clusters: int, rounds: int = 100, seed: int = 42, most: int = 5000) -> DataFrame:
-    """id, community from the smallest eigenvectors of the normalised Laplacian of the neighbour graph; driver-sized."""
-    adj = knn_adjacency(sim, k_neighbours).select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("value").alias("w"))
-    lap = laplacian(adj, True)
-    if nodes_of(adj).limit(most + 1).count() > most:
-        raise ValueError(f"this method takes at most {most} nodes")
-    rows = lap.collect()
-    ids = sorted({r.row for r in rows})
-    at = {v: i for i, v in enumerate(ids)}
-    dense = np.zeros((len(ids), len(ids)))
-    for r in rows:
-        dense[at[r.row], at[r.col]] = r.value
-    _, vec = np.linalg.eigh((dense + dense.T) / 2)
-    x = vec[:, :clusters]
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
-    return _labelled(adj, ids, _relabel(farthest_first_kmeans(x, clusters, rounds, seed).tolist()))
+def spectral(sim: DataFrame, k_neighbours: int, clusters: int, rounds: int = 100, seed: int = 42, steps: int = 8) -> DataFrame:
+    """id, community from the smallest eigenvectors of the normalised Laplacian of the neighbour graph, row by row made unit.
+
+    They are the largest of I + D^-1/2 A D^-1/2, found by block Lanczos on the edges; k-means runs over tables too.
+    """
+    adj = cut(knn_adjacency(sim, k_neighbours).select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("value").alias("w")))
+    nodes = cut(nodes_of(adj))
+    one = F.lit(1.0).alias("value")
+    # the Laplacian with its sign turned and 2 on the diagonal
+    shifted = cut(laplacian(adj, True).select("row", "col", (-F.col("value")).alias("value")).union(nodes.select("id", F.col("id"), one * 2)).groupBy("row", "col").agg(F.sum("value").alias("value")))
+    _, vectors = lanczos(lambda v, width: product(shifted, v, width), nodes, clusters, steps=steps, seed=seed)
+    rows = mapped(vectors, lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10))
+    return kmeans(rows, clusters, rounds, seed)

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from helixframe import tables as T
 from helixframe.functions.special import z_pvalue_col
 from helixframe.operators import cells as C
+from helixframe.operators import communities as Q
 from helixframe.operators import decomposition as D
 from helixframe.operators import doublets as B
 from helixframe.operators import enrichment as E
 from helixframe.operators import fusion as U
 from helixframe.operators import graph as G
 from helixframe.operators import hotspot as H
+from helixframe.operators import krylov as Y
 from helixframe.operators import matrix as M
 from helixframe.operators import metacells as A
 from helixframe.operators import neighbours as N
@@ -108,7 +110,7 @@ def singular_values(spark, d):
 
 @register
 def sparse_singular_values(spark, d):
-    s, _, _ = D.sparse_svd(_norm(spark, d), T.cells(spark, d).count(), 10)
+    s, _, _ = Y.sparse_randomised_svd(_norm(spark, d), T.cells(spark, d).count(), 10)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "component int, value double")
 
 
@@ -188,6 +190,11 @@ def coarse_graph(spark, d):
     return G.coarsen(G.knn_graph(_nn(spark, d)))[0]
 
 
+@register
+def edge_matching(spark, d):
+    return Q.matching(_und(spark, d))
+
+
 @register
 def sign_groups(spark, d):
     return G.sign_groups(S.correlation(T.matrix(spark, d)))

@@ -243,3 +243,52 @@ put(
         "FROM goal CROSS JOIN cuts CROSS JOIN everyone LEFT JOIN went USING (tf, bin, gene) WHERE n_right >= 2 AND n - n_right >= 2 GROUP BY 1, 2, 3, 4, 5",
     ),
 )
+
+
+# ---- matching and communities --------------------------------------------------------------------------------------
+
+#: Rounds written out; the queries end earlier, and further rounds change nothing.
+MATCHED, MOVED = 16, 30
+_PRIME = "1000003"
+_GRAPH = ("graph", "SELECT lo AS src, hi AS dst, w FROM (SELECT least(id, nbr) AS lo, greatest(id, nbr) AS hi, CAST(count(*) AS DOUBLE) AS w FROM nn GROUP BY 1, 2) z UNION ALL SELECT hi, lo, CAST(count(*) AS DOUBLE) FROM (SELECT least(id, nbr) AS lo, greatest(id, nbr) AS hi FROM nn) z GROUP BY 1, 2")
+
+
+def matched(graph: str) -> list[tuple[str, str]]:
+    """Rounds of mutual heaviest edges: mutual0.., and mates (id, mate)."""
+    mixed = f"((least(src, dst) % {_PRIME}) * 7919 + (greatest(src, dst) % {_PRIME}) * 104729) % {_PRIME}"
+    steps = [("free0", f"SELECT src, dst, sum(w) AS w FROM {graph} WHERE src <> dst GROUP BY 1, 2")]
+    for i in range(MATCHED):
+        steps.append((f"pick{i}", f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, {mixed}, least(src, dst), dst) AS r FROM free{i}) z WHERE r = 1"))
+        steps.append((f"mutual{i}", f"SELECT a.src AS id, a.dst AS mate FROM pick{i} a JOIN pick{i} b ON a.src = b.dst AND a.dst = b.src"))
+        steps.append((f"free{i + 1}", f"SELECT * FROM free{i} WHERE src NOT IN (SELECT id FROM mutual{i}) AND dst NOT IN (SELECT id FROM mutual{i})"))
+    every = " UNION ALL ".join(f"SELECT * FROM mutual{i}" for i in range(MATCHED))
+    return [*steps, ("mates", f"SELECT id, coalesce(mate, id) AS mate FROM (SELECT DISTINCT src AS id FROM {graph}) n LEFT JOIN ({every}) m USING (id)")]
+
+
+put("edge_matching", "SELECT * FROM mates", ("und",), *matched("und"))
+put(
+    "coarse_graph",
+    "SELECT least(a.id, a.mate) AS src, least(b.id, b.mate) AS dst, sum(w) AS w FROM graph JOIN mates a ON a.id = src JOIN mates b ON b.id = dst WHERE least(a.id, a.mate) <> least(b.id, b.mate) GROUP BY 1, 2",
+    ("nn",),
+    _GRAPH,
+    *matched("graph"),
+)
+
+
+def moved(graph: str) -> list[tuple[str, str]]:
+    """Rounds of synchronous modularity moves: l0.. hold (id, community)."""
+    steps = [("k", f"SELECT src AS id, sum(w) AS k FROM {graph} GROUP BY 1"), ("l0", "SELECT id, id AS community FROM k")]
+    for i in range(MOVED):
+        gain = "round(into_ - k * (size - CASE WHEN x.community = l.community THEN k ELSE 0 END) / (SELECT sum(k) FROM k), 9)"
+        tried = (
+            f"SELECT x.id, l.community AS own, x.community AS want, {gain} AS gain FROM (SELECT src AS id, community, sum(w) AS into_ FROM {graph} JOIN l{i} q ON q.id = dst WHERE src <> dst GROUP BY 1, 2) x "
+            f"JOIN l{i} l ON l.id = x.id JOIN k ON k.id = x.id JOIN (SELECT community, sum(k) AS size FROM l{i} JOIN k USING (id) GROUP BY 1) s ON s.community = x.community"
+        )
+        mixed = lambda x, i=i: f"((({x} % {_PRIME}) + 1) * {7919 + 2 * i + 1}) % {_PRIME}"
+        steps.append((f"wish{i}", f"SELECT id, own, want FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gain DESC, want) AS r FROM ({tried}) t WHERE gain > 0) z WHERE r = 1 AND want <> own"))
+        steps.append((f"later{i}", f"SELECT DISTINCT src AS id FROM {graph} JOIN wish{i} a ON a.id = src JOIN wish{i} b ON b.id = dst WHERE src <> dst AND (b.own = a.want OR b.want = a.own) AND ({mixed('dst')} < {mixed('src')} OR ({mixed('dst')} = {mixed('src')} AND dst < src))"))
+        steps.append((f"l{i + 1}", f"SELECT l.id, coalesce(w.want, l.community) AS community FROM l{i} l LEFT JOIN (SELECT id, want FROM wish{i} WHERE id NOT IN (SELECT id FROM later{i})) w USING (id)"))
+    return steps
+
+
+put("louvain", f"SELECT id, min(id) OVER (PARTITION BY community) AS community FROM l{MOVED}", ("nn",), _GRAPH, *moved("graph"))
