@@ -28,13 +28,14 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0))
 
 
-def knn(query: DataFrame, k: int, metric: str = "cosine", reference: DataFrame | None = None, block: int = 4096, method: str = "exhaustive", seed: int = 42) -> DataFrame:
+def knn(query: DataFrame, k: int, metric: str = "cosine", reference: DataFrame | None = None, block: int = 4096, method: str = "exhaustive", seed: int = 42, aim: float = 0.97) -> DataFrame:
     """id, rank (from 1), nbr, dist: the k nearest of the reference (of the table itself without it, self left out by id).
 
     Exhaustive: both tables are dealt to blocks, each pair of blocks is one matrix product that keeps k per query, and
     the best k of those are merged. The others are approximate and look at parts of the reference: lsh at buckets of random
-    hyperplanes, annoy at the leaves of a forest of median splits, ivf at the cells of the nearest centroids; nndescent
-    improves neighbour lists by their neighbours' neighbours (within one table only).
+    hyperplanes, annoy at the leaves of a forest of median splits, ivf at the cells of the nearest centroids, as many of
+    each as bring a share ``aim`` of true neighbours within a sample; nndescent improves neighbour lists by their neighbours'
+    neighbours (within one table only).
     """
     metric, method = metric.lower(), method.lower()
     if metric not in METRICS or method not in METHODS:
@@ -53,7 +54,7 @@ def knn(query: DataFrame, k: int, metric: str = "cosine", reference: DataFrame |
     else:
         if metric == "cosine":
             q, r = (x.withColumn("vec", unit(F.col("vec"))) for x in (q, r))
-        q, r = {"lsh": _buckets, "annoy": _leaves, "ivf": _cells}[method](q, r, seed)
+        q, r = _buckets(q, r, seed) if method == "lsh" else {"annoy": _leaves, "ivf": _cells}[method](q, r, seed, aim=aim)
     kind = query.schema["id"].dataType.simpleString()
     # the two sides may share their lineage: own names keep them apart
     r = r.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.col("qb").alias("rqb"), F.col("rb").alias("rrb"))
@@ -112,7 +113,7 @@ def _sample(r: DataFrame, seed: int) -> np.ndarray:
 
 
 def _keyed(df: DataFrame, keys) -> DataFrame:
-    """id, vec, qb, rb: a row for each (qb, rb) that keys gives to a vector; keys: vectors to lists of pairs."""
+    """id, vec, qb, rb: a row for each key, rb, that keys gives to a vector, qb its place; keys: vectors to arrays of numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,25 +121,45 @@ def _keyed(df: DataFrame, keys) -> DataFrame:
                 yield pdf.assign(keys=keys(np.array(pdf["vec"].tolist(), float)))
 
     kind = df.schema["id"].dataType.simpleString()
-    out = df.mapInPandas(run, f"id {kind}, vec array<double>, keys array<struct<qb:long,rb:long>>")
-    return out.select("id", "vec", F.explode("keys").alias("x")).select("id", "vec", "x.*")
+    out = df.mapInPandas(run, f"id {kind}, vec array<double>, keys array<long>")
+    return out.select("id", "vec", F.posexplode("keys").alias("qb", "rb"))
 
 
-def _leaves(q: DataFrame, r: DataFrame, seed: int, trees: int = 16, per: int = 128) -> tuple[DataFrame, DataFrame]:
-    """Leaves of trees that split the sample at the median between two random points of each node."""
+def _true_pairs(x: np.ndarray, seed: int, queries: int = 256, k: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Some vectors of the sample and, beside each, its k nearest in the sample: what an index has to bring together."""
+    own = np.random.default_rng([seed, 1]).choice(len(x), min(queries, len(x)), replace=False)
+    d = _distances(x[own], x, "euclidean")
+    d[np.arange(len(own)), own] = np.inf
+    k = min(k, len(x) - 1)
+    return np.repeat(own, k), np.argsort(d, axis=1, kind="stable")[:, :k].ravel()
+
+
+def _leaves(q: DataFrame, r: DataFrame, seed: int, aim: float = 0.97, most: int = 64, per: int = 128) -> tuple[DataFrame, DataFrame]:
+    """Leaves of trees that split the sample at the median between two random points of each node.
+
+    Trees are added until a share ``aim`` of the sample's true neighbours meet in a leaf, up to ``most``.
+    """
     x = _sample(r, seed)
     depth = max(1, math.ceil(math.log2(max(r.count() / per, 2))))
     rng = np.random.default_rng(seed)
-    normal, at = np.zeros((trees, 2**depth, x.shape[1])), np.zeros((trees, 2**depth))
-    for t in range(trees):
+    a_side, b_side = _true_pairs(x, seed)
+    met, normals, cuts = np.zeros(len(a_side), bool), [], []
+    while len(normals) < most and (not normals or met.mean() < aim):
+        normal, at, leaf = np.zeros((2**depth, x.shape[1])), np.zeros(2**depth), np.zeros(len(x), np.int64)
         members = {1: np.arange(len(x))}
         for node in range(1, 2**depth):
             own = members.pop(node)
             a, b = x[rng.choice(own if len(own) > 1 else len(x), 2)]
-            normal[t, node] = a - b
-            side = x[own] @ normal[t, node]
-            at[t, node] = np.median(side) if len(own) else 0.0
-            members[2 * node], members[2 * node + 1] = own[side <= at[t, node]], own[side > at[t, node]]
+            normal[node] = a - b
+            side = x[own] @ normal[node]
+            at[node] = np.median(side) if len(own) else 0.0
+            members[2 * node], members[2 * node + 1] = own[side <= at[node]], own[side > at[node]]
+        for node, own in members.items():
+            leaf[own] = node
+        met |= leaf[a_side] == leaf[b_side]
+        normals.append(normal)
+        cuts.append(at)
+    normal, at, trees = np.array(normals), np.array(cuts), len(normals)
 
     def keys(v: np.ndarray) -> list:
         node = np.ones((len(v), trees), np.int64)
@@ -146,16 +167,18 @@ def _leaves(q: DataFrame, r: DataFrame, seed: int, trees: int = 16, per: int = 1
         for _ in range(depth):
             side = np.einsum("ntd,nd->nt", normal[each, node], v)
             node = 2 * node + (side > at[each, node])
-        return [[{"qb": t, "rb": int(leaf)} for t, leaf in enumerate(row)] for row in node]
+        return list(node)
 
     return _keyed(q, keys), _keyed(r, keys)
 
 
-def _cells(q: DataFrame, r: DataFrame, seed: int, probes: int | None = None, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Cells of about sqrt(n) centroids fitted to the sample; a query looks into the cells of its nearest ones."""
+def _cells(q: DataFrame, r: DataFrame, seed: int, probes: int | None = None, rounds: int = 10, aim: float = 0.97) -> tuple[DataFrame, DataFrame]:
+    """Cells of about sqrt(n) centroids fitted to the sample; a query looks into the cells of its nearest ones.
+
+    Without a number of probes it is as many as bring a share ``aim`` of the sample's true neighbours.
+    """
     x, n = _sample(r, seed), r.count()
     lists = max(1, min(int(math.sqrt(n)), len(x)))
-    probes = min(lists, probes or max(18, lists // 3))
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), lists, replace=False)]
     for _ in range(rounds):
@@ -164,14 +187,21 @@ def _cells(q: DataFrame, r: DataFrame, seed: int, probes: int | None = None, rou
         np.add.at(total, label, x)
         size = np.bincount(label, minlength=lists)
         centre = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centre)
-    near = lambda m: lambda v: [[{"qb": 0, "rb": int(c)} for c in row] for row in np.argsort(_distances(v, centre, "euclidean"), axis=1, kind="stable")[:, :m]]
-    return _keyed(q, near(probes)), _keyed(r, near(1))
+    if probes is None:
+        a, b = _true_pairs(x, seed)
+        d = _distances(x[a], centre, "euclidean")
+        home = _distances(x[b], centre, "euclidean").argmin(1)
+        rank = (d < d[np.arange(len(a)), home][:, None]).sum(1)
+        probes = int(np.quantile(rank, aim)) + 1 if len(rank) else 1
+    probes = min(lists, probes)
+    near = lambda m: lambda v: list(np.argsort(_distances(v, centre, "euclidean"), axis=1, kind="stable")[:, :m])
+    one = lambda df: df.withColumn("qb", F.lit(0))
+    return one(_keyed(q, near(probes))), one(_keyed(r, near(1)))
 
 
 def _descent(points: DataFrame, k: int, metric: str, seed: int, rounds: int = 6, wide: int = 2) -> DataFrame:
-    """Neighbour lists from two hyperplane tables, improved by the neighbours, both ways, of neighbours."""
+    """Neighbour lists from the leaves of a few trees, improved by the neighbours, both ways, of neighbours."""
     m = wide * k
-    a, _ = _buckets(points, points, seed, tables=2)
     vec = cut(points.select("id", "vec"))
 
     def best(pairs: DataFrame) -> DataFrame:
@@ -194,15 +224,8 @@ def _descent(points: DataFrame, k: int, metric: str, seed: int, rounds: int = 6,
         kind = points.schema["id"].dataType.simpleString()
         return pairs.select("id", "nbr", "vec", "other").mapInPandas(run, f"id {kind}, nbr {kind}, dist double")
 
-    # a start needs few pairs: each point with the m next in its bucket by a hash of the id
-    order = Window.partitionBy("qb", "rb").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    placed = a.drop("vec").withColumn("at", F.row_number().over(order))
-    ahead = placed.select(F.col("id").alias("nbr"), "qb", "rb", F.col("at").alias("other_at"))
-    start = placed.withColumn("other_at", F.explode(F.expr(f"sequence(at + 1, at + {m})"))).join(ahead, ["qb", "rb", "other_at"])
-    start = start.select("id", "nbr").where("id != nbr")
-    start = start.union(start.select("nbr", "id")).distinct()
     add = lambda pairs: pairs.join(vec, "id").join(vec.select(F.col("id").alias("nbr"), F.col("vec").alias("other")), "nbr")
-    now = best(measured(add(start)))
+    now = cut(knn(points, m, metric, method="annoy", seed=seed, aim=0.7))
     for _ in range(rounds):
         out = now.select("id", "nbr")
         back = Window.partitionBy("nbr").orderBy(F.xxhash64("id", "nbr"))
