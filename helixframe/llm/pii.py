@@ -55,6 +55,8 @@ KEY = ["th", "tl"]  # what a text is known by
 SPAN = "struct<kind:int,start:int,end:int>"
 #: Characters of a chunk of a text that is being sanitised.
 CHUNK = 2000
+#: Most keys of texts (16 bytes each) that are sent to all tasks.
+SENT = 1_000_000
 
 
 def _of(text: Column) -> list[Column]:
@@ -110,11 +112,16 @@ def _terms(texts: DataFrame, *keep: str) -> DataFrame:
     return texts.select(*keep, F.explode(F.array_distinct(F.split(F.lower("text"), _TERM_GAP))).alias("term")).where(F.length("term") >= 4)
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """keys, sent to all tasks where they are at most ``SENT`` rows, so that texts that are held against them stay in place."""
+    return F.broadcast(keys) if keys.limit(SENT + 1).count() <= SENT else keys
+
+
 def _disclosing(docs: DataFrame, rows: DataFrame, held: DataFrame, values: DataFrame, threshold: float) -> DataFrame:
     """KEY, term: the terms of held texts whose disclosure of one of their values reaches the threshold."""
     copies = rows.groupBy(*KEY).agg(F.count("*").alias("copies"))
     n = copies.count()
-    copies = materialise(copies.where("copies > 1"))
+    copies = _small(materialise(copies.where("copies > 1")))
     said = values.select(*KEY, _key(F.struct("kind", "value")).alias("value")).distinct()
     # values of the same texts have the same terms: one stands for all
     whole = [F.sum(F.col(k).cast("decimal(38,0)")).alias(f"sum_{k}") for k in KEY]
@@ -207,10 +214,15 @@ def sanitise(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs, all columns, with each span of the text replaced by a label; overlapping spans become one."""
     _, texts, marks = _marked(docs, threshold)
     th, tl = _of(F.col("d.text"))
-    m = materialise(_cleaned(texts, marks)).alias("m")
-    joined = docs.alias("d").join(m, (th == F.col("m.th")) & (tl == F.col("m.tl")), "left")
-    new = F.coalesce("m.clean", "d.text")
+    m = materialise(_cleaned(texts, marks))
+    keys = _small(m.select(*KEY))
+    same = lambda x: (th == F.col(f"{x}.th")) & (tl == F.col(f"{x}.tl"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     follow = kinds.get("n_chars") in ("int", "bigint")
-    cols = [new.alias("text") if c == "text" else F.length(new).cast(kinds[c]).alias(c) if c == "n_chars" and follow else F.col(f"d.`{c}`") for c in docs.columns]
-    return joined.select(*cols)
+    # only texts that have marks move to meet their clean forms
+    d = docs.alias("d")
+    joined = d.join(keys.alias("k"), same("k"), "left_semi").join(m.alias("m"), same("m"))
+    cols = [F.col("m.clean").alias("text") if c == "text" else F.length("m.clean").cast(kinds[c]).alias(c) if c == "n_chars" and follow else F.col(f"d.`{c}`") for c in docs.columns]
+    length = F.length("d.text").cast(kinds["n_chars"]) if follow else None
+    rest = d.join(keys.alias("k"), same("k"), "left_anti").select(*[length.alias(c) if c == "n_chars" and follow else F.col(f"d.`{c}`") for c in docs.columns])
+    return joined.select(*cols).union(rest)
