@@ -138,7 +138,7 @@ def uncontained(found: Iterable[tuple[int, int, int]], rank: Callable) -> list[t
 class Scanner:
     def __init__(self, own: tuple[Rule, ...]) -> None:
         self.rules = own
-        self.regex = [re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])") for r in self.rules]
+        self.regex: dict[int, re.Pattern] = {}  # compiled when a keyword first asks for them
         gated: dict[int, list[int]] = defaultdict(list)
         for i, r in enumerate(self.rules):
             for k in r.keywords:
@@ -170,6 +170,8 @@ class Scanner:
         """First word, last word (exclusive) and rule of each match of some rules in some words; at: number of the first."""
         line, starts = " ".join(said), np.cumsum([0, *(len(s) + 1 for s in said)])
         for r in which:
+            if r not in self.regex:
+                self.regex[r] = re.compile(rf"(?<![^ ])(?:{self.rules[r].pattern})(?![^ ])")
             ends = [x for m in self.regex[r].finditer(line) for x in m.span()]
             if ends:
                 word = np.searchsorted(starts, ends, "right") - 1 + at
