@@ -105,8 +105,13 @@ def page_rank(edges: DataFrame, personal: DataFrame | None = None, damping: floa
                 rank = new.drop("old")
                 break
         rank = new.drop("old")
-    total = F.sum("r").over(Window.partitionBy())
-    return rank.select("id", F.try_divide(F.col("r"), total).alias("rank"))
+    return _shares(rank)
+
+
+def _shares(rank: DataFrame) -> DataFrame:
+    """(id, rank): r as a share of all."""
+    total = rank.agg(F.sum("r").alias("total"))
+    return rank.crossJoin(F.broadcast(total)).select("id", F.try_divide("r", "total").alias("rank"))
 
 
 def constrained_page_rank(edges: DataFrame, types: DataFrame, personal: DataFrame, damping: float = 0.85, rounds: int = 100, sink_types: Sequence[str] = (), absorbing: Sequence[str] = (), tol: float = 1e-6) -> DataFrame:
@@ -130,7 +135,7 @@ def constrained_page_rank(edges: DataFrame, types: DataFrame, personal: DataFram
         rank = new.drop("old")
         if done:
             break
-    return rank.select("id", F.try_divide(F.col("r"), F.sum("r").over(Window.partitionBy())).alias("rank"))
+    return _shares(rank)
 
 
 def tied_diffusion(edges: DataFrame, personal_1: DataFrame, personal_2: DataFrame, how: str = "max", directed: bool = True, rounds: int = 1000, tol: float = 1e-7) -> DataFrame:

@@ -29,8 +29,6 @@ from helixframe.operators import trees as L
 from helixframe.plans.checkpoint import cut
 from helixframe.sources import formats, store
 
-#: Rounds of the diffusions whose oracles are written out.
-ROUNDS = 15
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -135,25 +133,25 @@ def independent_components_folds(spark, d):
 
 @register
 def page_rank(spark, d):
-    return rounded(G.page_rank(_und(spark, d), rounds=ROUNDS, tol=0.0), 9, "rank")
+    return rounded(G.page_rank(_und(spark, d)), 9, "rank")
 
 
 @register
 def personalised_page_rank(spark, d):
-    return rounded(G.page_rank(_und(spark, d), spark.createDataFrame([(0, 1.0), (3, 2.0)], "id long, p double"), rounds=ROUNDS, tol=0.0), 9, "rank")
+    return rounded(G.page_rank(_und(spark, d), spark.createDataFrame([(0, 1.0), (3, 2.0)], "id long, p double")), 9, "rank")
 
 
 @register
 def constrained_page_rank(spark, d):
     e = _und(spark, d).withColumn("etype", F.when(F.col("w") > F.lit(20), "strong").otherwise("weak"))
     types = G.nodes_of(e).withColumn("ntype", F.when(F.col("id") % 5 == 0, "sink").otherwise("open"))
-    return rounded(G.constrained_page_rank(e, types, spark.createDataFrame([(1, 1.0), (2, 1.0)], "id long, p double"), rounds=ROUNDS, sink_types=["sink"], absorbing=["weak"], tol=0.0), 9, "rank")
+    return rounded(G.constrained_page_rank(e, types, spark.createDataFrame([(1, 1.0), (2, 1.0)], "id long, p double"), sink_types=["sink"], absorbing=["weak"]), 9, "rank")
 
 
 @register
 def tied_diffusion(spark, d):
     p = lambda *x: spark.createDataFrame([(i, 1.0) for i in x], "id long, p double")
-    return rounded(G.tied_diffusion(_und(spark, d), p(0, 1), p(2, 3), "mean", rounds=ROUNDS, tol=0.0), 9, "score")
+    return rounded(G.tied_diffusion(_und(spark, d), p(0, 1), p(2, 3), "mean"), 9, "score")
 
 
 @register
