@@ -26,7 +26,7 @@ from helixframe.operators import regulation as R
 from helixframe.operators import similarity as S
 from helixframe.operators import stats as Z
 from helixframe.operators import trees as L
-from helixframe.plans.checkpoint import cut
+from helixframe.plans.checkpoint import cut, scratch
 from helixframe.sources import formats, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,6 +453,29 @@ def combined_sources(spark, d):
     return store.combine([c.where("cell % 2 = 0"), c.where("cell % 2 = 1")], 10, 10, 100)
 
 
+def _h5ad(spark, d, normalised):
+    """The counts through h5ad files of 512 cells each, csr and csc, their genes and cells named again after the union."""
+    known = cut(formats.write_h5ad(T.counts(spark, d), scratch(spark, "h5ad"), normalised=normalised))
+    files = known.select("file", "path", "layout").distinct().orderBy("file").collect()  # a row a file
+    number = spark.createDataFrame([(i, r.file) for i, r in enumerate(files)], "at int, file int")
+    names = known.join(F.broadcast(number), "file").select(F.col("at").alias("file"), "kind", "old", "new")
+    read = formats.h5ad(spark, [r.path for r in files], [r.layout for r in files], 100, "total" if normalised else None)
+    genes = names.where("kind = 'gene'").select("file", F.col("new").alias("gene"), F.col("old").alias("universe"))
+    out = formats.h5ad_union([read], genes, 10, 10, 100)
+    cells = names.where("kind = 'cell'").select("file", F.col("new").alias("cell"), F.col("old").alias("name"))
+    return out.join(cells, ["file", "cell"]).select(F.col("name").alias("cell"), "gene", "raw")
+
+
+@register
+def h5ad_files(spark, d):
+    return _h5ad(spark, d, False)
+
+
+@register
+def h5ad_normalised_files(spark, d):
+    return _h5ad(spark, d, True)
+
+
 @register
 def synthetic_cells(spark, d):
     return formats.synthetic_cells(spark, 200, 300)

@@ -300,3 +300,14 @@ def moved(graph: str) -> list[tuple[str, str]]:
 
 
 put("louvain", f"SELECT id, min(id) OVER (PARTITION BY community) AS community FROM l{MOVED}", ("nn",), _GRAPH, *moved("graph"))
+
+
+# ---- h5ad ----------------------------------------------------------------------------------------------------------
+
+for _name in ("h5ad_files", "h5ad_normalised_files"):
+    put(
+        _name,
+        "SELECT cell, gene, raw FROM known WHERE cell IN (SELECT cell FROM known GROUP BY 1 HAVING count(*) >= 10 AND sum(raw) >= 100)",
+        ("counts",),
+        ("known", "SELECT * FROM counts WHERE gene IN (SELECT gene FROM counts GROUP BY 1 HAVING count(*) >= 10)"),
+    )

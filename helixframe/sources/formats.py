@@ -1,15 +1,20 @@
-"""Other inputs: Matrix Market text, h5ad files (where h5py exists), lists in memory, generators."""
+"""Other inputs: Matrix Market text, h5ad files, lists in memory, generators."""
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from helixframe.functions.columns import raw_from_norm
 from helixframe.operators.cells import quality_filter
+from helixframe.sources import hdf5
 
 
 def matrix_market(spark: SparkSession, path: str, cells_as_rows: bool = True) -> DataFrame:
@@ -40,33 +45,125 @@ def matrix_market_quality(spark: SparkSession, path: str, min_cells: int, min_ge
     return quality_filter(matrix_market(spark, path, cells_as_rows), min_cells, min_genes, min_library)
 
 
-def h5ad(spark: SparkSession, path: str, cells: int, layout: str = "csr", slab: int = 10_000, library: str | None = None, target: float = 1e4) -> DataFrame:
-    """cell, gene, raw of an h5ad file's X, a task per slab of its major axis. library: X holds log-normalised values, and
-    this obs column the library sizes from which counts are rebuilt. A file that can't be opened raises."""
-    try:
-        import h5py  # noqa: F401
-    except ImportError as e:
-        raise NotImplementedError("h5py is needed for h5ad files") from e
-    layout = layout.lower()
-    if layout not in ("csr", "csc"):
-        raise ValueError("layout is csr or csc")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import h5py
-
-        with h5py.File(path) as f:
-            for pdf in batches:
-                for at in pdf["id"]:
-                    ptr = f["X/indptr"][at : at + slab + 1]
-                    major = np.repeat(np.arange(at, at + len(ptr) - 1), np.diff(ptr))
-                    minor, value = f["X/indices"][ptr[0] : ptr[-1]], f["X/data"][ptr[0] : ptr[-1]]
-                    c, g = (major, minor) if layout == "csr" else (minor, major)
-                    lib = f[f"obs/{library}"][:][c] if library else np.zeros(len(c))
-                    yield pd.DataFrame({"cell": c.astype(np.int64), "gene": g.astype(np.int64), "value": value.astype(float), "lib": lib.astype(float)})
-
-    out = spark.range(0, cells, slab, max(1, cells // slab)).mapInPandas(read, "cell long, gene long, value double, lib double")
-    raw: Column = raw_from_norm(F.col("value"), F.col("lib"), target) if library else F.round("value").cast("int")
-    return out.select("cell", "gene", raw.alias("raw"))
+class H5adSource(DataSource):
+    """Sparse matrices X of h5ad files: a partition for each slab of a file's major axis.
+
+    Options: paths and layouts (csr or csc, one for all or one each) as JSON lists, slab (rows of the major axis), library (an
+    obs column, read with each entry's cell).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "h5ad"
+
+    def schema(self) -> str:
+        return "file int, cell long, gene long, value double, library double"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SlabReader(json.loads(self.options["paths"]), json.loads(self.options["layouts"]), int(self.options.get("slab", 10_000)), self.options.get("library"))
+
+
+class _SlabReader(DataSourceReader):
+    def __init__(self, paths: list[str], layouts: list[str], slab: int, library: str | None) -> None:
+        self.paths, self.slab, self.library = paths, slab, library
+        self.layouts = [x.lower() for x in layouts] * (len(paths) if len(layouts) == 1 else 1)
+        if len(self.layouts) != len(paths) or set(self.layouts) - {"csr", "csc"}:
+            raise ValueError("layouts are csr or csc, one for all files or one each")
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for i, path in enumerate(self.paths):
+            with hdf5.File(path) as f:
+                n = len(f["X/indptr"]) - 1
+            out += [InputPartition((i, at)) for at in range(0, n, self.slab)]
+        return out
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition is None or partition.value is None:  # files without rows
+            return
+        i, at = partition.value
+        with hdf5.File(self.paths[i]) as f:
+            ptr = f["X/indptr"][at : at + self.slab + 1].astype(np.int64)
+            major = np.repeat(np.arange(at, at + len(ptr) - 1), np.diff(ptr))
+            indices, data = f["X/indices"], f["X/data"]
+            size = None
+            if self.library:
+                size = f[f"obs/{self.library}"]
+                size = size[at : at + self.slab] if self.layouts[i] == "csr" else size[:]
+            for a in range(0, len(major), 1 << 20):
+                b = min(len(major), a + (1 << 20))
+                first, minor = major[a:b], indices[ptr[0] + a : ptr[0] + b].astype(np.int64)
+                c, g = (first, minor) if self.layouts[i] == "csr" else (minor, first)
+                own = size[c - (at if self.layouts[i] == "csr" else 0)] if size is not None else np.full(b - a, np.nan)
+                columns = [np.full(b - a, i, np.int32), c, g, data[ptr[0] + a : ptr[0] + b].astype(float), own.astype(float)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["file", "cell", "gene", "value", "library"])
+
+
+def h5ad(spark: SparkSession, paths: str | Sequence[str], layouts: str | Sequence[str] = "csr", slab: int = 10_000, library: str | None = None, target: float = 1e4) -> DataFrame:
+    """file, cell, gene, raw of the X of h5ad files, by the files' own cell and gene numbers.
+
+    library: X holds log-normalised values, and this obs column the library sizes from which counts are rebuilt. A file
+    that can't be opened raises.
+    """
+    paths, layouts = ([x] if isinstance(x, str) else list(x) for x in (paths, layouts))
+    spark.dataSource.register(H5adSource)
+    read = spark.read.format("h5ad").option("paths", json.dumps(paths)).option("layouts", json.dumps(layouts)).option("slab", slab)
+    out = (read.option("library", library) if library else read).load()
+    raw: Column = raw_from_norm(F.col("value"), F.col("library"), target) if library else F.round("value").cast("int")
+    return out.select("file", "cell", "gene", raw.alias("raw")).where("raw != 0")
+
+
+def h5ad_union(parts: Sequence[DataFrame], genes: DataFrame, min_cells: int, min_genes: int, min_library: int) -> DataFrame:
+    """Counts of several h5ad reads (file, cell, gene, raw) after the quality filter of genes over all files, then of cells.
+
+    genes(file, gene, universe): what a file's gene numbers mean; genes without a row are left out. Gives file, cell, gene
+    (of the universe) and raw; ``store.combine`` appends the cells of files as one range.
+    """
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    named = every.join(genes, ["file", "gene"]).select("file", "cell", F.col("universe").alias("gene"), "raw")
+    kept = named.join(named.groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") >= min_cells).select("gene"), "gene", "left_semi")
+    good = kept.groupBy("file", "cell").agg(F.count("*").alias("nnz"), F.sum("raw").alias("lib")).where((F.col("nnz") >= min_genes) & (F.col("lib") >= min_library))
+    return kept.join(good.select("file", "cell"), ["file", "cell"], "left_semi").select("file", "cell", "gene", "raw")
+
+
+def write_h5ad(counts: DataFrame, folder: str, cells: int = 512, target: float = 1e4, normalised: bool = False) -> DataFrame:
+    """Writes h5ad files of at most so many cells each, which a task each holds, and gives (file, path, layout, kind, old, new).
+
+    Even files are csr and contiguous, odd ones csc in compressed chunks. kind cell or gene: the file's own number of an old id.
+    normalised: X holds ln(1 + raw / library * target), and obs/total the libraries.
+    """
+    dealt = counts.select("cell", "gene", "raw", F.floor(F.col("cell") / cells).cast("int").alias("file"))
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        file = int(key[0])
+        path, layout = f"{folder}/{file}.h5ad", "csc" if file % 2 else "csr"
+        names = {k: np.unique(pdf[k]) for k in ("cell", "gene")}
+        c, g = (np.searchsorted(names[k], pdf[k]) for k in ("cell", "gene"))
+        value, library = pdf["raw"].to_numpy().astype(float), np.bincount(c, pdf["raw"], len(names["cell"]))
+        if normalised:
+            value = np.log1p(value / library[c] * target)
+        major, minor = (c, g) if layout == "csr" else (g, c)
+        order, n = np.lexsort((minor, major)), len(names["cell" if layout == "csr" else "gene"])
+        x = {"data": value[order], "indices": minor[order].astype(np.int32), "indptr": np.concatenate([[0], np.cumsum(np.bincount(major, minlength=n))])}
+        raw = hdf5.encode({"X": x, "obs": {"total": library}}, 1000 if layout == "csc" else None)
+        own = hdf5.local(path)
+        if own is None:
+            from pyarrow import fs
+
+            system, at = fs.FileSystem.from_uri(path)
+            system.create_dir(at.rsplit("/", 1)[0])
+            with system.open_output_stream(at) as out:
+                out.write(raw)
+        else:
+            os.makedirs(os.path.dirname(own), exist_ok=True)
+            with open(own, "wb") as out:
+                out.write(raw)
+        rows = [pd.DataFrame({"file": file, "path": path, "layout": layout, "kind": k, "old": v, "new": np.arange(len(v))}) for k, v in names.items()]
+        return pd.concat(rows)
+
+    return dealt.groupBy("file").applyInPandas(write, "file int, path string, layout string, kind string, old long, new long")
 
 
 def from_rows(spark: SparkSession, rows: Sequence[tuple[int, int, int]]) -> DataFrame:
