@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.functions.columns import unit
 from helixframe.functions.special import chi2_sf_col
-from helixframe.plans.checkpoint import cut
+from helixframe.plans.checkpoint import cut, scratch
 
 METRICS = ("euclidean", "cosine")
 METHODS = ("exhaustive", "lsh", "annoy", "ivf", "nndescent")
@@ -55,7 +55,15 @@ def knn(query: DataFrame, k: int, metric: str = "cosine", reference: DataFrame |
         if metric == "cosine":
             q, r = (x.withColumn("vec", unit(F.col("vec"))) for x in (q, r))
         q, r = _buckets(q, r, seed) if method == "lsh" else {"annoy": _leaves, "ivf": _cells}[method](q, r, seed, aim=aim)
-    kind = query.schema["id"].dataType.simpleString()
+    return _nearest(q, r, k, metric, own, method != "exhaustive")
+
+
+def _nearest(q: DataFrame, r: DataFrame, k: int, metric: str, own: bool, repeats: bool) -> DataFrame:
+    """id, rank, nbr, dist of (id, vec, qb, rb) tables: the k nearest of those that share a group; own: an id is no neighbour of itself.
+
+    repeats: whether a pair may share several groups.
+    """
+    kind = q.schema["id"].dataType.simpleString()
     # the two sides may share their lineage: own names keep them apart
     r = r.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.col("qb").alias("rqb"), F.col("rb").alias("rrb"))
 
@@ -78,7 +86,7 @@ def knn(query: DataFrame, k: int, metric: str = "cosine", reference: DataFrame |
         return pd.concat(out)
 
     found = q.groupBy("qb", "rb").cogroup(r.groupBy("rqb", "rrb")).applyInPandas(near, f"id {kind}, nbr {kind}, dist double")
-    if method != "exhaustive":
+    if repeats:
         found = found.dropDuplicates(["id", "nbr"])
     w = Window.partitionBy("id").orderBy(F.round("dist", 12), "nbr")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "nbr", "dist")
@@ -172,12 +180,11 @@ def _leaves(q: DataFrame, r: DataFrame, seed: int, aim: float = 0.97, most: int
     return _keyed(q, keys), _keyed(r, keys)
 
 
-def _cells(q: DataFrame, r: DataFrame, seed: int, probes: int | None = None, rounds: int = 10, aim: float = 0.97) -> tuple[DataFrame, DataFrame]:
-    """Cells of about sqrt(n) centroids fitted to the sample; a query looks into the cells of its nearest ones.
+def fitted_cells(x: np.ndarray, n: int, seed: int, probes: int | None = None, rounds: int = 10, aim: float = 0.97) -> tuple[np.ndarray, int]:
+    """About sqrt(n) centroids of a sample, and in how many of its nearest cells a query has to look.
 
     Without a number of probes it is as many as bring a share ``aim`` of the sample's true neighbours.
     """
-    x, n = _sample(r, seed), r.count()
     lists = max(1, min(int(math.sqrt(n)), len(x)))
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), lists, replace=False)]
@@ -193,10 +200,57 @@ def _cells(q: DataFrame, r: DataFrame, seed: int, probes: int | None = None, rou
         home = _distances(x[b], centre, "euclidean").argmin(1)
         rank = (d < d[np.arange(len(a)), home][:, None]).sum(1)
         probes = int(np.quantile(rank, aim)) + 1 if len(rank) else 1
-    probes = min(lists, probes)
-    near = lambda m: lambda v: list(np.argsort(_distances(v, centre, "euclidean"), axis=1, kind="stable")[:, :m])
+    return centre, min(lists, probes)
+
+
+def _near_cells(centre: np.ndarray, m: int):
+    return lambda v: list(np.argsort(_distances(v, centre, "euclidean"), axis=1, kind="stable")[:, :m])
+
+
+def _cells(q: DataFrame, r: DataFrame, seed: int, probes: int | None = None, aim: float = 0.97) -> tuple[DataFrame, DataFrame]:
+    """Cells of centroids; a query looks into the cells of its nearest ones."""
+    centre, probes = fitted_cells(_sample(r, seed), r.count(), seed, probes, aim=aim)
     one = lambda df: df.withColumn("qb", F.lit(0))
-    return one(_keyed(q, near(probes))), one(_keyed(r, near(1)))
+    return one(_keyed(q, _near_cells(centre, probes))), one(_keyed(r, _near_cells(centre, 1)))
+
+
+def save_index(points: DataFrame, path: str, metric: str = "cosine", probes: int | None = None, aim: float = 0.97, block: int = 4096, seed: int = 42) -> None:
+    """An index of (id, vec) in a folder: vectors sorted by cell, in parts of about ``block`` where a cell has more; and the cells."""
+    metric = metric.lower()
+    if metric not in METRICS:
+        raise ValueError("unknown metric")
+    r = points.select("id", "vec")
+    if metric == "cosine":
+        r = r.withColumn("vec", unit(F.col("vec")))
+    r = cut(r)
+    centre, probes = fitted_cells(_sample(r, seed), r.count(), seed, probes, aim=aim)
+    placed = cut(_keyed(r, _near_cells(centre, 1)).select("id", "vec", F.col("rb").alias("cell")))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("parts"))
+    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.expr("int(pmod(xxhash64(id), parts))")).drop("parts")
+    dealt.repartitionByRange("cell", "part").sortWithinPartitions("cell", "part").write.mode("overwrite").parquet(f"{path}/vectors")
+    spark = points.sparkSession
+    cells = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centre)], "cell long, centre array<double>")
+    cells.join(sizes, "cell", "left").na.fill(0, ["parts"]).write.mode("overwrite").parquet(f"{path}/cells")
+    spark.createDataFrame([(metric, probes)], "metric string, probes int").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def search_index(spark, path: str, query: DataFrame, k: int, probes: int | None = None, own: bool = False) -> DataFrame:
+    """id, rank, nbr, dist: the k nearest vectors of a saved index; own: the query's ids are the index's, and none is its own neighbour.
+
+    probes: cells that a query looks into, as many as the index was saved with by default; all of them make it exact.
+    """
+    about = spark.read.parquet(f"{path}/about").first()
+    cells = spark.read.parquet(f"{path}/cells")
+    rows = cells.orderBy("cell").collect()  # at most a row a vector of the sample
+    centre = np.array([r.centre for r in rows], float)
+    q = query.select("id", "vec")
+    if about.metric == "cosine":
+        q = q.withColumn("vec", unit(F.col("vec")))
+    looks = _keyed(q, _near_cells(centre, min(len(rows), probes or about.probes))).select("id", "vec", F.col("rb").alias("cell"))
+    parts = F.broadcast(cells.where("parts > 0").select("cell", "parts"))
+    looks = looks.join(parts, "cell").select("id", "vec", F.col("cell").alias("qb"), F.explode(F.expr("sequence(0L, parts - 1L)")).alias("rb"))
+    r = spark.read.parquet(f"{path}/vectors").select("id", "vec", F.col("cell").alias("qb"), F.col("part").cast("long").alias("rb"))
+    return _nearest(looks, r, k, about.metric, own, False)
 
 
 def _descent(points: DataFrame, k: int, metric: str, seed: int, rounds: int = 6, wide: int = 2) -> DataFrame:
@@ -548,8 +602,11 @@ def harmony(points: DataFrame, batches: DataFrame, clusters: int = 10, sigma: fl
 # ---- neighbourhood sampling ----------------------------------------------------------------------------------------
 
 
-def sample_neighbourhoods(points: DataFrame, nn: DataFrame, share: float = 0.2, seed: int = 42, metric: str = "euclidean", strategy: str = "approximate") -> DataFrame:
-    """index: cells nearest to the median position of a sampled cell's neighbours; approximate looks among those only."""
+def sample_neighbourhoods(points: DataFrame, nn: DataFrame, share: float = 0.2, seed: int = 42, metric: str = "euclidean", strategy: str = "approximate", index: str | None = None) -> DataFrame:
+    """index: cells nearest to the median position of a sampled cell's neighbours.
+
+    approximate looks among those only, bruteforce among all cells, index into a saved index (made here unless its folder is given).
+    """
     strategy = strategy.lower()
     if strategy not in ("approximate", "bruteforce", "index"):
         raise ValueError("unknown strategy")
@@ -561,6 +618,11 @@ def sample_neighbourhoods(points: DataFrame, nn: DataFrame, share: float = 0.2,
         cand = near.join(median, "id").join(points.select(F.col("id").alias("nbr"), F.col("vec").alias("v")), "nbr")
         d = F.aggregate(F.zip_with("vec", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
         return cand.groupBy("id").agg(F.min_by("nbr", F.struct(d, "nbr")).alias("index")).select("index").distinct()
+    if strategy == "index":
+        if index is None:
+            index = scratch(points.sparkSession, "index")
+            save_index(points, index, metric, seed=seed)
+        return search_index(points.sparkSession, index, median, 1).select(F.col("nbr").alias("index")).distinct()
     return knn(median, 1, metric, points).select(F.col("nbr").alias("index")).distinct()
 
 

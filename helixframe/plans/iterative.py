@@ -306,6 +306,14 @@ def knn_descent(spark, d):
     return N.knn(_points(spark, d), 10, "cosine", method="nndescent")
 
 
+@register
+def knn_saved_index(spark, d):
+    """All cells of an index that was saved and read again."""
+    path = scratch(spark, "index")
+    N.save_index(_points(spark, d), path)
+    return rounded(N.search_index(spark, path, _points(spark, d), 10, probes=1_000_000, own=True), 9, "dist")
+
+
 @register
 def kbet_pvalues(spark, d):
     return rounded(N.kbet(_nn(spark, d), _batches(spark, d)), 6, "chi2", "p")

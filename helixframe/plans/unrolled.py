@@ -311,3 +311,6 @@ for _name in ("h5ad_files", "h5ad_normalised_files"):
         ("counts",),
         ("known", "SELECT * FROM counts WHERE gene IN (SELECT gene FROM counts GROUP BY 1 HAVING count(*) >= 10)"),
     )
+
+
+put("knn_saved_index", "SELECT id, rank, nbr, round(dist, 9) AS dist FROM nn", ("nn",))
