@@ -10,7 +10,8 @@ whatever the benchmark has. Each block is held against all documents before the
 Nothing of the documents is shuffled unless there are several blocks.
 
 Null or wordless texts hit nothing; items without id or words are ignored; items of one id count as one; repeated rows
-each get their own result row; an empty benchmark contaminates nothing. Other columns are ignored.
+each get their own result row; an empty benchmark contaminates nothing, and an empty table of documents gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Detections are taken by priority, then length, then place, then rule (so ties ar
 a detection taken before is suppressed. The base phrases are found for all texts and always stay.
 
 Null, empty and wordless texts have no words and no labels: n_words 0, first_word and last_word null, labels empty, score
-0. Repeated rows give equal results. Other columns are ignored.
+0. Long texts are read whole: only the words around keywords are put together. Repeated rows give equal results; an empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

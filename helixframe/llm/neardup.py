@@ -14,7 +14,8 @@ blocks, each pair in its first common band. So no bucket emits all its pairs, an
 verified or already known to be connected. With 32 bands of 4 registers a pair of similarity 0.75 is missed with probability 5e-6.
 
 A text with 1 to k-1 words is one shingle; a null, empty or wordless text has an empty set and is linked with nothing:
-its own doc_id is its component. So is a row without a doc_id (component null, kept). Repeated rows give repeated results. Other columns are ignored.
+its own doc_id is its component. So is a row without a doc_id (component null, kept). Texts of any length keep their whole sets, and a block holds one text at least. Repeated rows give
+repeated results; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ bins, and the size of its text as metadata. The score is the logistic of ``w0 +
 the pairwise part is computed as ``0.5 * sum_f ((sum v_if x_i)^2 - sum (v_if x_i)^2)``, linear in the features that occur.
 
 Null and empty texts have only the structure of an empty text and are scored by that. Repeated rows get equal scores.
-Without training rows of both classes every score is the share of label 1 (0.5 without any). Other columns are ignored.
+Without training rows of both classes every score is the share of label 1 (0.5 without any). Texts are read whole however
+long, in time linear in their length. Ties of score stay ties; where more labelled rows exist than are fitted, those of the
+smallest hash of the id are, ties by id. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
