@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: the stages, in order, each on what its predecessor kept."""
+"""A training corpus from raw documents: the stages, in order, each on what its predecessor kept.
+
+Null and empty texts pass all stages and pack as the end token alone; rows that share an id are judged each by its own text;
+repeated rows leave one behind near-dedup where they have words; extra columns are kept up to packing. An empty table gives
+an empty result; stages read labels and benchmark from sf_dir, empty ones too.
+"""
 
 from __future__ import annotations
 

@@ -26,11 +26,13 @@ from helixframe.streaming import ingest
 
 
 def test_fdr(spark):
+    # Inputs and results that any right implementation shares.
     df = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03)], "idx int, p double")
     assert [round(r.fdr, 9) for r in K.with_fdr(df, "p").orderBy("idx").collect()] == [0.03, 0.04, 0.04]
 
 
 def test_average_rank(spark):
+    # Inputs and results that any right implementation shares.
     df = spark.createDataFrame(list(enumerate([3.0, 1.0, 2.0, 3.0])), "id int, x double")
     got = df.select("id", K.average_rank("x").alias("r")).orderBy("id").collect()
     assert [r.r for r in got] == [3.5, 1.0, 2.0, 3.5]
@@ -60,6 +62,7 @@ def test_special_functions():
 
 
 def test_outliers(spark):
+    # Inputs and results that any right implementation shares.
     df = spark.createDataFrame(list(enumerate([1.0, 2.0, 3.0, 4.0, 100.0])), "id int, x double")
     about = Z.median_mad(df, "x").first()
     assert (about["median"], about.mad) == (3.0, 1.0)
@@ -104,6 +107,7 @@ def test_reciprocal_best_none(spark):
 
 
 def test_topological_overlap(spark):
+    # Inputs and results that any right implementation shares.
     a = [[1, 1, 1], [1, 1, 0], [1, 0, 1]]
     m = spark.createDataFrame([(i, j, float(a[i][j])) for i in range(3) for j in range(3) if a[i][j]], "row int, col int, value double")
     got = {(r.row, r.col): r.value for r in S.topological_overlap(m).collect()}
@@ -122,11 +126,13 @@ def barbell(spark):
 
 @pytest.mark.parametrize("find", [lambda e: G.louvain(e), lambda e: G.walktrap(e, 3, 2, "average"), lambda e: G.walktrap(e, 3, 2, "complete")])
 def test_barbell_communities(spark, find):
+    # Inputs and results that any right implementation shares.
     got = {r.id: r.community for r in find(barbell(spark)).collect()}
     assert got[0] == got[1] == got[2] != got[3] == got[4] == got[5]
 
 
 def test_page_rank_star(spark):
+    # Inputs and results that any right implementation shares.
     e = spark.createDataFrame([(0, 1, 1.0), (0, 2, 1.0)], "src long, dst long, w double")
     got = {r.id: r["rank"] for r in G.page_rank(e).collect()}
     assert abs(got[1] - got[2]) < 1e-12 and abs(sum(got.values()) - 1) < 1e-12 and got[1] > got[0]
@@ -147,6 +153,7 @@ def test_mutual_neighbours(spark):
 
 
 def test_sparse_ranks(spark):
+    # Inputs and results that any right implementation shares.
     v = spark.createDataFrame([(0, 0, 1.0), (0, 2, 3.0), (1, 1, 2.0)], "cell long, gene long, norm double")
     got = {(r.cell, r.gene): (r["rank"], r.zero_rank) for r in C.ranks_within(v, "cell", 3).collect()}
     assert got == {(0, 0): (2.0, 1.0), (0, 2): (3.0, 1.0), (1, 1): (3.0, 1.5)}
