@@ -128,6 +128,11 @@ def independent_components_folds(spark, d):
     return D.stabilised_ica(_points(spark, d), 3, 2, "exp", folds=3)
 
 
+@register
+def independent_components_by_passes(spark, d):
+    return D.ica_by_passes(_points(spark, d), 4, 3, rounds=20)
+
+
 # ---- graphs --------------------------------------------------------------------------------------------------------
 
 
