@@ -52,3 +52,16 @@ def test_community_scores_after_driver_use(spark):
             s, k, m, t = sum(i < 0 for i in ids), len(ids), 4, 12
             p = sum(math.comb(m, x) * math.comb(t - m, k - x) for x in range(s, min(k, m) + 1)) / math.comb(t, k)
             assert got[cell][0] == s / k and abs(got[cell][1] - min(0.0, math.log(p))) < 1e-9
+
+
+def test_page_rank_is_settled_to_its_digits(spark, sf):
+    """A further round of the registered query's ranks moves none of them."""
+    import numpy as np
+
+    e = iterative._und(spark, sf).toPandas()
+    ids = sorted(set(e.src))
+    p = np.zeros((len(ids), len(ids)))
+    np.add.at(p, (e.src.map(ids.index), e.dst.map(ids.index)), e.w)
+    got = {r.id: r["rank"] for r in iterative.QUERIES["page_rank"](spark, sf).collect()}
+    r = np.array([got[i] for i in ids])
+    assert np.abs(0.15 / len(ids) + 0.85 * (p / p.sum(1, keepdims=True)).T @ r - r).max() < 3e-9
