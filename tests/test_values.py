@@ -72,3 +72,27 @@ def test_bootstrap_metacells_share_few_cells(spark):
     near = {i: {j for k, _, j in nn if k == i} for i in range(80)}
     assert all(any(g in (near[i], near[i] | {i}) for i in range(80)) for g in own)
     assert all(a != b for a, b in pairwise(own)) and df.where(F.col("id") == 0).count() == 6
+
+
+def test_archetypes_of_a_sparse_kernel(spark):
+    """More cells than a dense kernel could hold; and the products of the sparse one against dense ones."""
+    n = 21_000
+    ring = spark.range(n).select("id", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("rank"), F.pmod(F.col("id") + s, F.lit(n)).alias("nbr"), F.lit(1.0 + abs(s)).alias("dist")) for i, s in enumerate((-2, -1, 1, 2))])).alias("x")).select("id", "x.*")
+    out, rss = A.archetypes(ring, 5, rounds=2, steps=5, min_rounds=1)
+    assert out.count() == n and rss[-1] <= rss[0]
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((60, 60)) < 0.1, rng.random((60, 60)), 0)
+    dense = np.maximum(dense, dense.T)
+    np.fill_diagonal(dense, 1)
+    k = A.Kernel(*np.nonzero(dense), dense[np.nonzero(dense)])
+    x = rng.random((60, 3))
+    assert np.allclose(k @ x, dense @ x)
+    assert np.allclose(k.square_norms(), ((dense @ dense) ** 2).sum(0))
+    sq, left, want = dense @ dense, dense @ dense, []
+    for _ in range(4):  # the greedy choice on what the chosen columns leave of the square
+        score = np.where(np.diag(left) > 1e-10, (left**2).sum(0) / np.maximum(np.diag(left), 1e-10), -np.inf)
+        score[want] = -np.inf
+        want.append(int(score.argmax()))
+        basis = sq[:, want]
+        left = sq - basis @ np.linalg.solve(basis[want], basis.T)
+    assert A.greedy_centres(k, 4) == want
