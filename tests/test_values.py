@@ -96,3 +96,21 @@ def test_archetypes_of_a_sparse_kernel(spark):
         basis = sq[:, want]
         left = sq - basis @ np.linalg.solve(basis[want], basis.T)
     assert A.greedy_centres(k, 4) == want
+
+
+def test_controls_are_drawn_from_the_own_bin(spark):
+    """As many different genes of the bin as asked for; no gene meets its whole bin, which took over a minute here."""
+    import time
+
+    from helixframe.operators import cells as C
+
+    n = 12_000
+    bins = spark.range(n).select(F.col("id").alias("gene"), F.when(F.col("id") < 7, 1).otherwise(0).alias("bin"))
+    start = time.time()
+    sets = bins.select(F.col("gene").cast("string").alias("set_id"), "gene")
+    got = C.control_genes(sets, bins, 20, 1).groupBy("set_id").agg(F.collect_list("gene").alias("g")).collect()
+    assert time.time() - start < 40
+    assert len(got) == n
+    for r in got:
+        own = {g < 7 for g in r.g}
+        assert own == {int(r.set_id) < 7} and len(set(r.g)) == len(r.g) == (7 if int(r.set_id) < 7 else 20)
