@@ -114,3 +114,23 @@ def test_controls_are_drawn_from_the_own_bin(spark):
     for r in got:
         own = {g < 7 for g in r.g}
         assert own == {int(r.set_id) < 7} and len(set(r.g)) == len(r.g) == (7 if int(r.set_id) < 7 else 20)
+
+
+def test_doublet_axes_take_any_number_of_genes(spark):
+    """More genes than a Gram matrix on the driver had room for; on few genes the axes are those of the plain decomposition."""
+    from helixframe.operators import doublets as B
+
+    wide = spark.range(9_000).select((F.col("id") % 40).alias("cell"), F.col("id").alias("gene"), (F.col("id") % 7 + 1).cast("int").alias("raw"))
+    load, shift = B.axes(wide, 40, 3, 100.0, True)
+    assert load.count() == 9_000 and len(shift) == 3
+    rng = np.random.default_rng(1)
+    raw = rng.poisson(1, (80, 3)) @ rng.poisson(2, (3, 12)) + rng.poisson(0.5, (80, 12)) + 1
+    counts = spark.createDataFrame([(i, j, int(raw[i, j])) for i in range(80) for j in range(12)], "cell long, gene long, raw int")
+    got = B.embed(counts, counts.select((-F.col("cell") - 1).alias("cell"), "gene", "raw"), B.axes(counts, 80, 3, 50.0, True), 50.0, True)
+    vec = {r.id: np.array(r.vec) for r in got.collect()}
+    x = np.log1p(raw / raw.sum(1, keepdims=True) * 50)
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    y = np.stack([vec[i] for i in range(80)])
+    assert np.allclose(np.abs(u[:, :3].T @ y), np.diag(s[:3]), atol=1e-6)
+    assert all(np.allclose(vec[i], vec[-i - 1]) for i in range(80))
