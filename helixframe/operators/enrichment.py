@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.functions.columns import average_rank, with_fdr
-from helixframe.functions.special import beta_quantile, digamma, f_sf, hypergeom_col, normal_cdf, trigamma
+from helixframe.functions.special import beta_quantile, digamma, f_sf, hypergeom_col, normal_cdf, poisson_cdf, trigamma
 
 
 def over_representation(sets: DataFrame, target: DataFrame, universe: DataFrame, min_overlap: int | None = None, fdr: float | None = None) -> DataFrame:
@@ -181,27 +181,41 @@ def simple_error(more_extreme: int, permutations: int) -> float:
     return 0.5 * (math.log2(beta_quantile(0.975, a, b)) - math.log2(max(beta_quantile(0.025, a, b), 1e-300)))
 
 
-def kernel_density(expression: DataFrame, gaussian: bool = True) -> DataFrame:
-    """gene, sample, value: log-odds of the kernel-smoothed cumulative density of each value among its gene's samples."""
+#: Pairs of samples held at a time.
+PAIRS = 1 << 20
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["value"].to_numpy(float)
-        if gaussian:
-            width = max(x.std(ddof=1) / 4 if len(x) > 1 else 0.0, 0.001)
-            left = normal_cdf((x[:, None] - x[None, :]) / width)
-        else:
-            left = np.array([[_poisson_cdf(b + 0.5, int(a)) for b in x] for a in x])
-        t = left.mean(axis=1)
-        return pdf.assign(value=-np.log((1 - t) / np.maximum(t, 1e-15)).clip(-700, 700))
+def _smoothed(x: np.ndarray, gaussian: bool) -> np.ndarray:
+    """The kernel-smoothed cumulative density of each value among its row's (genes x samples)."""
+    if not gaussian and not (x > -0.5).all():
+        raise ValueError("rates must be positive")
+    out, k = np.empty_like(x), x.shape[1]
+    step, across = max(1, PAIRS // k**2), max(1, min(k, PAIRS // k))
+    for i in range(0, len(x), step):
+        y = x[i : i + step]
+        width = np.maximum(y.std(axis=1, ddof=1) / 4 if k > 1 else np.zeros(len(y)), 0.001)[:, None, None]
+        for j in range(0, k, across):
+            a, b = y[:, j : j + across, None], y[:, None, :]
+            left = normal_cdf((a - b) / width) if gaussian else poisson_cdf(*np.broadcast_arrays(b + 0.5, np.trunc(a)))
+            out[i : i + step, j : j + across] = left.mean(axis=2)
+    return out
 
-    return expression.select("gene", "sample", "value").groupBy("gene").applyInPandas(run, expression.select("gene", "sample", "value").schema)
 
+def kernel_density(expression: DataFrame, gaussian: bool = True) -> DataFrame:
+    """gene, sample, value: log-odds of the kernel-smoothed cumulative density of each value among its gene's samples."""
 
-def _poisson_cdf(rate: float, k: int) -> float:
-    if k < 0:
-        return 0.0
-    i = np.arange(k + 1)
-    return float(min(1.0, np.exp(-rate + i * math.log(rate) - np.array([math.lgamma(v + 1.0) for v in i])).sum()))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            size = pdf["value"].map(len)
+            for k in size.unique():
+                own = pdf[size == k]
+                t = _smoothed(np.array(own["value"].tolist(), float), gaussian).ravel()
+                value = -np.log((1 - t) / np.maximum(t, 1e-15)).clip(-700, 700)
+                yield pd.DataFrame({"gene": own["gene"].repeat(k).to_numpy(), "sample": np.concatenate(own["sample"].tolist()), "value": value})
+
+    kind = {c: expression.schema[c].dataType.simpleString() for c in ("gene", "sample")}
+    rows = expression.groupBy("gene").agg(F.collect_list(F.struct("sample", F.col("value").cast("double").alias("value"))).alias("of"))
+    return rows.select("gene", "of.sample", "of.value").mapInPandas(run, f"gene {kind['gene']}, sample {kind['sample']}, value double")
 
 
 def set_variation(expression: DataFrame, sets: DataFrame, gaussian: bool = True, tau: float = 1.0, max_diff: bool = True, abs_rank: bool = False, kernel: bool = True) -> DataFrame:
