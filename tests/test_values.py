@@ -158,3 +158,34 @@ def test_kernel_densities_in_batches(spark):
                 left = [sum(math.exp(i * math.log(b + 0.5) - b - 0.5 - math.lgamma(i + 1)) for i in range(int(a) + 1)) for b in x]
             t = min(sum(left) / len(left), 1.0)
             assert abs(got[g, s] + math.log((1 - t) / max(t, 1e-15))) < 1e-7
+
+
+def test_gower_and_widths_in_blocks(spark):
+    """Pairs of blocks give what pairs of rows do: of rows that lack entries, over several blocks, and without a table of pairs."""
+    from helixframe.operators import similarity as S, stats as Z
+
+    rng = np.random.default_rng(4)
+    rows = [(i, c, float(rng.integers(0, 9))) for i in range(60) for c in "abc" if rng.random() < 0.7]
+    m, kinds = spark.createDataFrame(rows, "row long, col string, value double"), spark.createDataFrame([("a", True), ("b", False), ("c", False)], "col string, is_cat boolean")
+    before, S.BLOCK = S.BLOCK, 7
+    try:
+        got = {(r.row_a, r.row_b): r.value for r in S.gower(m, kinds).collect()}
+    finally:
+        S.BLOCK = before
+    have = {i: {c: v for j, c, v in rows if j == i} for i in range(60)}
+    span = {c: max(v for _, d, v in rows if d == c) - min(v for _, d, v in rows if d == c) for c in "bc"}
+    want = {}
+    for i, x in have.items():
+        for j, y in have.items():
+            own = [float(x[c] != y[c]) if c == "a" else abs(x[c] - y[c]) / span[c] for c in sorted(x.keys() & y.keys())]
+            if i < j and own:
+                want[i, j] = sum(own) / len(own)
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    v = rng.normal(size=(50, 4))
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = {(r.epsilon, r.id): r.total for r in Z.rbf_scan_cosine(points, (0.5, 2.0), block=9).collect()}
+    for e in (0.5, 2.0):
+        k = np.exp(-((e * (1 - u @ u.T)) ** 2))
+        assert all(abs(found[e, i] - (k[i].sum() - k[i, i])) < 1e-9 for i in range(50))
+    assert Z.rbf_scan_cosine(points.where("id = 1"), (0.5,)).count() == 0
