@@ -141,3 +141,24 @@ def test_network_finds_the_regulator_and_may_exclude_it(spark):
     rows = R.regulatory_network(norm, cells, tfs, targets, "rf", 3, 1, 5, features=3, exclude_self=True).collect()
     assert next(r.importance for r in rows if (r.gene, r.tf) == (0, 0)) == 0 and next(r.importance for r in rows if (r.gene, r.tf) == (3, 0)) > 0.5
     assert R.regulatory_network(norm, cells, tfs, targets.where("gene > 9"), "rf", 2, 2, 5).count() == 0
+
+
+def test_sparse_bins_boost_as_dense_ones_and_no_targets_are_no_error(spark):
+    """Regulators are held by their entries: many empty ones need no room, and a split is the dense one."""
+    rng = np.random.default_rng(1)
+    q = np.where(rng.random((400, 6)) < 0.3, rng.integers(1, 256, (400, 6)), 0).astype(np.uint8)
+    y = q[:, 1] * 0.1 + rng.normal(size=400)
+    rows = np.flatnonzero(rng.random(400) < 0.8)
+    best = (1e-9, -1, 0)
+    for f in range(6):
+        for b in range(1, 256):
+            right = q[rows, f] >= b
+            if min(right.sum(), (~right).sum()) >= 10:
+                gain = y[rows][right].sum() ** 2 / right.sum() + y[rows][~right].sum() ** 2 / (~right).sum() - y[rows].sum() ** 2 / len(rows)
+                best = max(best, (gain, f, b), key=lambda x: x[0])
+    got = R._split(R.Bins.of(q), rows, y, np.arange(6), 10)
+    assert abs(got[0] - best[0]) < 1e-6 and got[1:] == best[1:]
+    cells = spark.range(20_000).select(F.col("id").alias("cell"))
+    bins = spark.createDataFrame([(1, 5, 7)], "cell long, tf long, bin int")
+    none = spark.createDataFrame([], "batch int, cell long, target long, v double")
+    assert R.boosting_in_tasks(bins, none, cells, list(range(40_000)), trees=1).count() == 0  # 800 MB of dense bins
