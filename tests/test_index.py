@@ -42,3 +42,27 @@ def test_sampling_by_index_equals_brute_force_with_all_cells(points, tmp_path):
 def test_recall_of_tuned_methods(points, method):
     exact = N.knn(points, 10, "euclidean")
     assert N.recall(N.knn(points, 10, "euclidean", method=method), exact).first().recall >= 0.93
+
+
+def test_descent_stores_lists_and_no_candidates(spark, monkeypatch):
+    """No stored table of the descent exceeds the lists, both ways; distances are those of the vectors."""
+    from helixframe.operators import neighbours as M
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 6))
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    sizes, plain = [], M.cut
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "cut", counted)
+    got = M.knn(points, 3, "euclidean", method="nndescent").collect()
+    assert max(sizes) <= 400 * 2 * 6 and len(got) == 1200
+    d = np.linalg.norm(v[:, None] - v[None], axis=2)
+    assert all(abs(r.dist - d[r.id, r.nbr]) < 1e-6 for r in got)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :3]
+    assert np.mean([r.nbr in near[r.id] for r in got]) > 0.9
